@@ -1,0 +1 @@
+"""tidemill streaming."""
