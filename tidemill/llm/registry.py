@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import pii, token_output
+from . import language, neighbours, pii, quality, token_output
 
 QUERIES = {
     "op1_token_output": token_output.op1_token_output,
+    "op4_neighbours": neighbours.op4_neighbours,
     "op6_pii": pii.op6_pii,
+    "op8_quality": quality.op8_quality,
+    "op10_language": language.op10_language,
 }
 ORACLES = {
     "op6_pii": pii.ORACLE_SQL,
