@@ -46,15 +46,18 @@ def discard(spark: SparkSession, path: str) -> None:
 
 
 def mark() -> int:
-    """How many staged paths there are; sweep(mark) later deletes those made since."""
+    """How many staged paths there have been; made(mark) later names those since."""
     return len(_live)
 
 
-def sweep(since: int = 0) -> None:
-    """Delete the staged tables made since the mark; their readers must have ended."""
-    while len(_live) > since:
-        spark, path = _live.pop()
-        discard(spark, path)
+def made(since: int) -> list[tuple[SparkSession, str]]:
+    return _live[since:]
+
+
+def discard_all(paths: list[tuple[SparkSession, str]]) -> None:
+    """Delete staged tables whose readers have ended, and empty the list."""
+    while paths:
+        discard(*paths.pop())
 
 
 def ship(spark: SparkSession) -> None:

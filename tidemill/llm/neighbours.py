@@ -30,8 +30,8 @@ BRANCH = 8
 LEAF = 60
 #: Rows and queries of a block.
 BLOCK, ASKED = 512, 256
-#: Parts that a leaf is dealt into.
-SALTS = 8
+#: Parts that a leaf is dealt into; rows found that a task holds.
+SALTS, HELD = 8, 400_000
 RECALL = 0.985
 
 
@@ -181,11 +181,30 @@ def _pack(own: list) -> tuple[bytes, bytes]:
     return np.array([i for i, _ in own], np.int64).tobytes(), np.stack([v for _, v in own]).tobytes()
 
 
+def _least(found: tuple[np.ndarray, np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, ...]:
+    """Each query's k nearest of (query ids, row ids, distances)."""
+    a, b, d = found
+    order = np.lexsort((b, d, a))
+    a, b, d = a[order], b[order], d[order]
+    keep = np.arange(len(a)) - np.searchsorted(a, a) < k
+    return a[keep], b[keep], d[keep]
+
+
 def _meet(width: int, k: int, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The k nearest per query among all that this task sees, sent on when they have grown to HELD rows."""
+    held, size = [], 0
     for pdf in parts:
-        out = [best(np.frombuffer(qvs).reshape(-1, width), np.frombuffer(qids, np.int64), np.frombuffer(vs).reshape(-1, width), np.frombuffer(ids, np.int64), k) for qids, qvs, ids, vs in zip(pdf["qids"], pdf["qvs"], pdf["ids"], pdf["vs"])]
-        if out:
-            yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out)))))
+        for qids, qvs, ids, vs in zip(pdf["qids"], pdf["qvs"], pdf["ids"], pdf["vs"]):
+            held.append(best(np.frombuffer(qvs).reshape(-1, width), np.frombuffer(qids, np.int64), np.frombuffer(vs).reshape(-1, width), np.frombuffer(ids, np.int64), k))
+            size += len(held[-1][0])
+            if size > HELD:
+                held = [_least(tuple(map(np.concatenate, zip(*held))), k)]
+                size = len(held[0][0])
+                if size > HELD // 2:
+                    yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), held.pop())))
+                    size = 0
+    if held:
+        yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), _least(tuple(map(np.concatenate, zip(*held))), k))))
 
 
 def _scan(q_bc, width: int, k: int, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import language, neighbours, pii, quality, token_output
+from . import decontamination, html_text, language, line_dedup, neighbours, ngram_join, packing, pii, quality, token_output
 
 QUERIES = {
     "op1_token_output": token_output.op1_token_output,
+    "op2_ngram_join": ngram_join.op2_ngram_join,
+    "op3_packing": packing.op3_packing,
     "op4_neighbours": neighbours.op4_neighbours,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_pii": pii.op6_pii,
+    "op7_html_text": html_text.op7_html_text,
     "op8_quality": quality.op8_quality,
+    "op9_decontamination": decontamination.op9_decontamination,
     "op10_language": language.op10_language,
 }
 ORACLES = {

@@ -1,8 +1,9 @@
 """Token ids of whole texts by the tokenizers library, behind a bounded cache.
 
 The byte-level pre-tokenizer always starts a token at a space that stands before a character
-which is not white space, so a text can be cut there and the pieces encoded on their own. Words
-recur, so most pieces come from the cache; the library encodes each piece that is new.
+which is not white space, so a text can be cut there and the pieces encoded on their own. Letters
+and what follows them are different tokens too. Words recur, so most pieces come from the cache;
+the library's model merges the bytes of each word that is new.
 """
 
 from __future__ import annotations
@@ -16,6 +17,18 @@ import numpy as np
 _SAFE = "!-~¡-ɏ"
 _OTHER = re.compile(f" (?![{_SAFE}])")
 _CUT = re.compile(f"(?= [{_SAFE}])")
+#: Letters, then signs: two tokens of the pre-tokenizer, with the space before them.
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]*)([!-/:-@\[-`{-~]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it prints, else the next from U+0100 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = (b for b in range(256) if b not in set(prints))
+    return {b: chr(b) for b in prints} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
 
 
 def default_tokenizer() -> str:
@@ -27,7 +40,7 @@ def default_tokenizer() -> str:
 class Encoder:
     """encode(text): its ids as little-endian unsigned integers of `dtype`, the smallest that holds the vocabulary.
 
-    At most 2 * `limit` pieces are held: those used since the last turn and those of the turn before.
+    At most 2 * `limit` pieces and words are held: those used since the last turn and those of the turn before.
     """
 
     def __init__(self, path: str, limit: int = 400_000):
@@ -37,21 +50,36 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = np.zeros(1, self.dtype).tobytes()
-        self.limit, self.now, self.before = limit, {}, {}
+        self.limit, self.now, self.before, self.words, self.words_before = limit, {}, {}, {}, {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _token(self, text: str) -> bytes:
+        """The ids of one token of the pre-tokenizer."""
+        ids = self.words.get(text)
+        if ids is None:
+            if (ids := self.words_before.get(text)) is None:
+                letters = text.encode().decode("latin-1").translate(_LETTERS)
+                ids = np.array([x.id for x in self.tokenizer.model.tokenize(letters)], self.dtype).tobytes()
+            self.words[text] = ids
+        return ids
+
     def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces, each with a space before it, in one call."""
-        enc = self.tokenizer.encode(" " + " ".join(pieces), add_special_tokens=False)
-        ids, width = np.array(enc.ids, self.dtype).tobytes(), self.dtype.itemsize
-        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1)
-        at = np.searchsorted(np.fromiter((x for x, _ in enc.offsets), np.int64, len(enc.ids)), ends) * width
-        left = 0
-        for piece, right in zip(pieces, at.tolist()):
-            self.now[piece] = ids[left:right]
-            left = right
+        """Encode new pieces, each with a space before it."""
+        if len(self.words) > self.limit:
+            self.words, self.words_before = {}, self.words
+        now, token, whole = self.now, self._token, self._whole
+        for piece in pieces:
+            m = _WORD.fullmatch(piece)
+            if m is None:
+                now[piece] = whole(" " + piece)
+            elif not m[1]:
+                now[piece] = token(" " + piece)
+            elif m[2]:
+                now[piece] = token(" " + m[1]) + token(m[2])
+            else:
+                now[piece] = token(" " + piece)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
