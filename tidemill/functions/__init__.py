@@ -1 +1 @@
-"""tidemill functions."""
+"""Column functions."""

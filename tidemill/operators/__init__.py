@@ -1 +1 @@
-"""tidemill operators."""
+"""Operators over points, windows and contigs."""

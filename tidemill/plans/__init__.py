@@ -1 +1 @@
-"""tidemill plans."""
+"""Plans made of the operators, and the registered queries."""

@@ -1 +1 @@
-"""tidemill sources."""
+"""Readers and writers."""

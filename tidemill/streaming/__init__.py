@@ -1 +1 @@
-"""tidemill streaming."""
+"""Nothing here: a screen needs all of a sample's points, so there is no stream to process."""
