@@ -1,0 +1,171 @@
+import random
+from collections import Counter, defaultdict
+
+import pytest
+
+from tidemill.llm import decontamination, line_dedup, ngram_join, wordhash
+
+DOCS = "doc_id long, text string, component_id string, key string, n string"
+
+
+def words(text):
+    return (text or "").encode().lower().split()
+
+
+def shingle_set(text):
+    w = words(text)
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def brute_components(rows):
+    sets = [(d if d is not None else -(1 << 63), shingle_set(t)) for d, t in rows]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (_, a) in enumerate(sets):
+        for j in range(i):
+            b = sets[j][1]
+            if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                root[find(i)] = find(j)
+    least = defaultdict(list)
+    for i, (d, _) in enumerate(sets):
+        least[find(i)].append(d)
+    return Counter((d, len(s), min(least[find(i)])) for i, (d, s) in enumerate(sets))
+
+
+def corpus(seed, n=120):
+    rng = random.Random(seed)
+    vocab = [f"w{i}" for i in range(400)]
+    base = [[rng.choice(vocab) for _ in range(rng.randint(3, 90))] for _ in range(12)]
+    passage = [rng.choice(vocab) for _ in range(20)]
+    rows = []
+    for i in range(n):
+        t = list(rng.choice(base)) if rng.random() < 0.8 else [rng.choice(vocab) for _ in range(rng.randint(0, 60))]
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+            if t:
+                t[rng.randrange(len(t))] = rng.choice(vocab)
+        if rng.random() < 0.3:
+            t = t + passage
+        rows.append((i, rng.choice([" ", "\n", "\t "]).join(t).upper() if rng.random() < 0.2 else " ".join(t)))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_join_by_brute_force(spark, seed):
+    rows = corpus(seed) + [(1000, None), (1001, ""), (1002, " \n"), (1003, "one two"), (1004, "ONE\ttwo"), (1004, "one two"), (None, "one two"), (1005, "one two three four five"), (1006, "é É straße ẞ x y z"), (1007, "word " * 30_000)]
+    got = ngram_join.near_duplicates(spark.createDataFrame([(*r, "x", "y", "z") for r in rows], DOCS))
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components(rows)
+
+
+def test_join_of_nothing(spark):
+    assert ngram_join.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
+    got = ngram_join.near_duplicates(spark.createDataFrame([(1, None, "", "", ""), (2, None, "", "", "")], DOCS)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(1, 0, 1), (2, 0, 2)]
+
+
+def test_chain_and_threshold(spark):
+    w = [f"x{i}" for i in range(120)]
+    rows = [(k, " ".join(w[k : k + 60])) for k in range(0, 40, 4)]  # each links with the next alone
+    rows += [(100, " ".join(f"a{i}" for i in range(11))), (101, " ".join([f"a{i}" for i in range(10)] + ["q"]))]  # 6 of 8: 75 per cent
+    got = ngram_join.near_duplicates(spark.createDataFrame([(*r, "", "", "") for r in rows], DOCS))
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components(rows)
+    assert {r.component_id for r in got.where("doc_id >= 100").collect()} == {100}
+
+
+def test_hashes():
+    texts = [b"A b  c\nD e f", b"", b" ", b"x", b"a B C d E"]
+    of, start, end, h = wordhash.words(texts)
+    assert [texts[o][s:e].lower() for o, s, e in zip(of, start, end)] == [w for t in texts for w in t.lower().split()]
+    byword = {}
+    for o, s, e, x in zip(of, start, end, h.tolist()):
+        assert byword.setdefault(texts[o][s:e].lower(), x) == x
+    assert len(set(byword.values())) == len(byword)
+    sets = wordhash.sets(texts)
+    assert [len(s) for s in sets] == [2, 0, 0, 1, 1] and sets[4][0] in sets[0]
+
+
+def brute_cuts(rows, least=50):
+    """Per row: numbers of the lines that lie in a run of `least` words which also occurs earlier."""
+    order = sorted({(d if d is not None else -(1 << 63), t) for d, t in rows if t is not None}, key=lambda r: r[0])
+    lines = {r: [(k, x.strip(), len(x.split())) for k, x in enumerate(r[1].split("\n")) if x.strip()] for r in order}
+    seen = defaultdict(list)
+    for n, r in enumerate(order):
+        for s in range(len(lines[r])):
+            for e in range(s + 1, len(lines[r]) + 1):
+                if sum(x[2] for x in lines[r][s:e]) >= least:
+                    seen[tuple(x[1] for x in lines[r][s:e])].append((n, s, e))
+    cut = defaultdict(set)
+    for places in seen.values():
+        for n, s, e in sorted(places)[1:]:
+            own = lines[order[n]]
+            cut[order[n]] |= set(range(own[s][0], own[e - 1][0] + 1))
+    return cut
+
+
+def test_lines_by_brute_force(spark):
+    rng = random.Random(4)
+    pool = [" ".join(f"t{rng.randrange(30)}" for _ in range(rng.choice([1, 3, 8, 20, 30, 60]))) for _ in range(25)]
+    rows = [(i, "\n".join(rng.choice(pool + ["", " "]) for _ in range(rng.randint(0, 14)))) for i in range(60)]
+    rows += [(100, None), (101, ""), (102, rows[0][1]), (103, "\n".join([pool[3]] * 40)), (None, rows[1][1]), (104, rows[5][1]), (104, rows[5][1]), (105, "solo " * 60_000)]
+    docs = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], DOCS)
+    got = line_dedup.dedup_lines(docs).collect()
+    cut = brute_cuts(rows)
+    want = Counter()
+    for d, t in rows:
+        own = cut.get((d if d is not None else -(1 << 63), t), set())
+        want[(d, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in own), len(own))] += 1
+    # texts of one id are in order of their hash, so only rows of one id and text may be compared with the brute force
+    assert Counter((r.doc_id, r.text, r.n_removed) for r in got) == want
+    assert got[0].key == "y"
+    assert line_dedup.dedup_lines(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_benchmark(spark):
+    rng = random.Random(6)
+    vocab = [f"v{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(8, 60)))) for i in range(30)] + [(50, "too few words"), (51, None), (None, "no id " * 9), (3, None)]
+    rows = []
+    for i in range(60):
+        t = [rng.choice(vocab) for _ in range(rng.randint(0, 200))]
+        own = rng.choice(items[:30])[1].split()
+        kind = i % 4
+        if kind == 1:
+            own[len(own) // 2] = "changed"
+        if kind == 2:
+            own = own[: len(own) // 2]
+        if kind < 3:
+            at = rng.randint(0, len(t))
+            t[at:at] = own
+        rows.append((i, " ".join(t)))
+    rows += [(100, None), (101, ""), (102, items[0][1].upper()), (103, "pad " * 50_000 + items[1][1]), (104, items[2][1]), (104, items[2][1]), (None, items[3][1])]
+    want = Counter()
+    for d, t in rows:
+        if d is None or t is None:
+            continue
+        w = words(t)
+        s = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+        for i, it in items[:30]:
+            b = words(it)
+            c = Counter(tuple(b[k : k + 5]) for k in range(len(b) - 4))
+            n = min(sum(c.values()), len(s))
+            if n and set(s) & set(c) and any(sum((Counter(s[k : k + n]) & c).values()) * 7 >= 3 * (n + sum(c.values())) for k in range(len(s) - n + 1)):
+                want[d, i] += 1
+    docs = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], DOCS)
+    bench = spark.createDataFrame([(*r, "x") for r in items], "item_id long, text string, doc_id string")
+    assert Counter((r.doc_id, r.item_id) for r in decontamination.find_benchmark(docs, bench).collect()) == want
+    kept = {r.doc_id for r in decontamination.without_benchmark(docs, bench).collect()}
+    assert kept == {d for d, _ in rows if d is not None} - {d for d, _ in want}
+    assert decontamination.find_benchmark(docs, bench.limit(0)).count() == 0 and decontamination.find_benchmark(docs.limit(0), bench).count() == 0
+    assert decontamination.without_benchmark(docs, bench.limit(0)).count() == len(rows)
+
+
+def test_benchmark_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(decontamination.chunks, "__defaults__", (12,))
+    bench = spark.createDataFrame([(i, " ".join(f"b{i}_{k}" for k in range(10))) for i in range(4)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(f"b{i}_{k}" for k in range(10))) for i in range(6)], "doc_id long, text string")
+    assert len(list(decontamination.chunks(bench))) == 4
+    assert sorted((r.doc_id, r.item_id) for r in decontamination.find_benchmark(docs, bench).collect()) == [(i, i) for i in range(4)]

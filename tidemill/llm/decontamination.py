@@ -173,16 +173,18 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, least: float = LEAST)
     return spark.createDataFrame([], _FOUND) if out is None else out
 
 
+def _clean(items_bc, least: float):
+    def clean(text: pd.Series) -> pd.Series:
+        return pd.Series([not own for own in search([t.encode() if t else b"" for t in text], items_bc.value, least)], dtype=bool)
+
+    return clean
+
+
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """The rows of docs that hold no item, all columns; null and empty texts stay."""
     spark = docs.sparkSession
     for items in chunks(benchmark):
-        bc = spark.sparkContext.broadcast(items)
-
-        def clean(text: pd.Series, bc=bc) -> pd.Series:
-            return pd.Series([not own for own in search([t.encode() if t else b"" for t in text], bc.value, least)], dtype=bool)
-
-        docs = docs.where(F.pandas_udf(clean, "boolean")("text"))
+        docs = docs.where(F.pandas_udf(_clean(spark.sparkContext.broadcast(items), least), "boolean")("text"))
     return docs
 
 

@@ -70,7 +70,7 @@ def _cut(fragments: int, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
     size, turn = 0, 0
 
     def send() -> pd.DataFrame:
-        ids, keys, ns = (np.array(x) for x in zip(*docs))
+        ids, keys, ns = (np.array(x, kind) for x, kind in zip(zip(*docs), (np.int64, np.uint64, np.int64)))
         out = [(-1 - turn % 16, -1, np.array([len(ids)], "<u4").tobytes() + ids.astype("<i8").tobytes() + keys.astype("<u8").tobytes() + ns.astype("<u4").tobytes())]
         own = {k: s for k, s in held.items() if len(s)}
         if own:

@@ -38,7 +38,7 @@ def _card(m: Column) -> Column:
 
 def _ip(m: Column) -> Column:
     def small(x: Column) -> Column:
-        n = F.ltrim(F.lit("0"), x)
+        n = F.ltrim(x, F.lit("0"))
         return (F.length(n) < 3) | ((F.length(n) == 3) & (n <= "255"))
 
     return F.forall(F.split(m, r"\."), small)
