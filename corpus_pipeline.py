@@ -52,7 +52,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each component of near copies; of rows alike in id, all stay."""
     found = ngram_join.near_duplicates(docs)
     copies = found.where("component_id < doc_id").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(copies, F.col("doc_id") == F.col("_copy"), "left_anti")
+    return docs.join(copies.hint("merge"), F.col("doc_id") == F.col("_copy"), "left_anti")  # the copies grow with the input
 
 
 @_stage
