@@ -47,8 +47,8 @@ def _pieces(tokenizer: str, capacity: int, batches: Iterator[pa.RecordBatch]) ->
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
     for batch in batches:
         out = []
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-            ids = np.frombuffer(enc.encode(text.as_py()) + enc.end, enc.dtype).astype("<u4")
+        for doc, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text").to_pylist())):
+            ids = np.concatenate((ids, enc.end)).astype("<u4")
             out += [(doc, i, at, n, zlib.crc32(ids[at : at + n])) for i, (at, n) in enumerate(cut(len(ids), capacity))]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)

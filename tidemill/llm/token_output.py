@@ -65,14 +65,13 @@ def _write(path: str, tokenizer: str, batches: Iterator[pa.RecordBatch]) -> Iter
     store.create_dir(root, recursive=True)
     index, offset, total = [], 0, 0
     for batch in batches:
-        for doc, text in zip(batch.column("doc_id"), batch.column("text")):
+        for doc, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text").to_pylist())):
             if sink is None:
                 shard = f"{root}/shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
                 sink = store.open_output_stream(f"{shard}.bin", buffer_size=1 << 20)
-            ids, doc = enc.encode(text.as_py()) + enc.end, doc.as_py()
-            rec = frame(_HEAD.pack(doc or 0, doc is None, enc.dtype.itemsize) + ids)
+            rec = frame(_HEAD.pack(doc or 0, doc is None, enc.dtype.itemsize) + ids.tobytes() + enc.end.tobytes())
             sink.write(rec)
-            index.append((doc or 0, offset, len(ids) // enc.dtype.itemsize))
+            index.append((doc or 0, offset, len(ids) + 1))
             offset, total = offset + len(rec), total + index[-1][2]
     if sink is not None:
         sink.close()

@@ -1,9 +1,10 @@
-"""Token ids of whole texts by the tokenizers library, behind a bounded cache.
+"""Token ids of whole texts by the tokenizers library, behind a bounded cache, vectorised over bytes.
 
-The byte-level pre-tokenizer always starts a token at a space that stands before a character
-which is not white space, so a text can be cut there and the pieces encoded on their own. Letters
-and what follows them are different tokens too. Words recur, so most pieces come from the cache;
-the library's model merges the bytes of each word that is new.
+A byte-level pre-tokenizer cuts a text between letters, digits, signs and white space, a space going
+with what follows it. Texts are cut here in the same places, but for the few that depend on more than
+the two characters around them: those are left inside a unit. Units recur, so most ids come from a
+table that is looked up for all units of a batch at once; the library encodes each unit that is new.
+Texts with characters other than ASCII and Latin letters go to the library whole.
 """
 
 from __future__ import annotations
@@ -13,12 +14,24 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Before these a space starts a token; before others the text is not cut.
-_SAFE = "!-~¡-ɏ"
-_OTHER = re.compile(f" (?![{_SAFE}])")
-_CUT = re.compile(f"(?= [{_SAFE}])")
-#: Letters, then signs: two tokens of the pre-tokenizer, with the space before them.
-_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]*)([!-/:-@\[-`{-~]*)")
+from . import wordhash
+
+_SPACE, _BLANK, _LETTER, _DIGIT, _SIGN, _OTHER = range(6)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[0x21:0x7F] = _SIGN
+_CLASS[0x30:0x3A] = _DIGIT
+_CLASS[0x41:0x5B] = _CLASS[0x61:0x7B] = _LETTER
+_CLASS[9:14] = _BLANK
+_CLASS[0x20] = _SPACE
+_CLASS[0x80:0xC0] = _CLASS[0xC3:0xC9] = _LETTER  # U+00C0 to U+023F, of which two are signs
+_PURE = re.compile(r" ?(?:[A-Za-zÀ-ɏ]+|[0-9]+|[!-/:-@\[-`{-~]+)")
+_AT_ONCE = 1 << 19
+
+
+def default_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -31,81 +44,132 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = _byte_letters()
 
 
-def default_tokenizer() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
+def known(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Which of the texts that start at `begin` have known characters only."""
+    kind = _CLASS[data]
+    odd = kind == _OTHER
+    sign = (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+    odd[:-1] |= sign
+    return np.add.reduceat(odd, begin, dtype=np.int64) == 0
+
+
+def units(data: np.ndarray) -> np.ndarray:
+    """Where units start. Texts end with a line break, which is no part of them, and start after one."""
+    kind = _CLASS[data]
+    n = len(data)
+    start = np.ones(n, bool)
+    if n < 2:
+        return start
+    a, b = kind[:-1], kind[1:]
+    blank = kind <= _BLANK
+    word = ~blank
+    after = np.zeros(n, bool)
+    after[:-1] = word[1:]
+    alone = np.ones(n, bool)  # white space after a word
+    alone[1:] = word[:-1]
+    quote = data[:-1] == 0x27
+    cut = word[:-1] & (blank[1:] | (a != b) & ~(quote & (b == _LETTER)))
+    cut |= blank[:-1] & (b == _SPACE) & after[1:]
+    cut |= (a == _BLANK) & alone[:-1] & word[1:]
+    start[1:] = cut
+    return start
 
 
 class Encoder:
-    """encode(text): its ids as little-endian unsigned integers of `dtype`, the smallest that holds the vocabulary.
+    """encode(texts): the ids of each as an array of `dtype`, the smallest that holds the vocabulary.
 
-    At most 2 * `limit` pieces and words are held: those used since the last turn and those of the turn before.
+    The table has `slots` places, is emptied when half of them are taken, and so has a fixed size.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, slots: int = 1 << 22):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.end = np.zeros(1, self.dtype).tobytes()
-        self.limit, self.now, self.before, self.words, self.words_before = limit, {}, {}, {}, {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def _token(self, text: str) -> bytes:
-        """The ids of one token of the pre-tokenizer."""
-        ids = self.words.get(text)
-        if ids is None:
-            if (ids := self.words_before.get(text)) is None:
-                letters = text.encode().decode("latin-1").translate(_LETTERS)
-                ids = np.array([x.id for x in self.tokenizer.model.tokenize(letters)], self.dtype).tobytes()
-            self.words[text] = ids
-        return ids
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces, each with a space before it."""
-        if len(self.words) > self.limit:
-            self.words, self.words_before = {}, self.words
-        now, token, whole = self.now, self._token, self._whole
-        for piece in pieces:
-            m = _WORD.fullmatch(piece)
-            if m is None:
-                now[piece] = whole(" " + piece)
-            elif not m[1]:
-                now[piece] = token(" " + piece)
-            elif m[2]:
-                now[piece] = token(" " + m[1]) + token(m[2])
-            else:
-                now[piece] = token(" " + piece)
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if _OTHER.search(text):
-            return b"".join([self._cached(x) for x in _CUT.split(text) if x])
-        if len(self.now) > self.limit:
-            self.now, self.before = {}, self.now
-        head, *rest = text.split(" ")
-        now, before = self.now, self.before
-        found = list(map(now.get, rest))
-        if None in found:
-            new = {x for x, ids in zip(rest, found) if ids is None}
-            now.update([(x, before[x]) for x in new if x in before])
-            if new := [x for x in new if x not in now]:
-                self._learn(new)
-            found = map(now.__getitem__, rest)
-        return self._whole(head) + b"".join(found)
-
-    def _cached(self, chunk: str) -> bytes:
-        """A chunk that starts with its space, or the first of a text."""
-        if chunk[0] == " " and chunk[1:2] != " " and len(chunk) > 1:
-            if (out := self.now.get(chunk[1:])) is None:
-                out = self.now[chunk[1:]] = self._whole(chunk)
-            return out
-        return self._whole(chunk)
+        self.end = np.zeros(1, self.dtype)
+        self.slots, self.mask = slots, np.uint64(slots - 1)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys, self.place = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int32)
+        self.first, self.size, self.count = np.zeros(self.slots // 2 + 1, np.int64), np.zeros(self.slots // 2 + 1, np.int32), 0
+        self.ids, self.used = np.zeros(1 << 20, self.dtype), 0
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _unit(self, data: bytes) -> list[int]:
+        text = data.decode()
+        if _PURE.fullmatch(text):  # one token of the pre-tokenizer: the model alone
+            return [x.id for x in self.model.tokenize(data.decode("latin-1").translate(_LETTERS))]
+        return self._whole(text)
+
+    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, slot) of each hash; the place is -1 and the slot a free one where it isn't known."""
+        slot = h & self.mask
+        key = self.keys[slot]
+        more = np.flatnonzero((key != h) & (key != 0))
+        while len(more):
+            s = (slot[more] + np.uint64(1)) & self.mask
+            slot[more] = s
+            key = self.keys[s]
+            more = more[(key != h[more]) & (key != 0)]
+        return np.where(self.keys[slot] == h, self.place[slot], -1), slot
+
+    def _add(self, h: int, ids: list[int]) -> None:
+        slot = h & int(self.mask)
+        while self.keys[slot]:
+            slot = (slot + 1) & int(self.mask)
+        self.keys[slot], self.place[slot] = h, self.count
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros(max(len(self.ids), len(ids)), self.dtype)))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.first[self.count], self.size[self.count] = self.used, len(ids)
+        self.used += len(ids)
+        self.count += 1
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        for _, part in wordhash.batched((t.encode() if t else b"" for t in texts), _AT_ONCE):
+            out += self._batch(part)
+        return out
+
+    def _batch(self, texts: list[bytes]) -> list[np.ndarray]:
+        data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        begin = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)))
+        good = known(data, begin[:-1])
+        start = units(data)
+        start[begin[:-1]] = start[begin[1:] - 1] = True
+        at = np.flatnonzero(start)
+        size = np.diff(np.concatenate((at, [len(data)])))
+        of = np.searchsorted(begin, at, "right") - 1
+        keep = good[of] & (at != begin[of + 1] - 1)
+        at, size, of = at[keep], size[keep], of[keep]
+        prefix = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(wordhash._BYTE[data] * wordhash._power(wordhash._BASE, len(data)), out=prefix[1:])
+        h = wordhash.mix((prefix[at + size] - prefix[at]) * wordhash._power(wordhash._INVERSE, len(data))[at] + size.astype(np.uint64)) | np.uint64(1 << 63)
+        place, _ = self._find(h)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            _, pick = np.unique(h[new], return_index=True)
+            if self.count + len(pick) > self.slots // 2:
+                self._clear()
+                _, pick = np.unique(h, return_index=True)
+                new = np.arange(len(h))
+            raw = data.tobytes()
+            if len(pick) <= self.slots // 2:
+                for k in new[pick].tolist():
+                    self._add(int(h[k]), self._unit(raw[at[k] : at[k] + size[k]]))
+                place, _ = self._find(h)
+            else:  # one text of more units than the table holds
+                good[:] = False
+        n = self.size[place].astype(np.int64)
+        ends = np.cumsum(n)
+        flat = self.ids[np.repeat(self.first[place] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        cuts = np.concatenate(([0], ends))[np.searchsorted(of, np.arange(len(texts) + 1))]
+        return [flat[cuts[i] : cuts[i + 1]] if good[i] else np.array(self._whole(t.decode()), self.dtype) for i, t in enumerate(texts)]
 
 
 @lru_cache(maxsize=2)
