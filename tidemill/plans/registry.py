@@ -9,12 +9,14 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.config import Options, window_params
 from tidemill.functions import sequence as S
-from tidemill.operators import cluster, distance, graph, modality, overlap, stats, taxonomy
+from tidemill.operators import cluster, distance, embed, graph, modality, overlap, stats, taxonomy
 from tidemill.operators.vectorize import number_points, vectorize, windows
 from tidemill.plans import screen as plan
 from tidemill.sources import readers
@@ -500,3 +502,78 @@ def _(t):
 def _(t):
     tax = t("documents").join(t("labels").where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("doc_id").cast("string").alias("contig"), F.col("source").alias("taxonomy"))
     return plan.screen(_sample(t), _SMALL, annotations=tax)["contigs"].select("sample", "contig", "label", "taxonomy", "confidence", "state")
+
+
+# --- kernels over groups of points, joins of the report
+
+
+def _per_label(t, f, schema: str) -> DataFrame:
+    return points(t).groupBy("label").applyInPandas(f, schema)
+
+
+def _ward(group: pd.DataFrame) -> pd.DataFrame:
+    group = group.sort_values("pid")
+    z = cluster.linkage(np.stack(group["vec"].to_numpy()))
+    return pd.DataFrame({"label": group["label"].iloc[0], "step": range(len(z)), "a": z[:, 0].astype(int), "b": z[:, 1].astype(int), "height": z[:, 2], "size": z[:, 3].astype(int)})
+
+
+def _cut(group: pd.DataFrame) -> pd.DataFrame:
+    group = group.sort_values("pid")
+    return pd.DataFrame({"label": group["label"], "pid": group["pid"], "cluster": cluster.cut(cluster.linkage(np.stack(group["vec"].to_numpy())), 3)})
+
+
+def _modes(group: pd.DataFrame) -> pd.DataFrame:
+    x = np.stack(group.sort_values("pid")["vec"].to_numpy())
+    return pd.DataFrame({"label": [group["label"].iloc[0]], "is_multimodal": [modality.multimodal(x, samples=200)]})
+
+
+def _embedded(group: pd.DataFrame) -> pd.DataFrame:
+    group = group.sort_values("pid")
+    y = embed.tsne(np.stack(group["vec"].to_numpy()), perplexity=min(10, (len(group) - 1) // 3), iterations=150, seed=1)
+    return pd.DataFrame({"label": group["label"], "pid": group["pid"], "x": y[:, 0], "y": y[:, 1]})
+
+
+def _canonical(group: pd.DataFrame) -> pd.DataFrame:
+    x = np.stack(group.sort_values("pid")["vec"].to_numpy())
+    r = stats.canonical_correlation(x[:, :4], x[:, 4:8])[2]
+    return pd.DataFrame({"label": group["label"].iloc[0], "k": range(len(r)), "r": r})
+
+
+@_query("o88_ward", f"{_P}, {_DIM} SELECT label, round(2 * sum(v), 4) AS spread, CAST(max(n) - 1 AS BIGINT) AS merges FROM (SELECT label, dim, var_pop(x) * count(*) AS v, count(*) AS n FROM x GROUP BY label, dim) GROUP BY label")
+def _(t):
+    # the squared heights of Ward's merges add up to twice the squared distances from the mean
+    z = _per_label(t, _ward, "label int, step int, a int, b int, height double, size int")
+    return z.groupBy("label").agg(F.round(F.sum(F.col("height") * F.col("height")), 4).alias("spread"), F.count(F.lit(1)).alias("merges"))
+
+
+@_query("o89_cut", "SELECT label, count(*) AS n, CAST(3 AS BIGINT) AS clusters FROM embeddings GROUP BY label")
+def _(t):
+    return _per_label(t, _cut, "label int, pid long, cluster int").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cluster").alias("clusters"))
+
+
+@_query("o82_multimodal")
+def _(t):
+    return _per_label(t, _modes, "label int, is_multimodal boolean")
+
+
+@_query("o79_tsne")
+def _(t):
+    return _per_label(t, _embedded, "label int, pid long, x double, y double")
+
+
+@_query("o83_cca")
+def _(t):
+    return _per_label(t, _canonical, "label int, k int, r double")
+
+
+@_query("o67_point_labels", f"{_LAB} SELECT l.doc_id, v.label FROM l LEFT JOIN v USING (contig)")
+def _(t):
+    rows = _labels(t)
+    return rows.select("doc_id", "contig").join(cluster.majority_label(rows.where("label <> 1")), "contig", "left").select("doc_id", "label")
+
+
+@_query("o69_export_classes", f"WITH {_TAX}, c AS (SELECT t.contig, t.label, t.taxonomy, g.confidence FROM t LEFT JOIN g ON g.taxonomy = t.taxonomy AND g.label = t.label), k AS (SELECT label, taxonomy AS state, row_number() OVER (PARTITION BY label ORDER BY confidence DESC, contig) AS k FROM c WHERE taxonomy IS NOT NULL) SELECT t.contig AS doc_id, coalesce(k.state, 'NA') AS class FROM t LEFT JOIN k ON k.label = t.label AND k.k = 1")
+def _(t):
+    known = taxonomy.with_confidence(_tax(t)).withColumn("state", F.col("taxonomy"))
+    texts = t("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("seq"))
+    return plan.decontaminated(texts, known).select(F.col("id").alias("doc_id"), "class")
