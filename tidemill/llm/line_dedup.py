@@ -135,7 +135,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, removed: str = "n_r
     """
     cuts = repeated_runs(docs, min_words).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("cut").alias("_cut"))
     id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    out = docs.join(cuts, (id_ == F.col("_d")) & (F.xxhash64("text") == F.col("_t")), "left")
+    # always a merge join: the cuts grow with the input, so they aren't broadcast while they happen to be few
+    out = docs.join(cuts.hint("merge"), (id_ == F.col("_d")) & (F.xxhash64("text") == F.col("_t")), "left")
     lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
     kept = F.transform(F.filter(lines, lambda s: ~F.exists("_cut", lambda r: s["i"].between(r["first"], r["last"]))), lambda s: s["x"])
     n = F.aggregate("_cut", F.lit(0), lambda a, r: a + r["last"] - r["first"] + 1)
