@@ -69,7 +69,7 @@ def shingles(of: np.ndarray, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     return at, mix(total[at])
 
 
-def batched(texts: Iterable[bytes], most: int = 4 << 20, rows: int = 1 << 16) -> Iterator[tuple[int, list[bytes]]]:
+def batched(texts: Iterable[bytes], most: int = 1 << 20, rows: int = 1 << 16) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first, texts) in lists of about `most` bytes and `rows` texts at most, so that a batch's arrays stay small."""
     first, held, size = 0, [], 0
     for i, t in enumerate(texts):
