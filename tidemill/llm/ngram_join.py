@@ -31,9 +31,10 @@ from . import common, wordhash
 SHINGLE = 5
 PERCENT = 75
 #: Shingles of a fragment, about, and of what a task holds before it sends them.
-FRAGMENT, FLUSH = 1_500_000, 1_500_000
+FRAGMENT, FLUSH = 1_500_000, 1_000_000
 #: Parts of the order in which overlaps are counted.
 PIECES = 8
+EARLIER = 128
 _LOW = (1 << 40) - 1
 _SENT = "frag int, bucket int, blob binary"
 _SETS = "key long, n int, piece int, skip int, part array<long>"
@@ -88,9 +89,9 @@ def _cut(fragments: int, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
         return pd.DataFrame(out, columns=["frag", "bucket", "blob"])
 
     for pdf in parts:
-        texts = [t.encode() if t else b"" for t in pdf["text"]]
+        texts = (t.encode() if t else b"" for t in pdf["text"])
         ids = pdf["doc_id"].tolist()
-        for first, part in wordhash.batched(texts):
+        for first, part in wordhash.batched(texts, 1 << 20):
             for doc, text, s in zip(ids[first : first + len(part)], part, wordhash.sets(part, SHINGLE)):
                 key = int.from_bytes(blake2b(b" ".join(text.lower().split()), digest_size=8).digest(), "little")
                 docs.append((doc, key, len(s)))
@@ -185,8 +186,9 @@ def _alike(a: Column, b: Column) -> Column:
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose overlaps, counted piece by piece and summed, reach the threshold."""
     parts = sets.where("piece >= 0")
-    left = pairs.join(parts.select(F.col("key").alias("a"), F.col("n").alias("na"), "piece", F.col("part").alias("pa")), "a")
-    both = left.join(parts.select(F.col("key").alias("b"), F.col("n").alias("nb"), "piece", F.col("part").alias("pb")), ["b", "piece"])
+    # merge joins at every size: the pairs grow with the input
+    left = pairs.hint("merge").join(parts.select(F.col("key").alias("a"), F.col("n").alias("na"), "piece", F.col("part").alias("pa")), "a")
+    both = left.hint("merge").join(parts.select(F.col("key").alias("b"), F.col("n").alias("nb"), "piece", F.col("part").alias("pb")), ["b", "piece"])
     total = both.select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("o")).groupBy("a", "b").agg(F.sum("o").alias("o"), F.max("na").alias("na"), F.max("nb").alias("nb"))
     return total.where(100 * F.col("o") >= PERCENT * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
@@ -194,18 +196,17 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(key, comp): the smallest key of each key's component; keys without an edge are left out.
 
-    Labels fall to the least among the neighbours', then to their label's label, until none falls.
+    Labels fall to the least among the neighbours' and their own, then to their label's label, until none falls.
     """
-    e = common.staged(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct(), "edges")
+    e = common.staged(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")), "edges")
     labels = common.staged(e.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("c")), "labels")
-    while True:
-        around = e.join(labels.select(F.col("u").alias("v"), "c"), "v").groupBy("u").agg(F.min("c").alias("m"))
-        fell = common.staged(labels.join(around, "u").select("u", F.col("c").alias("old"), F.least("c", "m").alias("c")), "fell")
-        jump = fell.select(F.col("u").alias("c"), F.col("c").alias("d"))
-        labels = common.staged(fell.join(jump, "c").select("u", "old", F.col("d").alias("c")), "labels")
-        if not labels.where("c < old").limit(1).count():
-            return labels.select(F.col("u").alias("key"), F.col("c").alias("comp"))
-        labels = labels.select("u", "c")
+    before = None
+    while before != (now := labels.agg(F.sum(F.col("c").cast("decimal(38,0)"))).first()[0]):
+        before = now
+        around = e.join(labels.withColumnRenamed("u", "v"), "v").select("u", "c").union(labels)
+        fell = common.staged(around.groupBy("u").agg(F.min("c").alias("c")), "fell")
+        labels = common.staged(fell.join(fell.select(F.col("u").alias("c"), F.col("c").alias("d")), "c").select("u", F.col("d").alias("c")), "labels")
+    return labels.select(F.col("u").alias("key"), F.col("c").alias("comp"))
 
 
 def _apart(tokens: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -217,6 +218,15 @@ def _apart(tokens: DataFrame, comps: DataFrame | None) -> DataFrame:
     return common.staged(t.join(mixed, "t"), "apart")
 
 
+def _with_earlier(apart: DataFrame) -> DataFrame:
+    """Tokens with earlier: up to EARLIER tokens that come before it in its text. A pair is proposed at its first
+    shared token; where a text has more tokens a pair may come up again, and is then made distinct."""
+    rows = apart.groupBy("key", "n", "comp").agg(F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("all"))
+    each = rows.select("key", "n", "comp", "all", F.posexplode("all").alias("k", "x"))
+    before = F.transform(F.slice("all", F.greatest(F.col("k") - EARLIER + 1, F.lit(1)), F.least(F.col("k"), F.lit(EARLIER))), lambda s: s["t"])
+    return each.select("key", "n", "comp", F.col("x.t").alias("t"), F.col("x.pos").alias("pos"), before.alias("earlier"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id per row.
 
@@ -234,25 +244,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = common.staged(counted.where("frag < 0").mapInPandas(_classes, "doc_id long, key long, n long"), "classes")
     sets = common.staged(counted.where("frag >= 0").groupBy("bucket").applyInPandas(partial(_gather, fragments), _SETS), "sets")
     tokens = sets.where("piece = -1").select("key", "n", "skip", F.posexplode("part").alias("p", "t")).select("t", "key", "n", (F.col("skip") + F.col("p")).alias("pos"))
-    apart, edges, tried, comps = _apart(tokens, None), None, None, None
-    for hub in (F.min, F.max):  # one hub per shingle, then another of those still apart
-        if apart.isEmpty():
-            break
-        hubs = apart.groupBy("t").agg(hub(F.struct("comp", "key", "n")).alias("h"))
-        star = apart.join(hubs, "t").where((F.col("comp") != F.col("h.comp")) & _alike(F.col("n"), F.col("h.n")))
+    apart, comps = _apart(tokens, None), None
+    if not apart.isEmpty():
+        # a shingle's hub is the text where it comes first in the order: the one with the fewest rare shingles, at a group's centre
+        hubs = apart.groupBy("t").agg(F.min(F.struct("pos", "key", "n")).alias("h"))
+        star = apart.join(hubs, "t").where((F.col("key") != F.col("h.key")) & _alike(F.col("n"), F.col("h.n")))
         star = common.staged(star.select(F.least("key", "h.key").alias("a"), F.greatest("key", "h.key").alias("b")).distinct(), "star")
-        found = linked(star, sets)
-        edges = common.staged(found if comps is None else found.union(comps.where("key != comp").select(F.col("comp").alias("a"), F.col("key").alias("b"))), "links")
-        tried = star if tried is None else tried.union(star)
-        comps = components(edges)
+        comps = components(linked(star, sets))
         apart = _apart(apart, comps)
     if not apart.isEmpty():
-        x = apart.select("t", F.col("key").alias("a"), F.col("n").alias("na"), F.col("pos").alias("i"), F.col("comp").alias("ca"))
-        y = apart.select("t", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("j"), F.col("comp").alias("cb"))
+        own = _with_earlier(apart)
+        x = own.select("t", F.col("key").alias("a"), F.col("n").alias("na"), F.col("pos").alias("i"), F.col("comp").alias("ca"), F.col("earlier").alias("ea"))
+        y = own.select("t", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("j"), F.col("comp").alias("cb"), F.col("earlier").alias("eb"))
         # the first shared shingle leaves at most the rest of either; what both need is known from their sizes
         room = F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j"))
-        pairs = x.join(y, "t").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _alike(F.col("na"), F.col("nb")) & ((100 + PERCENT) * room >= PERCENT * (F.col("na") + F.col("nb"))))
-        pairs = common.staged(pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        able = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _alike(F.col("na"), F.col("nb")) & ((100 + PERCENT) * room >= PERCENT * (F.col("na") + F.col("nb")))
+        pairs = x.join(y, "t").where(able & ~F.arrays_overlap("ea", "eb"))
+        pairs = common.staged(pairs.select("a", "b").distinct().join(star, ["a", "b"], "left_anti"), "pairs")
         comps = components(linked(pairs, sets).union(comps.where("key != comp").select(F.col("comp").alias("a"), F.col("key").alias("b"))))
     if comps is not None:
         classes = classes.join(comps, "key", "left").select("doc_id", "n", F.coalesce("comp", "key").alias("comp"))
