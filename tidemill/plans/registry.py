@@ -477,8 +477,10 @@ def _(t):
 
 @_query("o80_dip")
 def _(t):
-    groups = t("events").where("value is not null").groupBy("event_type").agg(F.array_sort(F.collect_set(F.round("value", 1))).alias("values"))
-    return modality.with_dip(groups, samples=50).select("event_type", "dip", "p")
+    # equal values are counted before they meet, so a group holds each value once
+    each = t("events").where("value is not null").groupBy("event_type", "value").agg(F.count(F.lit(1)).alias("n"))
+    groups = each.groupBy("event_type").agg(F.array_sort(F.collect_list(F.struct("value", "n"))).alias("v"))
+    return modality.with_dip(groups.select("event_type", F.col("v.value").alias("values"), F.col("v.n").alias("counts")), counts="counts").select("event_type", "dip", "p")
 
 
 def _sample(t) -> DataFrame:
