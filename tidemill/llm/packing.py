@@ -1,11 +1,12 @@
 """Packing of documents into sequences of a fixed number of tokens.
 
 A longer document is cut into full pieces, the rest coming first; full pieces are sequences of
-their own. The other pieces are dealt by hash into groups of bounded size. In a group they are
-placed best fit first, then improved by swaps: one-for-one, two-for-one and moves out of the
-emptiest bin into fuller ones, each raising the sum of squared fills, until bins empty or no such
-step is left. Bins that stay poorly filled are opened again and packed together with those of other
-groups, level by level, until one group is left, so the loss doesn't grow with the groups.
+their own. Best fit of all other pieces at once is planned from the number of pieces of each length,
+which is a small table whatever the input, and carried out in groups of bounded size. If that takes
+more sequences than the total of tokens needs, the bins with room, dealt into groups of bounded size,
+are improved by moves and one-for-one, two-for-one and one-for-two swaps into bins at least as full,
+each raising the sum of squared fills, until no such step is left in a group; then they are dealt anew, as
+long as that makes the sequences fewer.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, tokens
@@ -26,10 +27,10 @@ from . import common, tokens
 CAPACITY = 2048
 #: Pieces of a group, about.
 GROUP = 6000
-#: Groups whose open bins meet in one on the next level.
-FAN = 128
-#: Bins filled below this share are opened again on the next level.
-FULL = 0.97
+#: Groups whose open bins are searched as one.
+FAN = 2
+#: Bins filled below this share are open to the search: all that have room.
+FULL = 1.0
 #: Bins in a row that could not be emptied, before the search ends: the next ones are fuller still.
 PATIENCE = 8
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -175,26 +176,75 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[li
     return done + [[i for _, i in b.items] for b in under + stuck]
 
 
-_PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, open boolean, grp long"
+def plan(histogram: dict[int, int], capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """best_fit() of all pieces at once, from the number of pieces of each length: (runs, ends, number of bins).
 
-
-def _pack(capacity: int, level: int, last: bool, group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values(["doc_id", "piece", "start", "length", "ids_crc32"], kind="stable", ignore_index=True)
-    lengths = group["length"].tolist()
-    bins = improve(best_fit(lengths, capacity), lengths, capacity)
-    grp = int(group["grp"].iloc[0])
+    A run (length, rank, bin, times, offset) says that the pieces of that length from that rank on lie
+    so many to a bin, in the bins from `bin` on, from `offset` on; ends are (bin, fill) of ranges of bins.
+    Bins alike are one range, so the work depends on the number of lengths, not on that of pieces.
+    """
+    by_room: dict[int, list[tuple[int, int]]] = {}
+    rooms, bins, runs = 0, 0, []
+    for n in sorted(histogram, reverse=True):
+        left, rank = histogram[n], 0
+        while left:
+            fit = rooms >> n
+            if fit:
+                room = n + (fit & -fit).bit_length() - 1
+                first, count = by_room[room].pop()
+                if not by_room[room]:
+                    rooms ^= 1 << room
+            else:
+                room, first, count = capacity, bins, -(-left // (capacity // n))
+                bins += count
+            times = room // n  # no room from n to here is left, so a bin takes all that it can
+            whole = min(count, left // times)
+            rest = left - whole * times if whole < count else 0
+            for k, t in ((whole, times), (min(rest, 1), rest), (count - whole - min(rest, 1), 0)):
+                if k:
+                    if t:
+                        runs.append((n, rank, first, t, capacity - room))
+                    by_room.setdefault(room - t * n, []).append((first, k))
+                    rooms |= 1 << (room - t * n)
+                    first, rank, left = first + k, rank + k * t, left - k * t
+    ends = [(first, capacity - room) for room, own in by_room.items() for first, _ in own]
+    return np.array(sorted(runs), np.int64).reshape(-1, 5), np.array(sorted(ends), np.int64).reshape(-1, 2), bins
+
+
+_PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, open boolean"
+_ORDER = ["doc_id", "piece", "start", "length", "ids_crc32"]
+
+
+def _place(capacity: int, runs: np.ndarray, ends: np.ndarray, group: pd.DataFrame, ranks: pd.DataFrame) -> pd.DataFrame:
+    """Put the pieces of a group where the plan has those of their lengths and ranks."""
+    group = group.sort_values(_ORDER, kind="stable", ignore_index=True)
+    n = group["length"].to_numpy()
+    rank = group.groupby("length").cumcount().to_numpy() + group["length"].map(dict(zip(ranks["length"], ranks["rank"]))).to_numpy()
+    _, first, times, offset = runs.T[1:]
+    # runs are in order of length and rank
+    k = np.searchsorted(runs[:, 0] * (1 << 48) + runs[:, 1], n * (1 << 48) + rank, "right") - 1
+    past = rank - runs[k, 1]
+    seq = first[k] + past // times[k]
+    fill = ends[np.searchsorted(ends[:, 0], seq, "right") - 1, 1]
+    return group.assign(sequence_id=seq, offset=offset[k] + past % times[k] * n, open=fill < FULL * capacity)[[x.split()[0] for x in _PLACED.split(", ")]]
+
+
+def _search(capacity: int, group: pd.DataFrame) -> pd.DataFrame:
+    """Improve the bins of a group; those that are left keep the first of the group's ids."""
+    group = group.sort_values(["sequence_id", "offset"], kind="stable", ignore_index=True)
+    lengths, ids = group["length"].tolist(), group["sequence_id"].unique()
+    bins = improve([x.tolist() for x in group.groupby("sequence_id").indices.values()], lengths, capacity)
     order, seq, offset, opened = [], [], [], []
     for k, b in enumerate(bins):
         at = 0
-        still = not last and sum(lengths[i] for i in b) < FULL * capacity
+        still = sum(lengths[i] for i in b) < FULL * capacity
         for i in b:
             order.append(i)
-            seq.append(((level + 1) << 56) + (grp << 24) + k)
+            seq.append(ids[k])
             offset.append(at)
             opened.append(still)
             at += lengths[i]
-    out = group.iloc[order].copy()
-    return out.assign(sequence_id=seq, offset=offset, open=opened)[[x.split()[0] for x in _PLACED.split(", ")]]
+    return group.iloc[order].copy().assign(sequence_id=seq, offset=offset, open=opened)[[x.split()[0] for x in _PLACED.split(", ")]]
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -202,20 +252,34 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     Rows alike are packed one by one, an empty table gives none, ties are settled by doc_id and piece.
     """
-    found = common.staged(found, "pieces")
-    part = found.where(F.col("length") < capacity)
-    groups = -(-part.count() // GROUP)
+    # dealt by place, so that rows alike are spread too
+    found = common.staged(found.withColumn("_deal", F.xxhash64(F.monotonically_increasing_id())), "pieces")
     # full pieces are sequences of their own
-    whole = found.where(F.col("length") == capacity)
+    whole = found.where(F.col("length") == capacity).drop("_deal")
     out = whole.select("*", (F.lit(1 << 62) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    # dealt by place in the staged files, so that rows alike are spread too
-    level, rows = 0, part.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(max(groups, 1))))
-    while groups:
-        placed = common.staged(rows.groupBy("grp").applyInPandas(partial(_pack, capacity, level, groups == 1), _PLACED), f"packed{level}")
-        out = out.unionByName(placed.where("not open").drop("open", "grp"))
-        rows = placed.where("open").select(*found.columns, F.floor(F.col("grp") / FAN).alias("grp"))
-        groups, level = (0 if groups == 1 else -(-groups // FAN)), level + 1
-    return out
+    part = found.where(F.col("length") < capacity)
+    histogram = {r["length"]: r["count"] for r in part.groupBy("length").count().collect()}
+    if not histogram:
+        return out
+    runs, ends, sequences = plan(histogram, capacity)
+    part = part.withColumn("grp", F.pmod("_deal", F.lit(-(-sum(histogram.values()) // GROUP)))).drop("_deal")
+    sizes = part.groupBy("length", "grp").agg(F.count(F.lit(1)).alias("n"))
+    ranks = sizes.withColumn("rank", F.sum("n").over(Window.partitionBy("length").orderBy("grp")) - F.col("n")).select("length", "grp", "rank")
+    place = partial(_place, capacity, runs, ends)
+    rows = common.staged(part.groupBy("grp").cogroup(ranks.groupBy("grp")).applyInPandas(lambda a, b: place(a, b), _PLACED), "packed")
+    least, level, fewer = -(-sum(n * k for n, k in histogram.items()) // capacity), 0, True
+    while fewer and sequences > least:
+        out = out.unionByName(rows.where("not open").drop("open"))
+        rows = rows.where("open")
+        n, before = rows.agg(F.count(F.lit(1)), F.countDistinct("sequence_id")).first()
+        groups = -(-n // (FAN * GROUP))
+        if not groups:
+            return out
+        dealt = rows.drop("open").withColumn("grp", F.pmod(F.xxhash64("sequence_id", F.lit(level)), F.lit(groups)))
+        rows = common.staged(dealt.groupBy("grp").applyInPandas(partial(_search, capacity), _PLACED), f"searched{level}")
+        fewer = before - rows.select(F.countDistinct("sequence_id")).first()[0]
+        sequences, level, fewer = sequences - fewer, level + 1, fewer and groups > 1
+    return out.unionByName(rows.drop("open"))
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:
