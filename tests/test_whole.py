@@ -49,3 +49,14 @@ def test_groups_cost_no_sequences(spark, monkeypatch):
     fill = got.groupby("sequence_id").length.sum()
     assert sorted(got.doc_id) == list(range(len(own))) and fill.max() <= 2048 and (got.groupby("sequence_id").length.cumsum() - got.length == got.offset).all()
     assert len(fill) <= len(packing.best_fit(own, 2048))
+
+
+def test_local_search_goes_on_after_stuck_bins():
+    rng = np.random.default_rng(0)
+    own = rng.integers(600, 801, 1000).tolist()
+    first = packing.best_fit(own, 2048)
+    last = packing.improve(first, own, 2048)
+    assert sorted(i for b in last for i in b) == list(range(1000)) and max(sum(own[i] for i in b) for b in last) <= 2048
+    assert len(last) <= 0.97 * len(first)  # 400 bins; a search that gave up after 8 stuck ones stayed there
+    again = packing._Bins([b for b in last if sum(own[i] for i in b) < 2048], own, 2048)
+    assert not any(again.step(k) for k in range(len(again.items)))

@@ -12,7 +12,6 @@ long as that makes the sequences fewer.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import partial
 
@@ -31,8 +30,6 @@ GROUP = 6000
 FAN = 2
 #: Bins filled below this share are open to the search: all that have room.
 FULL = 1.0
-#: Bins in a row that could not be emptied, before the search ends: the next ones are fuller still.
-PATIENCE = 8
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -86,94 +83,87 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-class _Bin:
-    """Items as an ascending list of (length, index)."""
-
-    def __init__(self, items: list[tuple[int, int]]):
-        self.items, self.fill = sorted(items), sum(n for n, _ in items)
-
-    def take(self, item: tuple[int, int]) -> None:
-        self.items.remove(item)
-        self.fill -= item[0]
-
-    def put(self, item: tuple[int, int]) -> None:
-        insort(self.items, item)
-        self.fill += item[0]
-
-    def most(self, limit: int) -> tuple[int, int] | None:
-        """The longest item of at most `limit`."""
-        k = bisect_left(self.items, (limit + 1, -1))
-        return self.items[k - 1] if k else None
-
-
-def _step(low: _Bin, high: _Bin, capacity: int) -> tuple[list, list] | None:
-    """(items from low to high, items from high to low) that raise high's fill the most, within its room; None without any.
-
-    high is at least as full as low, so each unit that goes there raises the sum of squares.
-    """
-    room = capacity - high.fill
-    best, gain = None, 0
-    if (x := low.most(room)) and x[0] > gain:  # a move
-        best, gain = ([x], []), x[0]
-    if gain < room:
-        for y in high.items:  # one for one
-            if (x := low.most(y[0] + room)) and x[0] - y[0] > gain:
-                best, gain = ([x], [y]), x[0] - y[0]
-    if gain < room and len(low.items) > 1:
-        for y in high.items:  # two of low for one of high
-            i, j = 0, len(low.items) - 1
-            while i < j:
-                n = low.items[i][0] + low.items[j][0] - y[0]
-                if n > room:
-                    j -= 1
-                else:
-                    if n > gain:
-                        best, gain = ([low.items[i], low.items[j]], [y]), n
-                    i += 1
-    if gain < room and len(high.items) > 1:
-        for x in low.items:  # one of low for two of high
-            i, j = 0, len(high.items) - 1
-            while i < j:
-                n = x[0] - high.items[i][0] - high.items[j][0]
-                if n > room:
-                    i += 1
-                else:
-                    if n > gain:
-                        best, gain = ([x], [high.items[i], high.items[j]]), n
-                    j -= 1
-    return best
+class _Bins:
+    """Bins of items, as arrays over items and bins, so that one bin is compared with all others at once."""
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
+        self.items, self.n = [list(b) for b in bins], np.asarray(lengths, np.int64)
+        self.fill = np.array([sum(lengths[i] for i in b) for b in bins], np.int64)
+        self.capacity, self.own = capacity, np.array([i for b in bins for i in b], np.int64)
+        self.bin = np.zeros(len(lengths), np.int64)
+        for k, b in enumerate(bins):
+            self.bin[b] = k
+        self.pairs = [self._pairs(b) for b in bins]
+        self._join()
+
+    def _pairs(self, items: list[int]) -> np.ndarray:
+        i, j = np.triu_indices(len(items), 1)
+        own = np.asarray(items, np.int64)
+        return np.stack((own[i], own[j])) if len(i) else np.zeros((2, 0), np.int64)
+
+    def _join(self) -> None:
+        """All pairs within bins: items, sum and bin."""
+        self.two = np.concatenate(self.pairs, 1)
+        self.two_n, self.two_bin = self.n[self.two].sum(0), self.bin[self.two[0]]
+
+    def step(self, low: int) -> tuple[int, list[int], list[int]] | None:
+        """(bin, items to it, items from it) of the step out of `low` that raises a bin at least as full the most, within its room."""
+        # a bin of no room, one emptier than low, and low itself take nothing
+        room = np.where(self.fill >= self.fill[low], self.capacity - self.fill, 0)
+        room[low] = 0
+        top, best, gain = int(room.max(initial=0)), None, 0
+        mine = {int(self.n[i]): [i] for i in self.items[low]}
+        for i, j in self.pairs[low].T.tolist():
+            mine.setdefault(int(self.n[i] + self.n[j]), [i, j])
+        item_room, item_n, two_room = room[self.bin[self.own]], self.n[self.own], room[self.two_bin]
+        for x, give in mine.items():
+            if len(give) == 1:
+                if gain < x <= top:  # a move
+                    best, gain = (int(room.argmax()), give, []), x
+                g = np.where(x - self.two_n <= two_room, x - self.two_n, 0)  # one for two
+                if len(g) and g[k := int(g.argmax())] > gain:
+                    best, gain = (int(self.two_bin[k]), give, self.two[:, k].tolist()), int(g[k])
+            g = np.where(x - item_n <= item_room, x - item_n, 0)  # one or two for one
+            if g[k := int(g.argmax())] > gain:
+                best, gain = (int(self.bin[self.own[k]]), give, [int(self.own[k])]), int(g[k])
+        return best
+
+    def swap(self, low: int, high: int, give: list[int], take: list[int]) -> None:
+        for a, b, moved in ((low, high, give), (high, low, take)):
+            for i in moved:
+                self.items[a].remove(i)
+                self.items[b].append(i)
+                self.fill[a] -= self.n[i]
+                self.fill[b] += self.n[i]
+                self.bin[i] = b
+        self.pairs[low], self.pairs[high] = self._pairs(self.items[low]), self._pairs(self.items[high])
+        self._join()
 
 
 def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
-    """Local search on the bins with room: the emptiest gives to the others until it is empty or no step helps.
+    """Local search on the bins with room: each, the emptiest first, gives to all at least as full until it is empty or no step helps.
 
-    Ends as soon as there are as few bins as the total allows. Each step raises the sum of squared
-    fills, so there is an end; a bin that got stuck is left and the next emptiest tried, PATIENCE times.
+    Ends as soon as there are as few bins as the total allows, or when a whole pass over all bins with
+    room finds no step; a bin that got stuck stays a partner of the others and is tried again in the
+    next pass. Each step raises the sum of squared fills, so there is an end.
     """
     least = -(-sum(lengths) // capacity)
-    done = [b for b in bins if sum(lengths[i] for i in b) == capacity]
-    under = sorted((_Bin([(lengths[i], i) for i in b]) for b in bins if sum(lengths[i] for i in b) < capacity), key=lambda b: b.fill)
-    stuck: list[_Bin] = []
-    while under and len(stuck) < PATIENCE and len(done) + len(under) + len(stuck) > least:
-        low, rest = under[0], under[1:]
-        room = sum(capacity - b.fill for b in rest)
-        moved = room >= low.fill
-        while moved and low.items:
-            moved = False
-            for high in sorted(rest, key=lambda b: -b.fill):
-                if high.fill >= low.fill and high.fill < capacity and low.items and (s := _step(low, high, capacity)):
-                    for x in s[0]:
-                        low.take(x)
-                        high.put(x)
-                    for y in s[1]:
-                        high.take(y)
-                        low.put(y)
-                    moved = True
-        under = sorted((b for b in rest if b.fill < capacity), key=lambda b: b.fill)
-        done += [[i for _, i in b.items] for b in rest if b.fill == capacity]
-        if low.items:
-            stuck.append(low)
-    return done + [[i for _, i in b.items] for b in under + stuck]
+    if len(bins) <= least:
+        return bins
+    fills = [sum(lengths[i] for i in b) for b in bins]
+    done = [b for b, n in zip(bins, fills) if n == capacity]
+    found = _Bins([b for b, n in zip(bins, fills) if n < capacity], lengths, capacity)
+    left, moved = len(bins), True
+    while moved and left > least:
+        moved = False
+        for low in np.argsort(found.fill, kind="stable").tolist():
+            while 0 < found.fill[low] < capacity and (s := found.step(low)):
+                found.swap(low, *s)
+                moved = True
+                left -= not found.items[low]
+            if left <= least:
+                break
+    return done + [b for b in found.items if b]
 
 
 def plan(histogram: dict[int, int], capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
