@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from tidemill.llm import packing
-from tidemill.operators import modality
+from tidemill.operators import cluster, embed, modality
 from tidemill.plans import registry
 
 
@@ -60,3 +60,38 @@ def test_local_search_goes_on_after_stuck_bins():
     assert len(last) <= 0.97 * len(first)  # 400 bins; a search that gave up after 8 stuck ones stayed there
     again = packing._Bins([b for b in last if sum(own[i] for i in b) < 2048], own, 2048)
     assert not any(again.step(k) for k in range(len(again.items)))
+
+
+def test_kernels_need_no_square_of_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(7)
+    x = np.concatenate((rng.normal(0, 1, (2000, 2)), rng.normal(60, 1, (2000, 2))))  # 128 MB a matrix
+    tracemalloc.start()
+    z = cluster.linkage(x)
+    i, j = cluster.mutual_pairs(x, 9)
+    embed.tsne(x, perplexity=5, iterations=2)
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+    assert len(set(cluster.cut(z, 2)[:2000])) == 1 and len(set(cluster.cut(z, 2))) == 2
+    labels = cluster.components_of(4000, i, j)
+    assert not set(labels[:2000]) & set(labels[2000:])
+
+
+def test_blockwise_kernels_are_the_dense_ones():
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 9, (300, 2)).astype(float)
+    near = cluster.mutual_neighbours(x, 9)
+    assert (near == near.T).all() and cluster.components_of(300, *cluster.mutual_pairs(x, 9)).tolist() == cluster.components(near).tolist()
+    x = rng.normal(size=(120, 6))
+    y = embed.tsne(x, perplexity=8, iterations=1, seed=3)
+    p = embed.affinities((x - x.mean(0)) / (x - x.mean(0)).max(), 8)
+    a = np.random.default_rng(3).normal(size=(120, 2)) * 1e-4
+    q = 1 / (1 + ((a[:, None] - a) ** 2).sum(2))
+    np.fill_diagonal(q, 0)
+    grad = ((p * 12 - q / q.sum()) * q)[:, :, None] * (a[:, None] - a)
+    grad = grad.sum(1)
+    b = a - 200 * 1.2 * grad
+    assert y == pytest.approx(b - b.mean(0), abs=1e-9)
+
+
