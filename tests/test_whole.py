@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from tidemill.config import Options
 from tidemill.llm import packing
 from tidemill.operators import cluster, embed, modality
 from tidemill.plans import registry
@@ -95,3 +96,12 @@ def test_blockwise_kernels_are_the_dense_ones():
     assert y == pytest.approx(b - b.mean(0), abs=1e-9)
 
 
+def test_registered_screens_do_the_default_job(monkeypatch):
+    o = registry._FULL
+    assert o == Options(kmer=2, seed=1)
+    seen = {}
+    monkeypatch.setattr(registry.embed, "tsne", lambda x, **k: seen.update(k) or x[:, :2])
+    monkeypatch.setattr(registry.modality, "multimodal", lambda x, **k: seen.update(k) or True)
+    group = pd.DataFrame({"label": 1, "pid": range(40), "vec": list(np.random.default_rng(9).normal(size=(40, 3)))})
+    registry._embedded(group), registry._modes(group)
+    assert not {"iterations", "samples"} & set(seen)

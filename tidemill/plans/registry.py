@@ -487,23 +487,24 @@ def _sample(t) -> DataFrame:
     return t("documents").where("text is not null").select(F.col("lang").alias("sample"), F.col("doc_id").alias("contig_idx"), F.col("doc_id").cast("string").alias("id"), F.col("text").alias("seq"))
 
 
-_SMALL = Options(kmer=2, target_points=120, subsamples=3, null_samples=100, tsne_iterations=150, seed=1)
+#: Text has few k-mers of ACGT alone, so k is 2; all else is the default.
+_FULL = Options(kmer=2, seed=1)
 
 
 @_query("o73_estimate_k")
 def _(t):
-    return plan.screen(_sample(t), _SMALL)["samples"].select("sample", "ward_k", "ward_clusters")
+    return plan.screen(_sample(t), _FULL)["samples"].select("sample", "ward_k", "ward_clusters")
 
 
 @_query("screen_e2e")
 def _(t):
-    return plan.screen(_sample(t), _SMALL)["samples"].drop("outliers")
+    return plan.screen(_sample(t), _FULL)["samples"].drop("outliers")
 
 
 @_query("screen_annotated")
 def _(t):
     tax = t("documents").join(t("labels").where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("doc_id").cast("string").alias("contig"), F.col("source").alias("taxonomy"))
-    return plan.screen(_sample(t), _SMALL, annotations=tax)["contigs"].select("sample", "contig", "label", "taxonomy", "confidence", "state")
+    return plan.screen(_sample(t), _FULL, annotations=tax)["contigs"].select("sample", "contig", "label", "taxonomy", "confidence", "state")
 
 
 # --- kernels over groups of points, joins of the report
@@ -526,12 +527,12 @@ def _cut(group: pd.DataFrame) -> pd.DataFrame:
 
 def _modes(group: pd.DataFrame) -> pd.DataFrame:
     x = np.stack(group.sort_values("pid")["vec"].to_numpy())
-    return pd.DataFrame({"label": [group["label"].iloc[0]], "is_multimodal": [modality.multimodal(x, samples=200)]})
+    return pd.DataFrame({"label": [group["label"].iloc[0]], "is_multimodal": [modality.multimodal(x)]})
 
 
 def _embedded(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values("pid")
-    y = embed.tsne(np.stack(group["vec"].to_numpy()), perplexity=min(10, (len(group) - 1) // 3), iterations=150, seed=1)
+    y = embed.tsne(np.stack(group["vec"].to_numpy()), perplexity=min(10, (len(group) - 1) // 3), seed=1)
     return pd.DataFrame({"label": group["label"], "pid": group["pid"], "x": y[:, 0], "y": y[:, 1]})
 
 
