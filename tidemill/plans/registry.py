@@ -475,6 +475,12 @@ def _(t):
     return axes.agg(_r(F.sum("v")).alias("variance"))
 
 
+@_query("o78_pca_axes")
+def _(t):
+    width = len(points(t).first().vec)
+    return stats.project(points(t), width).select(F.posexplode("pc").alias("dim", "x")).groupBy("dim").agg(F.var_pop("x").alias("variance"))
+
+
 @_query("o80_dip")
 def _(t):
     # equal values are counted before they meet, so a group holds each value once
@@ -554,6 +560,16 @@ def _(t):
     return _per_label(t, _cut, "label int, pid long, cluster int").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cluster").alias("clusters"))
 
 
+@_query("o88_ward_merges")
+def _(t):
+    return _per_label(t, _ward, "label int, step int, a int, b int, height double, size int")
+
+
+@_query("o89_cut_labels")
+def _(t):
+    return _per_label(t, _cut, "label int, pid long, cluster int")
+
+
 @_query("o82_multimodal")
 def _(t):
     return _per_label(t, _modes, "label int, is_multimodal boolean")
