@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from tidemill.llm import packing, token_output, tokens
 
@@ -14,12 +15,13 @@ def enc():
     return tokens.Encoder(tokens.default_tokenizer(), slots=1 << 12)
 
 
-def plain(enc, text):
-    return enc.tokenizer.encode(text or "", add_special_tokens=False).ids
+def plain(enc, text, fresh=Tokenizer.from_file(tokens.default_tokenizer())):
+    """By a tokenizer of its own, as the library has it."""
+    return fresh.encode(text or "", add_special_tokens=False).ids
 
 
 def test_encoder_matches_the_library(enc):
-    hard = ["", None, " ", "  a", "a  b", "\n\nA", " \nA", "\t\tfoo", "'s 'll don't", "x''s 90's '' s", "é's ÿ'll 'über", "a×b ÷ c", "１２ ¼½ 3²", "🙂 🙂a", "<|endoftext|> x", "a\x85b \x85", "x\x1c y", "a\r\n b\n", "ǅ ʰ"]
+    hard = ["", None, " ", "  a", "a  b", "\n\nA", " \nA", "\t\tfoo", "'s 'll don't", "x''s 90's '' s", "é's ÿ'll 'über", "a×b ÷ c", "１２ ¼½ 3²", "🙂 🙂a", "<|endoftext|> x", "a b<|endoftext|>", "<|endoftext|><|endoftext|>\n", "<|endoftext |>", "a\x85b \x85", "x\x1c y", "a\r\n b\n", "ǅ ʰ"]
     rng = random.Random(1)
     letters = [*"abétlLd1 2.\n\t!-", "'s", " '", "  ", "ß"]
     texts = hard + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 25))) for _ in range(3000)] + [" ".join(rng.choice("abcdef") * rng.randint(1, 9) for _ in range(30_000))]
@@ -34,13 +36,16 @@ def test_files_round_trip(spark, tmp_path, enc):
     path = str(tmp_path / "out")
     manifest = token_output.write_shards(spark.createDataFrame(rows, DOCS), path)
     got = token_output.read_shards(manifest, path, with_ids=True).orderBy("start").collect()
-    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda d: (d is not None, d or 0))
+    left = {(r[0], tuple(plain(enc, r[1]) + [0])): r for r in rows}
     start = 0
-    for g, w in zip(got, want, strict=True):
+    for g in got:
+        w = left.pop((g.doc_id, tuple(g.ids)))
         ids = plain(enc, w[1]) + [0]
         assert (g.doc_id, g.start, g.n_tokens, g.ids) == (w[0], start, len(ids), ids)
         assert g.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
         start += len(ids)
+    assert not left
     m = max(manifest.collect(), key=lambda r: r.n_docs)
     for k in range(m.n_docs - 1, -1, -1):
         doc, ids = token_output.read_record(path, m.path, k)
@@ -49,6 +54,24 @@ def test_files_round_trip(spark, tmp_path, enc):
     assert token_output.read_shards(empty, str(tmp_path / "none")).count() == 0
 
 
+def test_segments(spark, tmp_path, enc):
+    """A repeated id spreads over shards, a shard over segments; a shuffled read finds each record by the index."""
+    rows = [(4, f"text {i} " * (i % 7), "x") for i in range(200)] + [(4, "same", "x")] * 3
+    path = str(tmp_path / "out")
+    manifest = token_output.write_shards(spark.createDataFrame(rows, "doc_id long, text string, th string"), path)
+    segments = []
+    for shard in {r.path for r in manifest.collect()}:
+        index = np.fromfile(f"{shard}.idx", token_output.INDEX)
+        at = list(range(0, len(index), 7)) + [len(index)]
+        segments += [(int(shard.split("shard-")[1][:6]), shard, a, int(index["offset"][a]), b - a, int(index["n"][a:b].sum())) for a, b in zip(at, at[1:])]
+        for k in (len(index) - 1, 0, len(index) // 2):
+            assert len(token_output.read_record(path, shard, k)[1]) == index["n"][k]
+    assert manifest.select("path").distinct().count() > 1
+    a = token_output.read_shards(manifest, path).orderBy("start").collect()
+    b = token_output.read_shards(spark.createDataFrame(segments, token_output._MANIFEST), path).orderBy("start").collect()
+    assert a == b and len(a) == 203 and [r.start for r in a] == np.concatenate(([0], np.cumsum([r.n_tokens for r in a])))[:-1].tolist()
+
+
 def test_damage_is_found():
     rec = token_output.frame(b"payload")
     assert bytes(token_output.unframe(rec, 0)[0]) == b"payload"
@@ -77,21 +100,76 @@ def test_local_search_empties_bins():
     assert len(packing.improve(packing.best_fit(halves, 2048), halves, 2048)) == 300
 
 
+def decreasing(lengths, capacity=2048):
+    """Plain best fit, longest first, as the figure to reach."""
+    return packing.best_fit(sorted(lengths, reverse=True), capacity)
+
+
+def laid_out(got):
+    """Sequences lie gapless from 0 and hold no more than fits; their fills."""
+    o = got.sort_values(["sequence_id", "offset"])
+    assert (o.groupby("sequence_id").length.cumsum() - o.length == o.offset).all()
+    fill = o.groupby("sequence_id").length.sum()
+    assert fill.max() <= 2048
+    return fill
+
+
 def test_packing(spark, enc, monkeypatch):
-    monkeypatch.setattr(packing, "GROUP", 40)
-    monkeypatch.setattr(packing, "FAN", 2)
+    monkeypatch.setattr(packing, "GROUP", 60)
     rng = random.Random(3)
-    rows = [(i, " ".join(rng.choice(["alpha", "beta", "of", "no."]) for _ in range(rng.randint(0, 1500))), "x") for i in range(200)] + [(500, "long " * 9000, "x"), (501, None, None), (502, "", "x"), (7, "twice", "x"), (7, "twice", "x")]
-    docs = spark.createDataFrame(rows, DOCS)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "of", "no."]) for _ in range(rng.randint(0, 1500))), "x") for i in range(200)] + [(500, "long " * 9000, "x"), (501, None, None), (502, "", "x"), (7, "twice", "x"), (7, "twice", "x"), (None, "no id", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, deal_ string")
     got = packing.pack(packing.pieces(docs)).toPandas()
     assert sorted(got.columns) == sorted("doc_id piece start length ids_crc32 sequence_id offset".split())
-    total = sum(len(plain(enc, t)) + 1 for _, t, _ in rows)
-    assert got.length.sum() == total and got.length.max() <= 2048
-    o = got.sort_values(["sequence_id", "offset"])
-    assert (o.groupby("sequence_id").length.cumsum() - o.length == o.offset).all() and o.groupby("sequence_id").length.sum().max() <= 2048
-    at_once = packing.best_fit([n for _, t, _ in rows for _, n in packing.cut(len(plain(enc, t)) + 1, 2048)], 2048)
-    assert got.sequence_id.nunique() <= len(at_once) + 2  # little is lost by the groups
+    lengths = [n for _, t, _ in rows for _, n in packing.cut(len(plain(enc, t)) + 1, 2048)]
+    assert sorted(got.length) == sorted(lengths) and len(laid_out(got)) <= len(decreasing(lengths)) + 2  # little is lost by groups of 60
     ids = np.array(plain(enc, rows[200][1]) + [0], "<u4")
     for r in got[got.doc_id == 500].itertuples():
         assert zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32
     assert packing.pack(packing.pieces(spark.createDataFrame([], DOCS))).count() == 0
+
+
+def packed(spark, lengths):
+    rows = [(i, 0, 0, int(n), 0) for i, n in enumerate(lengths)]
+    got = packing.pack(spark.createDataFrame(rows, packing._PIECE)).toPandas()
+    assert sorted(zip(got.doc_id, got.length)) == list(enumerate(lengths))
+    return got
+
+
+def test_groups_cost_no_sequences(spark, monkeypatch):
+    """What the search finds over groups is no more than best fit, longest first, of all pieces at once."""
+    monkeypatch.setattr(packing, "GROUP", 150)
+    rng = np.random.default_rng(6)
+    for own in (rng.permutation([675] * 600 + [23] * 40 + [1000] * 100), rng.integers(1, 1200, 900), rng.integers(600, 801, 900)):
+        got = packed(spark, own.tolist())
+        assert len(laid_out(got)) <= len(decreasing(own.tolist()))
+
+
+def test_the_search_empties_bins(spark, monkeypatch):
+    """Best fit in the order of arrival alone takes more sequences than the search leaves."""
+    own = np.random.default_rng(2).integers(200, 1200, 1500).tolist()
+    searched = len(laid_out(packed(spark, own)))
+    monkeypatch.setattr(packing, "improve", lambda bins, lengths, capacity: bins)
+    assert searched < len(packing.best_fit(own, 2048)) and searched <= -(-sum(own) // 2048) + 1
+
+
+def test_long_pieces_stay_in_groups(spark, monkeypatch):
+    """Pieces of which no two fit together never meet in one group."""
+    monkeypatch.setattr(packing, "GROUP", 500)
+    seen = []
+    first = packing.common.staged
+    monkeypatch.setattr(packing.common, "staged", lambda df, name: (lambda out: (name == "pieces" or seen.append(name), out)[1])(first(df, name)))
+    got = packed(spark, np.random.default_rng(1).integers(1100, 1150, 3000).tolist())
+    assert got.sequence_id.nunique() == 3000 and seen == ["packed", "searched1"]
+    rows = spark.createDataFrame([(i, 0, 0, 1100 + i % 50, 0, i, 0, 1100 + i % 50) for i in range(3000)], "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, fill long")
+    assert packing._emptiest(rows) == 1107
+
+
+def test_local_search_goes_on_after_stuck_bins():
+    own = np.random.default_rng(0).integers(600, 801, 1000).tolist()
+    first = packing.best_fit(own, 2048)
+    last = packing.improve(first, own, 2048)
+    assert sorted(i for b in last for i in b) == list(range(1000)) and max(sum(own[i] for i in b) for b in last) <= 2048
+    assert len(last) <= 0.97 * len(first)
+    again = packing._Bins([b for b in last if sum(own[i] for i in b) < 2048], own, 2048)
+    assert not any(again.step(k) for k in range(len(again.items)))

@@ -1,12 +1,12 @@
 """Packing of documents into sequences of a fixed number of tokens.
 
 A longer document is cut into full pieces, the rest coming first; full pieces are sequences of
-their own. Best fit of all other pieces at once is planned from the number of pieces of each length,
-which is a small table whatever the input, and carried out in groups of bounded size. If that takes
-more sequences than the total of tokens needs, the bins with room, dealt into groups of bounded size,
-are improved by moves and one-for-one, two-for-one and one-for-two swaps into bins at least as full,
-each raising the sum of squared fills, until no such step is left in a group; then they are dealt anew, as
-long as that makes the sequences fewer.
+their own. The other pieces are dealt into groups of bounded size. A group's pieces go, in the order
+in which they come, each into the fullest bin with room; then a local search empties bins by moves
+and one-for-one, two-for-one and one-for-two swaps into bins at least as full, each raising the sum
+of squared fills, until no such step is left. Bins that aren't exactly full are dealt into new groups,
+the emptiest of all into one, and searched again, from a second start too where the first leaves more
+bins than the total needs, as long as that makes the sequences fewer than before.
 """
 
 from __future__ import annotations
@@ -25,11 +25,7 @@ from . import common, tokens
 
 CAPACITY = 2048
 #: Pieces of a group, about.
-GROUP = 6000
-#: Groups whose open bins are searched as one.
-FAN = 2
-#: Bins filled below this share are open to the search: all that have room.
-FULL = 1.0
+GROUP = 8000
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -53,18 +49,22 @@ def _pieces(tokenizer: str, capacity: int, batches: Iterator[pa.RecordBatch]) ->
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of each piece; no exchange. Null text is empty: its end token alone."""
+    """doc_id, piece, start, length, ids_crc32 of each piece; no exchange.
+
+    Null text is empty: its end token alone. A text of any length gives as many pieces as it needs, a
+    null doc_id stays null, repeated rows give their pieces once each, an empty table none; other
+    columns, whatever their names, are not read.
+    """
     run = partial(_pieces, tokenizer or tokens.default_tokenizer(), capacity)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _PIECE)
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Bins of indexes: longest first, each into the fullest bin with room. Rooms are bits of one integer."""
+    """Bins of indexes: each piece, in the order given, into the fullest bin with room. Rooms are bits of one integer."""
     bins: list[list[int]] = []
     by_room: dict[int, list[int]] = {}
     rooms = 0
-    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
-        n = lengths[i]
+    for i, n in enumerate(lengths):
         fit = rooms >> n
         if fit:
             room = n + (fit & -fit).bit_length() - 1
@@ -166,109 +166,93 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[li
     return done + [b for b in found.items if b]
 
 
-def plan(histogram: dict[int, int], capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """best_fit() of all pieces at once, from the number of pieces of each length: (runs, ends, number of bins).
-
-    A run (length, rank, bin, times, offset) says that the pieces of that length from that rank on lie
-    so many to a bin, in the bins from `bin` on, from `offset` on; ends are (bin, fill) of ranges of bins.
-    Bins alike are one range, so the work depends on the number of lengths, not on that of pieces.
-    """
-    by_room: dict[int, list[tuple[int, int]]] = {}
-    rooms, bins, runs = 0, 0, []
-    for n in sorted(histogram, reverse=True):
-        left, rank = histogram[n], 0
-        while left:
-            fit = rooms >> n
-            if fit:
-                room = n + (fit & -fit).bit_length() - 1
-                first, count = by_room[room].pop()
-                if not by_room[room]:
-                    rooms ^= 1 << room
-            else:
-                room, first, count = capacity, bins, -(-left // (capacity // n))
-                bins += count
-            times = room // n  # no room from n to here is left, so a bin takes all that it can
-            whole = min(count, left // times)
-            rest = left - whole * times if whole < count else 0
-            for k, t in ((whole, times), (min(rest, 1), rest), (count - whole - min(rest, 1), 0)):
-                if k:
-                    if t:
-                        runs.append((n, rank, first, t, capacity - room))
-                    by_room.setdefault(room - t * n, []).append((first, k))
-                    rooms |= 1 << (room - t * n)
-                    first, rank, left = first + k, rank + k * t, left - k * t
-    ends = [(first, capacity - room) for room, own in by_room.items() for first, _ in own]
-    return np.array(sorted(runs), np.int64).reshape(-1, 5), np.array(sorted(ends), np.int64).reshape(-1, 2), bins
+_PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, open boolean"
+_NAMES = [x.split()[0] for x in _PLACED.split(", ")]
+#: Bins of a group, at most, by which sequences are numbered.
+_BINS = 1 << 32
 
 
-_PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, open boolean"
-_ORDER = ["doc_id", "piece", "start", "length", "ids_crc32"]
+def _laid(group: pd.DataFrame, bins: list[list[int]], ids: np.ndarray, capacity: int) -> pd.DataFrame:
+    """The rows of a group in the order of their bins, with sequence_id, offset and whether their bin has room."""
+    order = np.array([i for b in bins for i in b], np.int64)
+    n = group["length"].to_numpy()[order]
+    size = np.fromiter(map(len, bins), np.int64, len(bins))
+    ends = np.cumsum(n)
+    last = ends[np.cumsum(size) - 1]
+    fill = np.diff(np.concatenate(([0], last)))
+    return group.iloc[order].assign(sequence_id=np.repeat(ids, size), offset=ends - n - np.repeat(last - fill, size), open=np.repeat(fill < capacity, size))[_NAMES]
 
 
-def _place(capacity: int, runs: np.ndarray, ends: np.ndarray, group: pd.DataFrame, ranks: pd.DataFrame) -> pd.DataFrame:
-    """Put the pieces of a group where the plan has those of their lengths and ranks."""
-    group = group.sort_values(_ORDER, kind="stable", ignore_index=True)
-    n = group["length"].to_numpy()
-    rank = group.groupby("length").cumcount().to_numpy() + group["length"].map(dict(zip(ranks["length"], ranks["rank"]))).to_numpy()
-    _, first, times, offset = runs.T[1:]
-    # runs are in order of length and rank
-    k = np.searchsorted(runs[:, 0] * (1 << 48) + runs[:, 1], n * (1 << 48) + rank, "right") - 1
-    past = rank - runs[k, 1]
-    seq = first[k] + past // times[k]
-    fill = ends[np.searchsorted(ends[:, 0], seq, "right") - 1, 1]
-    return group.assign(sequence_id=seq, offset=offset[k] + past % times[k] * n, open=fill < FULL * capacity)[[x.split()[0] for x in _PLACED.split(", ")]]
+def _first(capacity: int, group: pd.DataFrame) -> pd.DataFrame:
+    """Bins of a group's pieces: best fit in the order in which they are dealt, then the search."""
+    group = group.sort_values(["deal_", "doc_id", "piece", "start", "length", "ids_crc32"], kind="stable", ignore_index=True)
+    lengths = group["length"].tolist()
+    bins = improve(best_fit(lengths, capacity), lengths, capacity)
+    return _laid(group, bins, int(group["grp"].iloc[0]) * _BINS + np.arange(len(bins)), capacity)
 
 
 def _search(capacity: int, group: pd.DataFrame) -> pd.DataFrame:
-    """Improve the bins of a group; those that are left keep the first of the group's ids."""
+    """Improve the bins of a group, and if more are left than the total needs, search from another start, longest first, too.
+
+    Those that are left keep the first of the group's ids.
+    """
     group = group.sort_values(["sequence_id", "offset"], kind="stable", ignore_index=True)
-    lengths, ids = group["length"].tolist(), group["sequence_id"].unique()
+    ids, lengths = group["sequence_id"].unique(), group["length"].tolist()
     bins = improve([x.tolist() for x in group.groupby("sequence_id").indices.values()], lengths, capacity)
-    order, seq, offset, opened = [], [], [], []
-    for k, b in enumerate(bins):
-        at = 0
-        still = sum(lengths[i] for i in b) < FULL * capacity
-        for i in b:
-            order.append(i)
-            seq.append(ids[k])
-            offset.append(at)
-            opened.append(still)
-            at += lengths[i]
-    return group.iloc[order].copy().assign(sequence_id=seq, offset=offset, open=opened)[[x.split()[0] for x in _PLACED.split(", ")]]
+    if len(bins) > -(-sum(lengths) // capacity):
+        order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
+        other = improve([[order[i] for i in b] for b in best_fit([lengths[i] for i in order], capacity)], lengths, capacity)
+        bins = min(bins, other, key=len)
+    return _laid(group, bins, ids[: len(bins)], capacity)
+
+
+def _sequences(rows: DataFrame) -> tuple[int, int]:
+    """(pieces, sequences) of placed rows."""
+    return tuple(rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("offset") == 0, 1))).first())
+
+
+def _emptiest(rows: DataFrame) -> int:
+    """The greatest fill such that the bins up to it hold GROUP pieces at most; -1 if there is none. A row per fill comes to the driver."""
+    held, most = 0, -1
+    for fill, n in sorted(tuple(r) for r in rows.groupBy("fill").count().collect()):
+        held += n
+        if held > GROUP:
+            break
+        most = fill
+    return most
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The rows of pieces() with sequence_id and offset; pieces of a sequence lie gapless from 0.
 
-    Rows alike are packed one by one, an empty table gives none, ties are settled by doc_id and piece.
+    Rows alike are packed one by one, an empty table gives none, ties are settled by the hash by which
+    pieces are dealt, then by doc_id and piece.
     """
     # dealt by place, so that rows alike are spread too
-    found = common.staged(found.withColumn("_deal", F.xxhash64(F.monotonically_increasing_id())), "pieces")
+    found = common.staged(found.withColumn("deal_", F.xxhash64(F.monotonically_increasing_id())), "pieces")
     # full pieces are sequences of their own
-    whole = found.where(F.col("length") == capacity).drop("_deal")
+    whole = found.where(F.col("length") == capacity).drop("deal_")
     out = whole.select("*", (F.lit(1 << 62) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     part = found.where(F.col("length") < capacity)
-    histogram = {r["length"]: r["count"] for r in part.groupBy("length").count().collect()}
-    if not histogram:
+    n, total = part.agg(F.count(F.lit(1)), F.sum("length")).first()
+    if not n:
         return out
-    runs, ends, sequences = plan(histogram, capacity)
-    part = part.withColumn("grp", F.pmod("_deal", F.lit(-(-sum(histogram.values()) // GROUP)))).drop("_deal")
-    sizes = part.groupBy("length", "grp").agg(F.count(F.lit(1)).alias("n"))
-    ranks = sizes.withColumn("rank", F.sum("n").over(Window.partitionBy("length").orderBy("grp")) - F.col("n")).select("length", "grp", "rank")
-    place = partial(_place, capacity, runs, ends)
-    rows = common.staged(part.groupBy("grp").cogroup(ranks.groupBy("grp")).applyInPandas(lambda a, b: place(a, b), _PLACED), "packed")
-    least, level, fewer = -(-sum(n * k for n, k in histogram.items()) // capacity), 0, True
+    least, groups = -(-total // capacity), -(-n // GROUP)
+    dealt = part.withColumn("grp", F.pmod("deal_", F.lit(groups)))
+    rows = common.staged(dealt.groupBy("grp").applyInPandas(lambda g: _first(capacity, g), _PLACED), "packed")
+    sequences, level = _sequences(rows)[1], 0
+    fewer = 1
     while fewer and sequences > least:
         out = out.unionByName(rows.where("not open").drop("open"))
-        rows = rows.where("open")
-        n, before = rows.agg(F.count(F.lit(1)), F.countDistinct("sequence_id")).first()
-        groups = -(-n // (FAN * GROUP))
-        if not groups:
-            return out
-        dealt = rows.drop("open").withColumn("grp", F.pmod(F.xxhash64("sequence_id", F.lit(level)), F.lit(groups)))
-        rows = common.staged(dealt.groupBy("grp").applyInPandas(partial(_search, capacity), _PLACED), f"searched{level}")
-        fewer = before - rows.select(F.countDistinct("sequence_id")).first()[0]
-        sequences, level, fewer = sequences - fewer, level + 1, fewer and groups > 1
+        rows = rows.where("open").drop("open").withColumn("fill", F.sum("length").over(Window.partitionBy("sequence_id")))
+        n, before = _sequences(rows)
+        groups, level = -(-n // GROUP), level + 1
+        # the emptiest bins of all groups meet in one, the others are dealt anew
+        spread = 1 + F.pmod(F.xxhash64("sequence_id", F.lit(level)), F.lit(groups))
+        dealt = rows.withColumn("grp", F.when((F.col("fill") <= _emptiest(rows)) | (F.lit(groups) == 1), 0).otherwise(spread)).drop("fill")
+        rows = common.staged(dealt.groupBy("grp").applyInPandas(lambda g: _search(capacity, g), _PLACED), f"searched{level}")
+        fewer = before - _sequences(rows)[1]
+        sequences -= fewer
     return out.unionByName(rows.drop("open"))
 
 

@@ -6,6 +6,9 @@ doc_id is null (u8), bytes of an id (u8), then the ids. Beside each shard stands
 frame doc_id (i64), offset of the frame (i64) and number of ids (i64), so a reader can shuffle
 records without reading the shard through. The mask turns the checksum by 15 bits and adds a
 constant, so a payload that itself holds frames doesn't weaken it.
+
+Shards get about SHARD bytes of text each. The manifest has a row per segment of a shard, so a shard
+of any size is read by many tasks; neither writer nor reader holds more than a record and a buffer.
 """
 
 from __future__ import annotations
@@ -27,8 +30,10 @@ from . import common, tokens
 _MASK = 0xA282EAD8
 _HEAD = struct.Struct("<qBB")
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<i8"), ("n", "<i8")])
-_MANIFEST = "shard int, path string, first_id long, n_docs long, n_tokens long"
-_CHUNK = 8 << 20
+_MANIFEST = "shard int, path string, record long, offset long, n_docs long, n_tokens long"
+_BUFFER = 8 << 20
+#: Bytes of text of a shard, about, and of frames of a segment.
+SHARD, SEGMENT = 128 << 20, 64 << 20
 
 
 def masked(data: bytes) -> int:
@@ -59,40 +64,66 @@ def _store(path: str):
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
+class _Writer:
+    """A shard and its index, both written as they come; segments() are the manifest's rows that are complete."""
+
+    def __init__(self, store, root: str):
+        self.part = TaskContext.get().partitionId()
+        self.path = f"{root}/shard-{self.part:06d}-{uuid.uuid4().hex}"
+        self.sink = store.open_output_stream(f"{self.path}.bin", buffer_size=_BUFFER)
+        self.index = store.open_output_stream(f"{self.path}.idx", buffer_size=1 << 20)
+        self.record = self.offset = 0
+        self.begin, self.docs, self.tokens, self.rows = (0, 0), 0, 0, []
+
+    def add(self, doc: int | None, ids: np.ndarray) -> None:
+        rec = frame(_HEAD.pack(doc or 0, doc is None, ids.itemsize) + ids.tobytes())
+        self.sink.write(rec)
+        self.index.write(np.array((doc or 0, self.offset, len(ids)), INDEX).tobytes())
+        self.record, self.offset = self.record + 1, self.offset + len(rec)
+        self.docs, self.tokens = self.docs + 1, self.tokens + len(ids)
+        if self.offset - self.begin[1] >= SEGMENT:
+            self.cut()
+
+    def cut(self) -> None:
+        if self.docs:
+            self.rows.append((self.part, self.path, *self.begin, self.docs, self.tokens))
+        self.begin, self.docs, self.tokens = (self.record, self.offset), 0, 0
+
+    def close(self) -> list[tuple]:
+        self.cut()
+        self.sink.close()
+        self.index.close()
+        return self.rows
+
+
 def _write(path: str, tokenizer: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    enc, sink, shard = tokens.encoder(tokenizer), None, None
+    enc, out = tokens.encoder(tokenizer), None
     store, root = _store(path)
     store.create_dir(root, recursive=True)
-    index, offset, total = [], 0, 0
     for batch in batches:
         for doc, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text").to_pylist())):
-            if sink is None:
-                shard = f"{root}/shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
-                sink = store.open_output_stream(f"{shard}.bin", buffer_size=1 << 20)
-            rec = frame(_HEAD.pack(doc or 0, doc is None, enc.dtype.itemsize) + ids.tobytes() + enc.end.tobytes())
-            sink.write(rec)
-            index.append((doc or 0, offset, len(ids) + 1))
-            offset, total = offset + len(rec), total + index[-1][2]
-    if sink is not None:
-        sink.close()
-        with store.open_output_stream(f"{shard}.idx") as out:
-            out.write(np.array(index, INDEX).tobytes())
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([TaskContext.get().partitionId()], pa.int32()), "path": [shard], "first_id": pa.array([index[0][0]], pa.int64()), "n_docs": pa.array([len(index)], pa.int64()), "n_tokens": pa.array([total], pa.int64())})
+            out = out or _Writer(store, root)
+            out.add(doc, np.concatenate((ids, enc.end)))
+    if out:
+        kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out.close()), kinds)], names=[x.split()[0] for x in _MANIFEST.split(", ")])
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None) -> DataFrame:
     """Encode `text` of every row, append id 0, and write shards in ascending doc_id order under `path`.
 
-    Returns the manifest, one row per shard, in the order of `shard`. A task that is run again
-    writes files of new names; only those in the manifest count. Null text is empty (one id), null
-    doc_id sorts first, rows of one doc_id are ordered by text; other columns are not read.
+    Returns the manifest, one row per segment, in the order of `shard` and `offset`. A task that is
+    run again writes files of new names; only those in the manifest count. Null text is empty (one
+    id), null doc_id sorts first, rows of one doc_id are ordered by their texts' hash and dealt to
+    as many shards as they need; repeated rows are written once each. A text of any length is one
+    record. An empty table gives an empty manifest. Other columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
     tokenizer = tokenizer or tokens.default_tokenizer()
-    parts = max(common.width(spark), spark.sparkContext.defaultParallelism)
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dealt = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(spark.sparkContext.defaultParallelism, -(-size // SHARD))
+    dealt = rows.repartitionByRange(parts, "doc_id", "th").sortWithinPartitions("doc_id", "th").select("doc_id", "text")
     return common.staged(dealt.mapInArrow(partial(_write, path, tokenizer), _MANIFEST), "manifest")
 
 
@@ -101,11 +132,11 @@ def read_record(path: str, shard: str, k: int) -> tuple[int | None, np.ndarray]:
     store, _ = _store(path)
     with store.open_input_file(f"{shard}.idx") as f:
         f.seek(k * INDEX.itemsize)
-        entry = np.frombuffer(f.read(INDEX.itemsize), INDEX)[0]
+        entry = np.frombuffer(f.read(INDEX.itemsize), INDEX)[0]  # IndexError past the end
     with store.open_input_file(f"{shard}.bin") as f:
         f.seek(int(entry["offset"]))
         head = f.read(12)
-        payload, _ = unframe(head + f.read(struct.unpack("<Q", head[:8])[0] + 4), 0)
+        payload, _ = unframe(head + f.read(struct.unpack_from("<Q", head)[0] + 4), 0)
     doc, null, width = _HEAD.unpack_from(payload)
     return None if null else doc, np.frombuffer(payload[_HEAD.size :], f"<u{width}")
 
@@ -113,23 +144,23 @@ def read_record(path: str, shard: str, k: int) -> tuple[int | None, np.ndarray]:
 def _read(path: str, schema: str, with_ids: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     store, _ = _store(path)
     for batch in batches:
-        for shard, start in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist()):
-            out, rest = [], b""
-            with store.open_input_stream(f"{shard}.bin") as f:
-                while data := f.read(_CHUNK):
-                    data, at = rest + data, 0
-                    while len(data) - at >= 12 and len(data) - at >= 16 + struct.unpack_from("<Q", data, at)[0]:
-                        payload, at = unframe(data, at)
-                        doc, null, width = _HEAD.unpack_from(payload)
-                        ids = np.frombuffer(payload[_HEAD.size :], f"<u{width}").astype("<u4")
-                        out.append((None if null else doc, start, len(ids), zlib.crc32(ids), *([ids.astype("<i4")] * with_ids)))
-                        start += len(ids)
-                    rest = data[at:]
-                    if len(out) >= 4096 or with_ids and out:
+        for shard, offset, n_docs, start in zip(*(batch.column(c).to_pylist() for c in ("path", "offset", "n_docs", "base"))):
+            out, size = [], 0
+            with store.open_input_file(f"{shard}.bin") as f:
+                f.seek(offset)
+                stream = pa.BufferedInputStream(f, _BUFFER)
+                for _ in range(n_docs):
+                    head = stream.read(12)
+                    if len(head) < 12:
+                        raise ValueError(f"{shard} ends within a frame")
+                    payload, _ = unframe(head + stream.read(struct.unpack_from("<Q", head)[0] + 4), 0)
+                    doc, null, width = _HEAD.unpack_from(payload)
+                    ids = np.frombuffer(payload[_HEAD.size :], f"<u{width}").astype("<u4")
+                    out.append((None if null else doc, start, len(ids), zlib.crc32(ids), *([ids.astype("<i4")] * with_ids)))
+                    start, size = start + len(ids), size + with_ids * len(ids)
+                    if len(out) >= 4096 or size >= 1 << 20:
                         yield _rows(out, schema, with_ids)
-                        out = []
-            if rest:
-                raise ValueError(f"{shard} ends within a frame")
+                        out, size = [], 0
             if out:
                 yield _rows(out, schema, with_ids)
 
@@ -137,19 +168,19 @@ def _read(path: str, schema: str, with_ids: bool, batches: Iterator[pa.RecordBat
 def read_shards(manifest: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start (ids of all records before), n_tokens, ids_crc32 and on demand ids, from the files.
 
-    The manifest has a row per shard, so its running sums are made on the driver.
+    The manifest has a row per SEGMENT bytes, so its running sums are made on the driver. Every frame's
+    checksums are held against its bytes; a damaged one raises ValueError.
     """
     spark = manifest.sparkSession
     base, rows = 0, []
-    for r in manifest.orderBy("shard").collect():
-        rows.append((r.path, base))
+    for r in manifest.orderBy("shard", "offset").toLocalIterator():
+        rows.append((r.path, r.offset, r.n_docs, base))
         base += r.n_tokens
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-
     if not rows:
         return spark.createDataFrame([], schema)
-    n = len(rows)
-    return spark.createDataFrame(rows, "path string, base long").repartition(n).mapInArrow(partial(_read, path, schema, with_ids), schema)
+    segments = spark.createDataFrame(rows, "path string, offset long, n_docs long, base long").repartition(len(rows))
+    return segments.mapInArrow(partial(_read, path, schema, with_ids), schema)
 
 
 def _rows(out: list, schema: str, with_ids: bool) -> pa.RecordBatch:
@@ -159,6 +190,6 @@ def _rows(out: list, schema: str, with_ids: bool) -> pa.RecordBatch:
 
 
 def op1_token_output(spark, sf_dir: str) -> DataFrame:
-    """Token files of `documents`, written and read back."""
+    """Token files of the whole `documents`, written and read back."""
     path = common.new_path(spark, "tokens")
     return read_shards(write_shards(common.table(spark, sf_dir, "documents"), path), path)

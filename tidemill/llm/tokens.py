@@ -4,7 +4,8 @@ A byte-level pre-tokenizer cuts a text between letters, digits, signs and white
 with what follows it. Texts are cut here in the same places, but for the few that depend on more than
 the two characters around them: those are left inside a unit. Units recur, so most ids come from a
 table that is looked up for all units of a batch at once; the library encodes each unit that is new.
-Texts with characters other than ASCII and Latin letters go to the library whole.
+Texts with characters other than ASCII and Latin letters, and texts that hold one of the tokenizer's
+added tokens such as an end mark, go to the library whole.
 """
 
 from __future__ import annotations
@@ -85,7 +86,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.marks = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = np.zeros(1, self.dtype)
@@ -140,6 +141,10 @@ class Encoder:
         data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         begin = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)))
         good = known(data, begin[:-1])
+        raw = data.tobytes()
+        for mark in self.marks:
+            if mark in raw:
+                good &= np.fromiter((mark not in t for t in texts), bool, len(texts))
         start = units(data)
         start[begin[:-1]] = start[begin[1:] - 1] = True
         at = np.flatnonzero(start)
@@ -158,7 +163,6 @@ class Encoder:
                 self._clear()
                 _, pick = np.unique(h, return_index=True)
                 new = np.arange(len(h))
-            raw = data.tobytes()
             if len(pick) <= self.slots // 2:
                 for k in new[pick].tolist():
                     self._add(int(h[k]), self._unit(raw[at[k] : at[k] + size[k]]))
