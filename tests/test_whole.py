@@ -5,7 +5,6 @@ import pandas as pd
 import pytest
 
 from tidemill.config import Options
-from tidemill.llm import packing
 from tidemill.operators import cluster, embed, modality
 from tidemill.plans import registry
 
@@ -28,41 +27,6 @@ def test_dip_query_counts_every_value(spark, tmp_path):
     assert got["one"].dip == pytest.approx(modality.dip(one)) and got["one"].p == modality.p_value(modality.dip(one), 5000)
 
 
-def test_plan_is_best_fit_at_once():
-    rng = np.random.default_rng(5)
-    for most, n in ((1200, 700), (2047, 300), (40, 3000), (9, 4000)):
-        own = rng.integers(1, most + 1, n)
-        runs, ends, _ = packing.plan(dict(zip(*(x.tolist() for x in np.unique(own, return_counts=True)))), 2048)
-        group = pd.DataFrame({"doc_id": range(n), "piece": 0, "start": 0, "length": own, "ids_crc32": 0})
-        got = packing._place(2048, runs, ends, group, pd.DataFrame({"length": np.unique(own), "rank": 0})).sort_values(["sequence_id", "offset"])
-        fill = got.groupby("sequence_id").length.sum()
-        assert len(got) == n and sorted(fill) == sorted(sum(own[i] for i in b) for b in packing.best_fit(own.tolist(), 2048))
-        assert (got.groupby("sequence_id").length.cumsum() - got.length == got.offset).all() and (got.open == (got.sequence_id.map(fill) < 2048)).all()
-
-
-def test_groups_cost_no_sequences(spark, monkeypatch):
-    # 3 pieces of 675 fill a bin to 0.989, and only a small one that is dealt elsewhere fills it up
-    monkeypatch.setattr(packing, "GROUP", 60)
-    monkeypatch.setattr(packing, "FAN", 2)
-    own = np.random.default_rng(6).permutation([675] * 600 + [23] * 40 + [1000] * 100).tolist()
-    rows = [(i, 0, 0, n, 0) for i, n in enumerate(own)]
-    got = packing.pack(spark.createDataFrame(rows, packing._PIECE)).toPandas().sort_values(["sequence_id", "offset"])
-    fill = got.groupby("sequence_id").length.sum()
-    assert sorted(got.doc_id) == list(range(len(own))) and fill.max() <= 2048 and (got.groupby("sequence_id").length.cumsum() - got.length == got.offset).all()
-    assert len(fill) <= len(packing.best_fit(own, 2048))
-
-
-def test_local_search_goes_on_after_stuck_bins():
-    rng = np.random.default_rng(0)
-    own = rng.integers(600, 801, 1000).tolist()
-    first = packing.best_fit(own, 2048)
-    last = packing.improve(first, own, 2048)
-    assert sorted(i for b in last for i in b) == list(range(1000)) and max(sum(own[i] for i in b) for b in last) <= 2048
-    assert len(last) <= 0.97 * len(first)  # 400 bins; a search that gave up after 8 stuck ones stayed there
-    again = packing._Bins([b for b in last if sum(own[i] for i in b) < 2048], own, 2048)
-    assert not any(again.step(k) for k in range(len(again.items)))
-
-
 def test_kernels_need_no_square_of_memory():
     import tracemalloc
 
