@@ -1,6 +1,7 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tidemill.llm import decontamination, line_dedup, ngram_join, wordhash
@@ -124,10 +125,28 @@ def test_lines_by_brute_force(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def brute_benchmark(rows, items):
+    """(doc_id, item_id) by every window of every text, counted as often as the row is there."""
+    want = Counter()
+    for d, t in rows:
+        w = words(t)
+        for i, it in items:
+            b = words(it)
+            k = min(len(b), 5)
+            if not k:
+                continue
+            s = [tuple(w[j : j + k]) for j in range(len(w) - k + 1)]
+            c = Counter(tuple(b[j : j + k]) for j in range(len(b) - k + 1))
+            n = min(sum(c.values()), len(s))
+            if n and set(s) & set(c) and any(sum((Counter(s[j : j + n]) & c).values()) * 7 >= 3 * (n + sum(c.values())) for j in range(len(s) - n + 1)):
+                want[d, i] += 1
+    return want
+
+
 def test_benchmark(spark):
     rng = random.Random(6)
     vocab = [f"v{i}" for i in range(3000)]
-    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(8, 60)))) for i in range(30)] + [(50, "too few words"), (51, None), (None, "no id " * 9), (3, None)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(8, 60)))) for i in range(30)] + [(40, "What is the capital?"), (41, "one"), (42, " \n"), (43, "long " + " ".join(rng.choice(vocab) for _ in range(400)))]
     rows = []
     for i in range(60):
         t = [rng.choice(vocab) for _ in range(rng.randint(0, 200))]
@@ -142,27 +161,45 @@ def test_benchmark(spark):
             t[at:at] = own
         rows.append((i, " ".join(t)))
     rows += [(100, None), (101, ""), (102, items[0][1].upper()), (103, "pad " * 50_000 + items[1][1]), (104, items[2][1]), (104, items[2][1]), (None, items[3][1])]
-    want = Counter()
-    for d, t in rows:
-        if d is None or t is None:
-            continue
-        w = words(t)
-        s = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
-        for i, it in items[:30]:
-            b = words(it)
-            c = Counter(tuple(b[k : k + 5]) for k in range(len(b) - 4))
-            n = min(sum(c.values()), len(s))
-            if n and set(s) & set(c) and any(sum((Counter(s[k : k + n]) & c).values()) * 7 >= 3 * (n + sum(c.values())) for k in range(len(s) - n + 1)):
-                want[d, i] += 1
-    docs = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], DOCS)
-    bench = spark.createDataFrame([(*r, "x") for r in items], "item_id long, text string, doc_id string")
+    rows += [(110, "so: what\tis the capital? of"), (111, "What is the"), (112, "one"), (113, "someone"), (114, items[33][1] + " end"), (115, items[4][1].rsplit(" ", 1)[0])]
+    want = brute_benchmark(rows, items)
+    assert {(110, 40), (112, 41), (114, 43), (None, 3)} <= set(want) and not {(111, 40), (113, 41)} & set(want)
+    docs = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], "doc_id long, text string, item_id string, similarity string, n string")
+    bench = spark.createDataFrame([(*r, "x") for r in items + [(51, None), (None, "no id " * 9), (3, None), items[5]]], "item_id long, text string, doc_id string")
     assert Counter((r.doc_id, r.item_id) for r in decontamination.find_benchmark(docs, bench).collect()) == want
-    kept = {r.doc_id for r in decontamination.without_benchmark(docs, bench).collect()}
-    assert kept == {d for d, _ in rows if d is not None} - {d for d, _ in want}
+    kept = [r.doc_id for r in decontamination.without_benchmark(docs, bench).collect()]
+    assert Counter(kept) == Counter(d for d, _ in rows if d not in {d for d, _ in want})
     assert decontamination.find_benchmark(docs, bench.limit(0)).count() == 0 and decontamination.find_benchmark(docs.limit(0), bench).count() == 0
     assert decontamination.without_benchmark(docs, bench.limit(0)).count() == len(rows)
 
 
+def test_benchmark_of_the_tables(spark):
+    """Every pair that all windows give is found on whole tables, and no other."""
+    sf = "/root/testdata/sf0.01"
+    docs, items = ([tuple(r) for r in spark.read.parquet(f"{sf}/{t}.parquet").select(k, "text").collect()] for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
+    rare = {tuple(w[j : j + 5]) for _, t in items for w in [words(t)] for j in range(len(w) - 4)}
+    some = [(d, t) for d, t in docs if any(tuple(w[j : j + 5]) in rare for w in [words(t)] for j in range(len(w) - 4))]  # others share nothing with an item
+    got = decontamination.op9_decontamination(spark, sf).collect()
+    want = brute_benchmark(some, items)
+    assert len(want) > 10 and Counter((r.doc_id, r.item_id) for r in got) == want
+
+
+def test_multi_index():
+    """All pairs within the radius are found, whatever the number of items, and running sums wrap without harm."""
+    rng = np.random.default_rng(3)
+    for n in (1, 7, 60):
+        prints = rng.integers(0, 2**63, n).astype(np.uint64)
+        fp = np.concatenate((rng.integers(0, 2**63, 3000).astype(np.uint64), *(prints ^ np.array([sum(1 << int(b) for b in rng.choice(64, m, replace=False)) for _ in prints], np.uint64) for m in (0, 1, 12, 15, 16, 17))))
+        w, i, apart = decontamination.Index(prints).near(fp)
+        d = np.bitwise_count(fp[:, None] ^ prints)
+        assert sorted(zip(w.tolist(), i.tolist(), apart.tolist())) == sorted((a, b, int(d[a, b])) for a, b in np.argwhere(d <= decontamination.RADIUS).tolist())
+    x = decontamination.signs(rng.integers(0, 2**63, 700).astype(np.uint64))
+    exact = np.concatenate((np.zeros((1, 64), int), np.cumsum(x, axis=0, dtype=int)))
+    for kind, n in ((np.int8, 127), (np.int32, 500)):
+        s = decontamination.running(x, kind)
+        assert ((s[n:] - s[:-n]).astype(int) == exact[n:] - exact[:-n]).all()
+
+
 def test_benchmark_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(decontamination.chunks, "__defaults__", (12,))
     bench = spark.createDataFrame([(i, " ".join(f"b{i}_{k}" for k in range(10))) for i in range(4)], "item_id long, text string")

@@ -1,12 +1,15 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming lookup, exact check.
 
-For each length that an item has, every window of that many words that holds any of the items' word
-shingles gets a 64-bit SimHash of its shingles; others share nothing with an item and can't match.
-Fingerprints lie in BLOCKS blocks of bits; of two within RADIUS bits, some block differs in at most
-RADIUS // BLOCKS, so looking blocks up with that many errors finds all within the radius. A candidate
-counts if the weighted Jaccard similarity of its shingles, as a multiset, with the item's is high
-enough. Texts are taken one by one, without an exchange. Items go to the executors in chunks of at
-most CHUNK shingles; a larger benchmark takes a scan per chunk.
+For each length that an item has, every window of that many words of every text gets a 64-bit SimHash
+of its word shingles. A window's sums of signed bits are the difference of two running sums, taken
+modulo 256 where the window is short enough for that, so a fingerprint costs a few bytes' work. The
+items' fingerprints lie in an index of four tables, one for each block of 16 bits: a block's bucket
+names the items that differ from it in at most ERRORS bits. Of two fingerprints within RADIUS bits,
+some block differs in at most ERRORS of them, so a look into each table by the window's block finds
+all items within the radius; nothing else sieves the windows. A candidate counts if the weighted
+Jaccard similarity of its shingles, as a multiset, with the item's is high enough. Texts are taken
+one by one, without an exchange. Items go to the executors in chunks of at most CHUNK shingles; a
+larger benchmark takes a scan per chunk.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -24,62 +28,99 @@ from . import common, wordhash
 
 SHINGLE = 5
 LEAST = 0.75
-RADIUS, BLOCKS = 20, 8
-CHUNK = 500_000
-_BITS = 1 << 20
+BLOCKS, WIDTH, ERRORS = 4, 16, 3
+RADIUS = BLOCKS * (ERRORS + 1) - 1
+CHUNK = 200_000
+#: Items of a length up to which a window that some bucket names is held against all of them.
+_FEW = 16
+#: Windows whose fingerprints are made at once, so that their sums stay in the cache.
+_AT_ONCE = 1 << 13
+#: Bit patterns of at most ERRORS bits.
+_MASKS = np.array([sum(1 << b for b in bits) for n in range(ERRORS + 1) for bits in combinations(range(WIDTH), n)], np.int64)
 
 
 def simhash(total: np.ndarray) -> np.ndarray:
     """Fingerprints of (n, 64) sums of signed bits."""
-    return np.packbits(total > 0, axis=1, bitorder="little").view("<u8")[:, 0]
+    return np.packbits((total > 0).ravel(), bitorder="little").view("<u8")
 
 
 def signs(h: np.ndarray) -> np.ndarray:
     """(n, 64): 1 where a bit of the hash is set, else -1."""
-    return np.unpackbits(np.ascontiguousarray(h.astype("<u8"))[:, None].view(np.uint8), axis=1, bitorder="little").astype(np.int8) * 2 - 1
+    return np.unpackbits(np.ascontiguousarray(h.astype("<u8"))[:, None].view(np.uint8), axis=1, bitorder="little").view(np.int8) * 2 - 1
+
+
+def running(x: np.ndarray, kind: type) -> np.ndarray:
+    """(n + 1, 64) running sums of the rows of x, modulo what `kind` holds; sixteen rows at a time, as whole rows add fast."""
+    n = len(x)
+    out = np.zeros((-(-(n + 1) // 16), 16, x.shape[1]), kind)
+    out.reshape(-1, x.shape[1])[1 : n + 1] = x
+    for k in range(1, 16):
+        out[:, k] += out[:, k - 1]
+    out[1:] += np.cumsum(out[:-1, 15], axis=0, dtype=kind)[:, None]
+    return out.reshape(-1, x.shape[1])[: n + 1]
+
+
+class Index:
+    """Fingerprints in buckets: per block and value of it, the places of the fingerprints that are at most ERRORS bits away."""
+
+    def __init__(self, prints: np.ndarray):
+        self.prints = prints
+        self.starts, self.places, self.any = [], [], []
+        for block in self._blocks(prints).T:
+            near = (block.astype(np.int64)[:, None] ^ _MASKS).ravel()
+            order = np.argsort(near, kind="stable")
+            self.starts.append(np.searchsorted(near[order], np.arange((1 << WIDTH) + 1)))
+            self.places.append((order // len(_MASKS)).astype(np.int32))
+            self.any.append(np.diff(self.starts[-1]) > 0)
+
+    @staticmethod
+    def _blocks(prints: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(prints)[:, None].view("<u2")
+
+    def near(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in fp, place of the item, bits apart) of all pairs within RADIUS, by item and place."""
+        blocks = [b.astype(np.intp) for b in self._blocks(fp).T]
+        if len(self.prints) <= _FEW:  # whatever some bucket names is held against all of them
+            hit = self.any[0].take(blocks[0])
+            for some, block in zip(self.any[1:], blocks[1:]):
+                hit |= some.take(block)
+            w = np.flatnonzero(hit)
+            item, at = np.nonzero(np.bitwise_count(self.prints[:, None] ^ fp[w]) <= RADIUS)
+            w = w[at]
+        else:
+            got = []
+            for block, start, places, some in zip(blocks, self.starts, self.places, self.any):
+                w = np.flatnonzero(some.take(block))
+                first, n = start[block[w]], start[block[w] + 1] - start[block[w]]
+                item = places[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())].astype(np.int64)
+                w = np.repeat(w, n)
+                close = np.bitwise_count(fp[w] ^ self.prints[item]) <= RADIUS
+                got.append(item[close] * len(fp) + w[close])
+            item, w = np.divmod(np.unique(np.concatenate(got)), max(len(fp), 1))
+        return w, item, np.bitwise_count(fp[w] ^ self.prints[item])
+
+
+def _shingled(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of each shingle of k words, in order."""
+    of, _, _, h = wordhash.words(texts)
+    at, s = wordhash.shingles(of, h, k)
+    return of[at], s
 
 
 class Items:
-    """Items by number of words, their shingles and fingerprints."""
+    """Items by their number of words, and an index of the fingerprints of each number."""
 
     def __init__(self, rows: list[tuple[int, str]]):
-        """rows: (item_id, text); items of fewer than SHINGLE words have no shingle and can't be found."""
+        """rows: (item_id, text). An item of fewer than SHINGLE words is one shingle; one without words can't be found."""
         self.by_size: dict[int, list[tuple[int, Counter]]] = {}
         texts = [t.encode() for _, t in rows]
-        of, _, _, h = wordhash.words(texts) if texts else (np.empty(0, int),) * 4
-        at, s = wordhash.shingles(of, h, SHINGLE)
-        for k, (item, _) in enumerate(rows):
-            own = s[of[at] == k]
-            if len(own):
-                self.by_size.setdefault(len(own) + SHINGLE - 1, []).append((item, Counter(own.tolist())))
-        self.prints, self.tables, self.ours = {}, {}, {}
-        every: set[int] = set()
-        values = np.arange(256, dtype=np.uint8)
-        for size, items in self.by_size.items():
-            fp = np.concatenate([simhash(signs(np.array(list(c.elements()), np.uint64)).sum(0, dtype=np.int32)[None]) for _, c in items])
-            self.prints[size] = fp
-            blocks = fp[:, None].view(np.uint8)
-            self.tables[size] = [np.bitwise_count(values[:, None] ^ blocks[:, b]) <= RADIUS // BLOCKS for b in range(BLOCKS)]
-            self.ours[size] = np.unique(np.array([x for _, c in items for x in c], np.uint64))
-            every.update(x for _, c in items for x in c)
-        self.every = np.array(sorted(every), np.uint64)
-        self.maybe = np.zeros(_BITS, bool)
-        self.maybe[(self.every % np.uint64(_BITS)).astype(np.int64)] = True
-
-    def near(self, size: int, fp: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(window, item's place, bits apart) of all pairs within RADIUS."""
-        prints, tables = self.prints[size], self.tables[size]
-        step = max(1, (1 << 20) // len(prints))
-        for lo in range(0, len(fp), step):
-            part = fp[lo : lo + step]
-            blocks = np.ascontiguousarray(part)[:, None].view(np.uint8)
-            maybe = tables[0][blocks[:, 0]]
-            for b in range(1, BLOCKS):
-                maybe |= tables[b][blocks[:, b]]
-            w, i = np.nonzero(maybe)
-            apart = np.bitwise_count(part[w] ^ prints[i])
-            for k in np.flatnonzero(apart <= RADIUS):
-                yield lo + int(w[k]), int(i[k]), int(apart[k])
+        for k in range(1, SHINGLE + 1):
+            of, s = _shingled(texts, k) if texts else (np.empty(0, int),) * 2
+            cut = np.searchsorted(of, np.arange(len(rows) + 1))
+            for i, n in enumerate(np.diff(cut).tolist()):
+                if n == 1 or n and k == SHINGLE:
+                    self.by_size.setdefault(n + k - 1, []).append((rows[i][0], Counter(s[cut[i] : cut[i + 1]].tolist())))
+        self.index = {size: Index(np.concatenate([simhash(signs(np.array(list(c.elements()), np.uint64)).sum(0, dtype=np.int32)[None]) for _, c in items])) for size, items in self.by_size.items()}
 
 
 def similarity(a: Counter, b: Counter) -> float:
@@ -88,58 +129,65 @@ def similarity(a: Counter, b: Counter) -> float:
     return shared / (sum(a.values()) + sum(b.values()) - shared)
 
 
-def _in(x: np.ndarray, among: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(among, x), len(among) - 1)
-    return among[at] == x
-
-
-def matches(s: np.ndarray, hit: np.ndarray, items: Items, least: float) -> list[tuple[int, int, int, float, int]]:
-    """(item_id, first word, words, similarity, bits apart) of the best window per item found in a text of shingles s; hit: places of s that any item has."""
-    best: dict[int, tuple] = {}
-    total = None
-    for size in items.by_size:
-        own = hit[_in(s[hit], items.ours[size])]
-        if not len(own):
-            continue
-        n = min(size - SHINGLE + 1, len(s))  # a shorter text is one window
-        lo, hi = np.maximum(own - n + 1, 0), np.minimum(own, len(s) - n)
-        edge = np.zeros(len(s) + 1, np.int32)
-        np.add.at(edge, lo, 1)
-        np.add.at(edge, hi + 1, -1)
-        starts = np.flatnonzero(np.cumsum(edge) > 0)
-        if total is None:
-            total = np.zeros((len(s) + 1, 64), np.int32)
-            np.cumsum(signs(s), axis=0, out=total[1:])
-        for w, i, apart in items.near(size, simhash(total[starts + n] - total[starts])):
-            item, counts = items.by_size[size][i]
-            at = int(starts[w])
-            sim = similarity(Counter(s[at : at + n].tolist()), counts)
-            if sim >= least and (item not in best or (-sim, at) < best[item][0]):
-                best[item] = ((-sim, at), (item, at, n + SHINGLE - 1, sim, apart))
-    return [best[item][1] for item in sorted(best)]
+class _Windows:
+    """The shingles of a list of texts, and the fingerprints of their windows."""
+
+    def __init__(self, texts: list[bytes], k: int):
+        self.text, self.s = _shingled(texts, k)
+        self.cut = np.searchsorted(self.text, np.arange(len(texts) + 1))
+        self.signs, self.sums = signs(self.s), {}
+
+    def _running(self, n: int) -> np.ndarray:
+        """Running sums of the signs, exact for windows of n shingles: differences of them fit into the kind of number."""
+        kind = np.int8 if n < 128 else np.int32
+        if kind not in self.sums:
+            self.sums[kind] = running(self.signs, kind)
+        return self.sums[kind]
+
+    def near(self, n: int, least: float, index: Index) -> Iterator[tuple[int, int, int, int]]:
+        """(first shingle, shingles, place of the item, bits apart) of the windows of n shingles that are near an item's fingerprint; a text of fewer is one window if it has enough."""
+        total = self._running(n)
+        last = len(self.s) - n + 1
+        for lo in range(0, max(last, 0), _AT_ONCE):
+            hi = min(lo + _AT_ONCE, last)
+            at, item, apart = index.near(simhash(total[lo + n : hi + n] - total[lo:hi]))
+            at += lo
+            whole = self.text[at] == self.text[at + n - 1]
+            yield from zip(at[whole].tolist(), [n] * len(at), item[whole].tolist(), apart[whole].tolist())
+        own = np.diff(self.cut)
+        short = np.flatnonzero((own < n) & (own >= least * n) & (own > 0))
+        if len(short):
+            at, item, apart = index.near(simhash(total[self.cut[short + 1]] - total[self.cut[short]]))
+            yield from zip(self.cut[short[at]].tolist(), own[short[at]].tolist(), item.tolist(), apart.tolist())
 
 
 def search(texts: list[bytes], items: Items, least: float) -> list[list[tuple]]:
+    """Per text: (item_id, first word, words, similarity, bits apart) of the best window of each item found, ties to the first."""
     out: list[list[tuple]] = []
     for _, part in wordhash.batched(texts):
-        of, _, _, h = wordhash.words(part)
-        at, s = wordhash.shingles(of, h, SHINGLE)
-        hit = np.flatnonzero(items.maybe[(s % np.uint64(_BITS)).astype(np.int64)])
-        hit = hit[_in(s[hit], items.every)] if len(hit) else hit
-        text = of[at]
-        cut = np.searchsorted(text, np.arange(len(part) + 1))
-        mine = np.searchsorted(hit, cut)
-        for k in range(len(part)):
-            own = hit[mine[k] : mine[k + 1]] - cut[k]
-            out.append(matches(s[cut[k] : cut[k + 1]], own, items, least) if len(own) else [])
+        best: list[dict] = [{} for _ in part]
+        windows: dict[int, _Windows] = {}
+        for size, own in items.by_size.items():
+            k = min(size, SHINGLE)
+            if k not in windows:
+                windows[k] = _Windows(part, k)
+            w = windows[k]
+            for at, n, i, apart in w.near(size - k + 1, least, items.index[size]):
+                item, counts = own[i]
+                sim = similarity(Counter(w.s[at : at + n].tolist()), counts)
+                text = int(w.text[at])
+                place = at - int(w.cut[text])
+                if sim >= least and (item not in best[text] or (-sim, place) < best[text][item][0]):
+                    best[text][item] = ((-sim, place), (item, place, n + k - 1, sim, apart))
+        out += [[b[item][1] for item in sorted(b)] for b in best]
     return out
 
 
 def chunks(benchmark: DataFrame, most: int = CHUNK) -> Iterator[Items]:
-    """The items in chunks of at most `most` characters' worth of shingles; read through the driver chunk by chunk."""
+    """The items in chunks of at most `most` words (a longer item is a chunk); read through the driver chunk by chunk."""
     held, size = [], 0
     for r in benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct().orderBy("item_id", "text").toLocalIterator():
-        n = r.text.count(" ") + 1
+        n = len(r.text.encode().split())
         if held and size + n > most:
             yield Items(held)
             held, size = [], 0
@@ -152,7 +200,8 @@ def chunks(benchmark: DataFrame, most: int = CHUNK) -> Iterator[Items]:
 def _rows(items_bc, least: float, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in parts:
         found = search([t.encode() for t in pdf["text"]], items_bc.value, least)
-        yield pd.DataFrame([(d, *m) for d, own in zip(pdf["doc_id"], found) for m in own], columns=["doc_id", "item_id", "first_word", "n_words", "similarity", "bits_apart"])
+        rows = [(d, *m) for d, own in zip(pdf["doc_id"].array, found) for m in own]
+        yield pd.DataFrame(rows, columns=["doc_id", "item_id", "first_word", "n_words", "similarity", "bits_apart"]).astype({"doc_id": "Int64"})
 
 
 _FOUND = "doc_id long, item_id long, first_word int, n_words int, similarity double, bits_apart int"
@@ -161,11 +210,14 @@ _FOUND = "doc_id long, item_id long, first_word int, n_words int, similarity dou
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """A row per text and item whose best window reaches `least`: doc_id, item_id, the window, its similarity and bits apart.
 
-    Rows with null text or null doc_id hold nothing; repeated rows are found once each; ties go to
-    the earliest window; an empty table or benchmark gives no rows. Items alike in id and text count once.
+    Null and empty texts hold nothing, a null doc_id stays null; a text of any length is searched
+    whole, one shorter than an item as one window. Repeated rows are found once each; ties go to the
+    earliest window; an empty table or benchmark gives no rows. Items without words or with a null
+    id or text aren't looked for, those alike in id and text count once. Other columns, whatever
+    their names, are not read.
     """
     spark = docs.sparkSession
-    rows = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
     for items in chunks(benchmark):
         part = rows.mapInPandas(partial(_rows, spark.sparkContext.broadcast(items), least), _FOUND)
@@ -181,7 +233,7 @@ def _clean(items_bc, least: float):
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
-    """The rows of docs that hold no item, all columns; null and empty texts stay."""
+    """The rows of docs that hold no item, with all their columns; null and empty texts stay, and so do all rows of an empty benchmark."""
     spark = docs.sparkSession
     for items in chunks(benchmark):
         docs = docs.where(F.pandas_udf(_clean(spark.sparkContext.broadcast(items), least), "boolean")("text"))
