@@ -125,6 +125,35 @@ def test_lines_by_brute_force(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_runs_of_any_length(spark):
+    """Runs far longer than the words need, runs within runs, a line over and over, hot passages and hot lines."""
+    rng = random.Random(9)
+    line = [f"l{i} " + "w " * rng.randint(0, 12) for i in range(12)]
+    long = [rng.choice(line) + str(i % 97) for i in range(300)]
+    rows = [(0, "\n".join(long)), (1, "\n".join(long[40:230])), (2, "\n".join(long[100:150] + ["own"] + long[60:290])), (3, "\n".join([line[3]] * 130)), (4, "\n".join([line[3]] * 40)), (5, "\n".join(long[:299] + ["another"]))]
+    rows += [(10 + i, "\n".join([rng.choice(line) for _ in range(rng.randint(0, 3))] + long[20:29] + [f"end {i}"])) for i in range(30)]
+    rows += [(100 + i, "\n".join(rng.choice(line[:3]) for _ in range(25))) for i in range(12)]
+    docs = spark.createDataFrame([(*r, "a", "b", "c", "d") for r in rows], "doc_id long, text string, cut_doc string, cut_text string, CUT_LINES string, th string")
+    got = line_dedup.dedup_lines(docs, removed="gone").collect()
+    cut = brute_cuts(rows)
+    assert {(r.doc_id, r.text, r.gone) for r in got} == {(d, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in cut.get((d, t), ())), len(cut.get((d, t), ()))) for d, t in rows}
+    assert len(got) == len(rows) and (got[0].cut_doc, got[0].cut_text, got[0].CUT_LINES, got[0].th) == ("a", "b", "c", "d")
+
+
+def test_suffix_ranks(spark):
+    """The order of the suffix array, to each depth, of those that are tied there."""
+    seq = {(1, 0): [3, 1, 3, 1, 3, 1, 2], (2, 0): [1, 3, 1, 3, 1], (3, 0): [2, 2, 2, 2]}
+    own = spark.createDataFrame([(d, t, j, r) for (d, t), s in seq.items() for j, r in enumerate(s)], "doc_id long, th long, j int, r long")
+    levels = line_dedup.suffix_ranks(own, 4)
+    assert len(levels) == 3
+    for k, level in enumerate(levels):
+        prefix = {(d, t, j): tuple(s[j : j + (1 << k)]) for (d, t), s in seq.items() for j in range(len(s) - (1 << k) + 1)}
+        n = Counter(prefix.values())
+        got = {(r.doc_id, r.th, r.j): r.r for r in level.collect()}
+        assert set(got) == {p for p, x in prefix.items() if n[x] > 1 or k == 0}
+        assert all((got[p] < got[q]) == (prefix[p] < prefix[q]) for p in got for q in got)
+
+
 def brute_benchmark(rows, items):
     """(doc_id, item_id) by every window of every text, counted as often as the row is there."""
     want = Counter()

@@ -39,7 +39,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of staged() that nothing reads any more."""
+    for df in tables:
+        discard(df.sparkSession, df.staged_at)
+
+
+def free(df: DataFrame, name: str) -> str:
+    """`name`, or with as many underscores after it as make it differ from all columns of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def discard(spark: SparkSession, path: str) -> None:
