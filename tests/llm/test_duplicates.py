@@ -19,7 +19,7 @@ def shingle_set(text):
 
 
 def brute_components(rows):
-    sets = [(d if d is not None else -(1 << 63), shingle_set(t)) for d, t in rows]
+    sets = [(d, shingle_set(t)) for d, t in rows]
     root = list(range(len(sets)))
 
     def find(x):
@@ -35,7 +35,7 @@ def brute_components(rows):
     least = defaultdict(list)
     for i, (d, _) in enumerate(sets):
         least[find(i)].append(d)
-    return Counter((d, len(s), min(least[find(i)])) for i, (d, s) in enumerate(sets))
+    return Counter((d, len(s), min((x for x in least[find(i)] if x is not None), default=None)) for i, (d, s) in enumerate(sets))
 
 
 def corpus(seed, n=120):
@@ -58,8 +58,27 @@ def corpus(seed, n=120):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_join_by_brute_force(spark, seed):
     rows = corpus(seed) + [(1000, None), (1001, ""), (1002, " \n"), (1003, "one two"), (1004, "ONE\ttwo"), (1004, "one two"), (None, "one two"), (1005, "one two three four five"), (1006, "é É straße ẞ x y z"), (1007, "word " * 30_000)]
-    got = ngram_join.near_duplicates(spark.createDataFrame([(*r, "x", "y", "z") for r in rows], DOCS))
-    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components(rows)
+    rows += [((1 << 60) + 1, "a b c d e f"), (None, "alone in this"), (None, None)]
+    docs, want = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], DOCS), brute_components(rows)
+    assert {(None, 1, None), (None, 0, None), (None, 1, 1003), ((1 << 60) + 1, 2, (1 << 60) + 1)} <= set(want)
+    for limits in ({}, {"often": 2, "hot": 12}, {"often": 1, "hot": 1}):  # shingles may go past the fragments, all of them too
+        got = ngram_join.near_duplicates(docs, **limits)
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == want
+
+
+def test_join_on_the_tables(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = ngram_join.op2_ngram_join(spark, sf).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
+
+
+def test_components_meet_but_not_themselves(spark):
+    """Texts of one component are never paired, however many share a shingle with a text outside it."""
+    rows = [(7, k, 100, 3, 1) for k in range(300)] + [(7, 1000, 90, 5, 1000), (7, 1001, 40, 5, 1001), (7, 1002, 100, 60, 1002), (8, 5, 100, 9, 1), (8, 1000, 90, 9, 1000)]
+    apart = spark.createDataFrame(rows, "t long, key long, n int, pos int, comp long")
+    got = sorted((r.a, r.b) for r in ngram_join._between(apart).collect())
+    assert got == [(k, 1000) for k in range(300)]  # 1001 is too small, 1002 has too little left
 
 
 def test_join_of_nothing(spark):

@@ -3,16 +3,20 @@
 The order of all n-grams is the order of their hashes, cut into fragments of even ranges. Texts are
 cut along it: a fragment's task gets the part of every text that falls into its range, as packed
 bytes, counts in how many texts each n-gram occurs and drops those of one text, which no pair can
-share. A text that keeps less than the threshold of its n-grams has no partner and goes. The rest
-are ordered rarest first; only the head of a text that a partner must touch (prefix filter) proposes
-candidates, and sizes and places in the order sieve them. Candidates are counted fragment by
-fragment, and the partial overlaps are summed per pair.
+share. N-grams that very many texts hold would fill their fragment; a first pass over all texts, which
+sends only n-grams that recur within a task's part, finds them. They need no counting, since all are
+last in order, and go past the fragments. A text that keeps less than the threshold of its n-grams has
+no partner and goes. The rest are ordered rarest first; only the head of a text that a partner must
+touch (prefix filter) proposes candidates, and sizes and places in the order sieve them. Candidates
+are counted fragment by fragment, and the partial overlaps are summed per pair.
 
 Texts of the same words are one class from the start. What is asked for is components, so links are
-first proposed to one hub per n-gram, which joins groups of near copies without their pairs; all
-candidate pairs are made only between texts that are then still apart, so no link is lost.
+first proposed to one hub per n-gram, which joins groups of near copies without their pairs; then the
+components that an n-gram still holds are joined with each other, never a component with itself, so no
+pair of texts in one component is made and no link between components is lost.
 
-An n-gram is known by its fragment and 40 bits of its hash, a text by 64 bits of its words' hash.
+An n-gram is known by 64 bits of its hash, of which the fragment's number holds the first eight or
+more, a text by 64 bits of its words' hash.
 """
 
 from __future__ import annotations
@@ -32,85 +36,146 @@ SHINGLE = 5
 PERCENT = 75
 #: Shingles of a fragment, about, and of what a task holds before it sends them.
 FRAGMENT, FLUSH = 1_500_000, 1_000_000
-#: Parts of the order in which overlaps are counted.
-PIECES = 8
+#: Shingles of what a task counts at once in the first pass, and how often one must be there to be sent.
+COUNTED, OFTEN = 4_000_000, 16
+#: Texts with a shingle from which on it goes past the fragments; with so many parts of all shingles, or more, at the least.
+HOT, SHARE = FRAGMENT // 8, 1_000_000
+#: Parts of the order in which overlaps are counted, as a power of 2.
+PIECES = 3
 EARLIER = 128
-_LOW = (1 << 40) - 1
-_SENT = "frag int, bucket int, blob binary"
+#: Parts into which a component's texts of one shingle are dealt before they meet those of another.
+CHUNKS = 1024
+#: Bytes of a hash that are sent; the fragment gives the rest.
+_SHORT = 7
+_MOST = 65535
+_SENT = "frag long, bucket int, blob binary"
 _SETS = "key long, n int, piece int, skip int, part array<long>"
 
 
-def _narrow(h: np.ndarray) -> bytes:
-    return np.ascontiguousarray(h.astype("<u8")[:, None].view(np.uint8)[:, :5]).tobytes()
+def _narrow(h: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(h.astype("<u8")[:, None].view(np.uint8)[:, :width]).tobytes()
 
 
-def _wide(data: bytes | memoryview) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return out.view("<u8")[:, 0].astype(np.uint64)
+def _wide(data: bytes | memoryview, width: int, top: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.view("<u8")[:, 0].astype(np.uint64) | np.uint64(top)
 
 
-def _blob(keys: np.ndarray, n: np.ndarray, count: np.ndarray, h: np.ndarray, df: np.ndarray | None = None) -> bytes:
-    head = np.array([len(keys)], "<u4").tobytes()
-    return b"".join((head, keys.astype("<u8").tobytes(), n.astype("<u4").tobytes(), count.astype("<u4").tobytes(), _narrow(h), b"" if df is None else np.minimum(df, 65535).astype("<u2").tobytes()))
+def _blob(keys: np.ndarray, n: np.ndarray, count: np.ndarray, h: np.ndarray, width: int, df: np.ndarray | None = None) -> bytes:
+    """Texts' keys and sizes, how many shingles of each follow, and these; with `df` also in how many texts they occur."""
+    head = np.array([len(keys), width], "<u4").tobytes()
+    return b"".join((head, keys.astype("<u8").tobytes(), n.astype("<u4").tobytes(), count.astype("<u4").tobytes(), _narrow(h, width), b"" if df is None else np.minimum(df, _MOST).astype("<u2").tobytes()))
 
 
-def _unblob(blob: bytes, with_df: bool = False) -> tuple[np.ndarray, ...]:
-    k = int(np.frombuffer(blob, "<u4", 1)[0])
-    keys = np.frombuffer(blob, "<u8", k, 4)
-    n, count = np.frombuffer(blob, "<u4", k, 4 + 8 * k), np.frombuffer(blob, "<u4", k, 4 + 12 * k)
-    at, total = 4 + 16 * k, int(count.sum())
-    h = _wide(memoryview(blob)[at : at + 5 * total])
-    return (keys, n, count, h, np.frombuffer(blob, "<u2", total, at + 5 * total)) if with_df else (keys, n, count, h)
+def _unblob(blob: bytes, top: int, with_df: bool = False) -> tuple[np.ndarray, ...]:
+    k, width = (int(x) for x in np.frombuffer(blob, "<u4", 2))
+    keys = np.frombuffer(blob, "<u8", k, 8)
+    n, count = np.frombuffer(blob, "<u4", k, 8 + 8 * k), np.frombuffer(blob, "<u4", k, 8 + 12 * k)
+    at, total = 8 + 16 * k, int(count.sum())
+    h = _wide(memoryview(blob)[at : at + width * total], width, top)
+    return (keys, n, count, h, np.frombuffer(blob, "<u2", total, at + width * total)) if with_df else (keys, n, count, h)
 
 
-def _cut(fragments: int, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each text's shingles cut along the fragments; and the texts' ids, keys and sizes, in fragments below 0."""
+def _top(frag: int, bits: int) -> int:
+    """The first eight bits of the hashes of a fragment; 0 for what went past them, which is sent whole."""
+    return (frag >> (bits - 8)) << 56 if frag >= 0 else 0
+
+
+def _cuts(x: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of equal values."""
+    edge = np.flatnonzero(np.diff(x)) + 1
+    return list(zip([0, *edge.tolist()], [*edge.tolist(), len(x)])) if len(x) else []
+
+
+def _runs(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of runs of equal ones, and their lengths."""
+    first = np.flatnonzero(np.concatenate(([True], np.diff(of) != 0)))
+    return of[first], np.diff(np.concatenate((first, [len(of)])))
+
+
+def _often(most: int, often: int, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(h, n): shingles that recur in what a task counts at once, with their counts there; and under a null all shingles' number."""
+    held, size = [], 0
+
+    def counted() -> pd.DataFrame:
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        h, n = h[n >= often].astype(np.int64), n[n >= often]
+        mask = np.zeros(len(h) + 1, bool)
+        mask[-1] = True
+        return pd.DataFrame({"h": pd.arrays.IntegerArray(np.append(h, 0), mask), "n": np.append(n, size)})
+
+    for pdf in parts:
+        for _, part in wordhash.batched((t.encode() if t else b"" for t in pdf["text"]), 1 << 20):
+            held += (own := wordhash.sets(part, SHINGLE))
+            size += sum(map(len, own))
+            if size >= most:
+                yield counted()
+                held, size = [], 0
+    if held:
+        yield counted()
+
+
+def _cut(bits: int, buckets: int, hot_bc, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each text's shingles cut along the fragments.
+
+    Texts' ids, keys and sizes, and the hot shingles, dealt out by text, go past them: under numbers
+    below 0, one for each time that a task sends, so that they are never gathered.
+    """
+    from pyspark import TaskContext
+
+    hot = hot_bc.value
     held: dict[int, np.ndarray] = {}
-    docs: list[tuple[int, int, int]] = []
-    size, turn = 0, 0
+    docs: list[tuple[int, bool, int, int]] = []
+    size, turn = 0, -1 - (TaskContext.get().partitionId() << 24)
+
+    def dealt(frag: int, part: np.ndarray, of: np.ndarray, h: np.ndarray, keys: np.ndarray, n: np.ndarray, width: int, past: bool) -> Iterator[tuple]:
+        for lo, hi in _cuts(part):
+            t, count = _runs(of[lo:hi])
+            yield (frag if past else int(part[lo]), int(part[lo]) if past else -1, _blob(keys[t], n[t], count, h[lo:hi], width, np.full(hi - lo, _MOST) if past else None))
 
     def send() -> pd.DataFrame:
-        ids, keys, ns = (np.array(x, kind) for x, kind in zip(zip(*docs), (np.int64, np.uint64, np.int64)))
-        out = [(-1 - turn % 16, -1, np.array([len(ids)], "<u4").tobytes() + ids.astype("<i8").tobytes() + keys.astype("<u8").tobytes() + ns.astype("<u4").tobytes())]
+        ids, gone, keys, ns = (np.array(x, kind) for x, kind in zip(zip(*docs), (np.int64, np.uint8, np.uint64, np.int64)))
+        out = [(turn, -1, b"".join((np.array([len(ids)], "<u8").tobytes(), ids.astype("<i8").tobytes(), keys.astype("<u8").tobytes(), ns.astype("<i8").tobytes(), gone.tobytes())))]
         own = {k: s for k, s in held.items() if len(s)}
         if own:
             keys = np.array(list(own), np.uint64)
             n = np.fromiter(map(len, own.values()), np.int64, len(own))
             h, of = np.concatenate(list(own.values())), np.repeat(np.arange(len(own)), n)
-            frag = (((h >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)).astype(np.uint32)
-            order = np.argsort(frag.astype(np.uint16) if fragments < 1 << 16 else frag, kind="stable")
-            frag, h, of = frag[order], h[order] & np.uint64(_LOW), of[order]
-            cuts = np.flatnonzero(np.diff(frag)) + 1
-            for lo, hi in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [len(h)]))):
-                first = np.flatnonzero(np.concatenate(([True], np.diff(of[lo:hi]) != 0)))
-                t = of[lo:hi][first]
-                out.append((int(frag[lo]), -1, _blob(keys[t], n[t], np.diff(np.concatenate((first, [hi - lo]))), h[lo:hi])))
+            if len(hot):
+                is_hot = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
+                bucket = (keys % np.uint64(buckets)).astype(np.int64)[of[is_hot]]
+                order = np.argsort(bucket, kind="stable")
+                out += dealt(turn, bucket[order], of[is_hot][order], h[is_hot][order], keys, n, 8, True)
+                h, of = h[~is_hot], of[~is_hot]
+            frag = (h >> np.uint64(64 - bits)).astype(np.uint32)
+            order = np.argsort(frag.astype(np.uint16) if bits <= 16 else frag, kind="stable")
+            out += dealt(0, frag[order].astype(np.int64), of[order], h[order], keys, n, _SHORT, False)
         return pd.DataFrame(out, columns=["frag", "bucket", "blob"])
 
     for pdf in parts:
         texts = (t.encode() if t else b"" for t in pdf["text"])
-        ids = pdf["doc_id"].tolist()
+        ids, gone = pdf["doc_id"].tolist(), pdf["gone"].tolist()
         for first, part in wordhash.batched(texts, 1 << 20):
-            for doc, text, s in zip(ids[first : first + len(part)], part, wordhash.sets(part, SHINGLE)):
+            for i, (text, s) in enumerate(zip(part, wordhash.sets(part, SHINGLE)), first):
                 key = int.from_bytes(blake2b(b" ".join(text.lower().split()), digest_size=8).digest(), "little")
-                docs.append((doc, key, len(s)))
+                docs.append((ids[i], gone[i], key, len(s)))
                 if key not in held:
                     held[key] = s
                     size += len(s)
             if size >= FLUSH:
                 yield send()
-                held, docs, size, turn = {}, [], 0, turn + 1
+                held, docs, size, turn = {}, [], 0, turn - 1
     if docs:
         yield send()
 
 
-def _count(buckets: int, group: pd.DataFrame) -> pd.DataFrame:
-    """A fragment: drop shingles of one text, deal the rest out by text. Fragments below 0 pass through."""
+def _count(bits: int, buckets: int, group: pd.DataFrame) -> pd.DataFrame:
+    """A fragment: drop shingles of one text, deal the rest out by text. What is below 0 passes through."""
     frag = int(group["frag"].iloc[0])
     if frag < 0:
         return group
-    keys, n, count, h = (np.concatenate(x) for x in zip(*map(_unblob, group["blob"])))
+    keys, n, count, h = (np.concatenate(x) for x in zip(*(_unblob(b, _top(frag, bits)) for b in group["blob"])))
     _, first = np.unique(keys, return_index=True)  # a class sent by several tasks counts once
     once = np.zeros(len(keys), bool)
     once[first] = True
@@ -127,13 +192,10 @@ def _count(buckets: int, group: pd.DataFrame) -> pd.DataFrame:
     bucket = (keys % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket[of], kind="stable")
     h, df, of = h[order], df[order], of[order]
-    where = bucket[of]
-    cuts = np.flatnonzero(np.diff(where)) + 1
-    out = []
-    for lo, hi in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [len(h)]))) if len(h) else ():
-        first = np.flatnonzero(np.concatenate(([True], np.diff(of[lo:hi]) != 0)))
-        t = of[lo:hi][first]
-        out.append((frag, int(where[lo]), _blob(keys[t], n[t], np.diff(np.concatenate((first, [hi - lo]))), h[lo:hi], df[lo:hi])))
+    where, out = bucket[of], []
+    for lo, hi in _cuts(where):
+        t, own = _runs(of[lo:hi])
+        out.append((frag, int(where[lo]), _blob(keys[t], n[t], own, h[lo:hi], _SHORT, df[lo:hi])))
     return pd.DataFrame(out, columns=["frag", "bucket", "blob"])
 
 
@@ -141,41 +203,38 @@ def least_shared(n: np.ndarray) -> np.ndarray:
     return -(-PERCENT * n // 100)
 
 
-def _gather(fragments: int, group: pd.DataFrame) -> pd.DataFrame:
+def _gather(bits: int, group: pd.DataFrame) -> pd.DataFrame:
     """A bucket of texts: drop those that can't have a partner; rows of the prefix (piece -1) and of the pieces."""
-    got = [(int(f), *_unblob(b, True)) for f, b in zip(group["frag"], group["blob"])]
-    every = np.concatenate([g[1] for g in got])
-    keys, at = np.unique(every, return_inverse=True)
+    got = [_unblob(b, _top(int(f), bits), True) for f, b in zip(group["frag"], group["blob"])]
+    keys, at = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
     n = np.zeros(len(keys), np.int64)
-    n[at] = np.concatenate([g[2] for g in got])
-    count = np.concatenate([g[3] for g in got]).astype(np.int64)
-    shared = np.bincount(at, count, minlength=len(keys)).astype(np.int64)
-    of = np.repeat(at, count)
-    h = np.concatenate([g[4].astype(np.int64) | (g[0] << 40) for g in got])
-    df = np.concatenate([g[5] for g in got])
-    able = shared >= least_shared(n)
-    keep = able[of]
-    of, h, df = of[keep], h[keep], df[keep]
-    out = []
+    n[at] = np.concatenate([g[1] for g in got])
+    of = np.repeat(at, np.concatenate([g[2] for g in got]).astype(np.int64))
+    h, df = (np.concatenate([g[k] for g in got]) for k in (3, 4))
     order = np.lexsort((h, df, of))
     h, of = h[order], of[order]
+    keep = np.concatenate(([True], (np.diff(h) != 0) | (np.diff(of) != 0)))  # what went past the fragments may come from several tasks
+    h, of = h[keep], of[keep]
+    shared = np.bincount(of, minlength=len(keys)).astype(np.int64)
     lo = np.searchsorted(of, np.arange(len(keys) + 1))
-    for k in np.flatnonzero(able):
+    out = []
+    for k in np.flatnonzero(shared >= least_shared(n)):
         own = h[lo[k] : lo[k + 1]]
         key, single = int(keys[k].astype(np.int64)), int(n[k] - shared[k])
-        out.append((key, int(n[k]), -1, single, own[: int(n[k] - least_shared(n[k]) + 1 - single)]))
+        out.append((key, int(n[k]), -1, single, own[: int(n[k] - least_shared(n[k]) + 1 - single)].view(np.int64)))
         own = np.sort(own)
-        piece = (own >> 40) * PIECES // fragments
-        cuts = np.searchsorted(piece, np.arange(PIECES + 1))
-        out += [(key, int(n[k]), p, single, own[cuts[p] : cuts[p + 1]]) for p in range(PIECES) if cuts[p] < cuts[p + 1]]
+        piece = (own >> np.uint64(64 - PIECES)).astype(np.int64)
+        cuts = np.searchsorted(piece, np.arange((1 << PIECES) + 1))
+        out += [(key, int(n[k]), p, single, own[cuts[p] : cuts[p + 1]].view(np.int64)) for p in range(1 << PIECES) if cuts[p] < cuts[p + 1]]
     return pd.DataFrame(out, columns=["key", "n", "piece", "skip", "part"])
 
 
 def _classes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in parts:
         for blob in pdf["blob"]:
-            k = int(np.frombuffer(blob, "<u4", 1)[0])
-            yield pd.DataFrame({"doc_id": np.frombuffer(blob, "<i8", k, 4), "key": np.frombuffer(blob, "<u8", k, 4 + 8 * k).astype(np.int64), "n": np.frombuffer(blob, "<u4", k, 4 + 16 * k).astype(np.int64)})
+            k = int(np.frombuffer(blob, "<u8", 1)[0])
+            ids, keys, n = np.frombuffer(blob, "<i8", 3 * k, 8).reshape(3, k)
+            yield pd.DataFrame({"doc_id": pd.arrays.IntegerArray(ids.copy(), np.frombuffer(blob, np.uint8, k, 8 + 24 * k) > 0), "key": keys, "n": n})
 
 
 def _alike(a: Column, b: Column) -> Column:
@@ -227,51 +286,64 @@ def _with_earlier(apart: DataFrame) -> DataFrame:
     return each.select("key", "n", "comp", F.col("x.t").alias("t"), F.col("x.pos").alias("pos"), before.alias("earlier"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def _between(apart: DataFrame) -> DataFrame:
+    """(a, b): pairs of texts of different components that share a token and that sizes and places leave able to link."""
+    member = F.struct("key", "n", "pos", "earlier")
+    groups = _with_earlier(apart).groupBy("t", "comp", F.pmod(F.xxhash64("key"), F.lit(CHUNKS)).alias("chunk")).agg(F.collect_list(member).alias("m"))
+    groups = common.staged(groups.drop("chunk"), "groups")
+    x, y = (groups.select("t", F.col("comp").alias(f"c{k}"), F.col("m").alias(f"m{k}")) for k in "xy")
+
+    def able(p: Column, q: Column) -> Column:
+        # the first shared shingle leaves at most the rest of either; what both need is known from their sizes
+        room = F.least(p["n"] - p["pos"], q["n"] - q["pos"])
+        return _alike(p["n"], q["n"]) & ((100 + PERCENT) * room >= PERCENT * (p["n"] + q["n"])) & ~F.arrays_overlap(p["earlier"], q["earlier"])
+
+    pair = lambda p, q: F.struct(F.least(p["key"], q["key"]).alias("a"), F.greatest(p["key"], q["key"]).alias("b"))
+    pairs = F.flatten(F.transform("mx", lambda p: F.transform(F.filter("my", lambda q: able(p, q)), lambda q: pair(p, q))))
+    return x.join(y.hint("merge"), "t").where("cx < cy").select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
+
+
+def near_duplicates(docs: DataFrame, often: int = OFTEN, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id per row.
 
     A set has the distinct runs of 5 words (fewer words: all of them as one; none: empty, linked
-    with nothing). Texts link at a Jaccard similarity of 0.75 or more. Null text has no words; rows
-    alike come out alike; a null doc_id counts as the least id; an empty table gives no rows.
+    with nothing). Texts link at a Jaccard similarity of 0.75 or more; a text of any length is taken
+    whole, null text has no words. Rows alike come out alike. A null doc_id stays null and is nobody's
+    smallest id: a component without any other has a null component_id. An empty table gives no rows;
+    other columns, whatever their names, are not read. Where `often` and `hot` lie changes the work, not the result.
     """
     spark = docs.sparkSession
-    chars = docs.agg(F.sum(F.length("text")).alias("c")).first().c or 0
-    fragments = max(12, -(-chars // 6 // FRAGMENT))
-    buckets = max(8, fragments // 4)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text")
-    sent = rows.mapInPandas(partial(_cut, fragments), _SENT)
-    counted = common.staged(sent.groupBy("frag").applyInPandas(partial(_count, buckets), _SENT), "fragments")
-    classes = common.staged(counted.where("frag < 0").mapInPandas(_classes, "doc_id long, key long, n long"), "classes")
-    sets = common.staged(counted.where("frag >= 0").groupBy("bucket").applyInPandas(partial(_gather, fragments), _SETS), "sets")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("gone"), "text")
+    counts = common.staged(rows.select("text").mapInPandas(partial(_often, COUNTED, often), "h long, n long"), "often")
+    total = counts.where("h is null").agg(F.sum("n")).first()[0] or 0
+    every = counts.where("h is not null").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(hot, total // SHARE))
+    found = np.sort(np.array([r.h for r in every.collect()], np.int64).view(np.uint64))  # SHARE numbers at most
+    bits = max(8, int(np.ceil(np.log2(max(total / FRAGMENT, 1)))))
+    buckets = max(8, (1 << bits) // 2)
+    sent = rows.mapInPandas(partial(_cut, bits, buckets, spark.sparkContext.broadcast(found)), _SENT)
+    counted = common.staged(sent.groupBy("frag").applyInPandas(lambda g: _count(bits, buckets, g), _SENT), "fragments")
+    classes = common.staged(counted.where("frag < 0 and bucket < 0").mapInPandas(_classes, "doc_id long, key long, n long"), "classes")
+    sets = common.staged(counted.where("bucket >= 0").groupBy("bucket").applyInPandas(lambda g: _gather(bits, g), _SETS), "sets")
+    common.drop(counts, counted)
     tokens = sets.where("piece = -1").select("key", "n", "skip", F.posexplode("part").alias("p", "t")).select("t", "key", "n", (F.col("skip") + F.col("p")).alias("pos"))
     apart, comps = _apart(tokens, None), None
     if not apart.isEmpty():
         # a shingle's hub is the text where it comes first in the order: the one with the fewest rare shingles, at a group's centre
-        hubs = apart.groupBy("t").agg(F.min(F.struct("pos", "key", "n")).alias("h"))
-        star = apart.join(hubs, "t").where((F.col("key") != F.col("h.key")) & _alike(F.col("n"), F.col("h.n")))
+        hubs = common.staged(apart.groupBy("t").agg(F.min(F.struct("pos", "key", "n")).alias("h")), "hubs")
+        star = apart.join(hubs.hint("merge"), "t").where((F.col("key") != F.col("h.key")) & _alike(F.col("n"), F.col("h.n")))
         star = common.staged(star.select(F.least("key", "h.key").alias("a"), F.greatest("key", "h.key").alias("b")).distinct(), "star")
         comps = components(linked(star, sets))
         apart = _apart(apart, comps)
     if not apart.isEmpty():
-        own = _with_earlier(apart)
-        x = own.select("t", F.col("key").alias("a"), F.col("n").alias("na"), F.col("pos").alias("i"), F.col("comp").alias("ca"), F.col("earlier").alias("ea"))
-        y = own.select("t", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("j"), F.col("comp").alias("cb"), F.col("earlier").alias("eb"))
-        # the first shared shingle leaves at most the rest of either; what both need is known from their sizes
-        room = F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j"))
-        able = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _alike(F.col("na"), F.col("nb")) & ((100 + PERCENT) * room >= PERCENT * (F.col("na") + F.col("nb")))
-        pairs = x.join(y, "t").where(able & ~F.arrays_overlap("ea", "eb"))
-        pairs = common.staged(pairs.select("a", "b").distinct().join(star, ["a", "b"], "left_anti"), "pairs")
+        pairs = common.staged(_between(apart).join(star, ["a", "b"], "left_anti"), "pairs")
         comps = components(linked(pairs, sets).union(comps.where("key != comp").select(F.col("comp").alias("a"), F.col("key").alias("b"))))
-    if comps is not None:
-        classes = classes.join(comps, "key", "left").select("doc_id", "n", F.coalesce("comp", "key").alias("comp"))
-    else:
-        classes = classes.select("doc_id", "n", F.col("key").alias("comp"))
-    classes = common.staged(classes, "members")
-    least = classes.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    out = classes.join(least, "comp", "left")
+    classes = classes.withColumn("comp", F.col("key")) if comps is None else classes.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    classes = common.staged(classes.select("doc_id", "n", "comp"), "members")
+    least = common.staged(classes.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least")), "least")  # a table, so that a large component's rows can be split in the join
+    out = classes.join(least.hint("merge"), "comp", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:
-    """Near copies among `documents`."""
+    """Near copies among the whole `documents`."""
     return near_duplicates(common.table(spark, sf_dir, "documents"))
