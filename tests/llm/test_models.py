@@ -168,20 +168,47 @@ def test_neighbours(spark, duck):
     assert (got.sort_values(["query_id", "rank"]).groupby("query_id").score.diff().fillna(0) >= 0).all()
 
 
-def test_neighbours_exactly(spark):
+def test_neighbours_exactly(spark, monkeypatch):
+    """All leaves opened: brute force, for each width, over one region and part or many."""
     rng = np.random.default_rng(5)
     x = rng.normal(size=(900, 4))
     x[300:600] = x[0]  # a hot vector
-    rows = [(i, v.tolist(), "x") for i, v in enumerate(x)] + [(1000, None, "x"), (1001, [], "x"), (1002, [0.0] * 4, "x"), (1003, [1.0, None, 0.0, 0.0], "x"), (1004, [float("nan")] * 4, "x"), (1005, [float("inf"), 0.0, 0.0, 0.0], "x"), (1006, [1.0], "x"), (None, [1.0] * 4, "x")]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string")
-    got = neighbours.search(frame, pii.F.col("id") % 100 == 0, k=5, visits=10_000).toPandas()
-    ids = np.arange(900)
-    for q in range(0, 900, 100):
-        assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == exact_nearest(ids, x, q, 5)
-    assert set(got.query_id) == set(range(0, 900, 100))
-    assert neighbours.search(frame.limit(0), pii.F.col("id") % 100 == 0).count() == 0
+    y = rng.normal(size=(60, 3))
+    rows = [(i, v.tolist(), "x", "y") for i, v in enumerate(x)] + [(1000 + i, v.tolist(), "x", "y") for i, v in enumerate(y)]
+    rows += [(2000, None, "x", "y"), (2001, [], "x", "y"), (2100, [0.0] * 4, "x", "y"), (2200, [1.0, None, 0.0, 0.0], "x", "y"), (2300, [float("nan")] * 4, "x", "y"), (2400, [float("inf"), 0.0, 0.0, 0.0], "x", "y"), (2500, [1.0], "x", "y"), (None, [1.0] * 4, "x", "y"), rows[100], rows[100], rows[1]]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string, region string")
+    ids, query = np.arange(900), pii.F.col("id") % 100 == 0
+    for part in (neighbours.PART, 100):
+        monkeypatch.setattr(neighbours, "PART", part)
+        got = neighbours.search(frame, query, k=5, opened=(10**6, 1.0)).toPandas()
+        for q in range(0, 900, 100):
+            assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == exact_nearest(ids, x, q, 5)
+        assert got[got.query_id == 1000].sort_values("rank").vec_id.tolist() == [1000 + i for i in exact_nearest(ids[:60], y, 0, 5)]
+        assert set(got.query_id) == {*range(0, 1100, 100)} - {900} and len(got) == 50
+    assert neighbours.search(frame.limit(0), query).count() == 0
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [3.0, 1.0])], "vec_id long, embedding array<double>")
-    assert sorted((r.query_id, r.rank, r.vec_id) for r in neighbours.search(few, pii.F.col("id") % 100 == 0).collect()) == [(0, 1, 1), (0, 2, 2)]
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in neighbours.search(few, query).collect()) == [(0, 1, 1), (0, 2, 2)]
+    alone = spark.createDataFrame([(0, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    assert neighbours.search(alone, query).count() == 0
+
+
+def test_tree():
+    """Leaves grow in number with the rows, hold each once, and come nearest first; few of them hold the neighbours."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(4000, 16)) + 4 * rng.normal(size=(10, 16))[rng.integers(0, 10, 4000)]
+    for n in (4, 40, 400, 4000):
+        tree = neighbours.Tree(x[:n], neighbours.LEAF)
+        assert tree.leaves >= n / neighbours.LEAF and sorted(tree.order) == list(range(n)) and sorted(tree.visits(x[0])) == list(range(tree.leaves))
+        assert len(tree.rows(x[0], 0.0, 3)) >= min(n, 3)
+    hits = 0
+    for i in range(0, 4000, 40):
+        d = ((x - x[i]) ** 2).sum(1)
+        seen = tree.rows(x[i], 0.05, 10)
+        assert len(seen) < 0.15 * len(x)
+        hits += len(set(np.argsort(d)[:10]) & set(seen))
+    assert hits >= 0.9 * 1000
+    same = neighbours.Tree(np.ones((500, 3)), 4)
+    assert same.leaves == 1 and len(same.rows(np.ones(3), 0.0, 1)) == 500
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))

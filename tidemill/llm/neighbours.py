@@ -1,74 +1,83 @@
 """Approximate nearest neighbours: a hierarchical k-means tree searched best bin first.
 
-The tree is fitted on the driver from a bounded sample; every row is then put into a leaf. A query
-walks the tree through a priority queue that always opens the nearest unopened node, and so names
-its leaves nearest first. How many leaves it visits is calibrated: a bounded set of probe queries
-is answered by brute force over all rows, and visits widen until the wanted recall is reached.
-Rows and queries meet in a join on the leaf, both packed into blocks, so a leaf of any size is
-spread over tasks, and what follows the join holds ten rows per query and block.
+The upper levels are fitted on the driver from a bounded sample; their leaves are regions. Every row
+is put into its region, a region that holds many rows is dealt into parts of bounded size, and each
+part grows the lower levels of the tree over its own rows, down to leaves of a few, so leaves grow in
+number with the rows and a region of any size is spread over tasks. A query walks the upper levels
+through a priority queue that always opens the nearest unopened node, and so names its regions
+nearest first; in each part of these it walks the lower levels in the same way. How many regions it
+visits, and which share of a part's leaves, is calibrated: a bounded set of probe queries is answered by
+brute force over all rows, and visits widen until the wanted recall is reached. Only vectors and ids
+travel, a row once and a query once for each part that it visits; rows of a key stream through a task.
+
+Rows of equal vectors beyond the k + 1 smallest ids can be nobody's nearest, so a very common vector
+is cut to these before anything else.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 from functools import partial
+from itertools import count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, wordhash
 
-#: Rows that the tree is fitted on, at most.
-SAMPLE = 12_000
+#: Rows that the upper levels are fitted on, at most, and numbers in them.
+SAMPLE, NUMBERS = 12_000, 4_000_000
 #: Probe queries that visits are calibrated with, at most.
 PROBES = 100
 BRANCH = 8
-LEAF = 60
-#: Rows and queries of a block.
-BLOCK, ASKED = 512, 256
-#: Parts that a leaf is dealt into; rows found that a task holds.
-SALTS, HELD = 8, 400_000
-RECALL = 0.985
+#: Rows of a leaf, at most, and of a part, about.
+LEAF, PART = 4, 16_384
+RECALL = 0.95
+_FOUND = "query_id long, vec_id long, score double"
+_SENT = "region int, part int, kind int, id long, v array<double>"
 
 
-@dataclass
 class Tree:
-    """Node i has the children kids[i] with centres[i]; leaf numbers stand as -1 - leaf."""
-
-    centres: list[np.ndarray] = field(default_factory=list)
-    kids: list[list[int]] = field(default_factory=list)
-    leaves: int = 0
-
-    @classmethod
-    def fit(cls, x: np.ndarray, seed: int = 3) -> Tree:
-        tree, rng = cls(), np.random.default_rng(seed)
-        tree._grow(x, rng)
-        return tree
-
-    def _grow(self, x: np.ndarray, rng: np.random.Generator) -> int:
-        different = np.unique(x, axis=0) if len(x) > LEAF else x
-        if len(different) <= LEAF:
-            self.leaves += 1
-            return -self.leaves
-        centres = different[rng.choice(len(different), BRANCH, replace=False)].astype(np.float64)
-        for _ in range(12):
-            of = nearest(x, centres)
-            centres = np.stack([x[of == j].mean(0) if (of == j).any() else different[rng.integers(len(different))] for j in range(len(centres))])
-        of = nearest(x, centres)
-        used = np.unique(of)
-        if len(used) < 2:
-            self.leaves += 1
-            return -self.leaves
-        at = len(self.centres)
-        self.centres.append(centres[used])
+    """Node i has the children kids[i] with centres[i]; leaf j stands as -1 - j and holds the rows order[ends[j] : ends[j + 1]]."""
+
+    def __init__(self, x: np.ndarray, most: int, seed: int = 3):
+        """Split the rows of x by k-means until no more than `most` are together, or they are all equal."""
+        self.centres, self.squares, self.kids, self._members = [], [], [], []
+        self._grow(x, np.arange(len(x)), max(1, most), np.random.default_rng(seed))
+        self.leaves = len(self._members)
+        self.ends = np.concatenate(([0], np.cumsum([len(m) for m in self._members])))
+        self.order = np.concatenate(self._members)
+        del self._members
+
+    def _grow(self, x: np.ndarray, own: np.ndarray, most: int, rng: np.random.Generator) -> int:
+        parts = self._split(x[own], rng) if len(own) > most else []
+        if len(parts) < 2:
+            self._members.append(own)
+            return -len(self._members)
+        at = len(self.kids)
+        centres = np.stack([x[own[p]].mean(0) for p in parts])
+        self.centres.append(centres)
+        self.squares.append((centres * centres).sum(1))
         self.kids.append([])
-        self.kids[at] = [self._grow(x[of == j], rng) for j in used]
+        self.kids[at] = [self._grow(x, own[p], most, rng) for p in parts]
         return at
 
+    def _split(self, x: np.ndarray, rng: np.random.Generator) -> list[np.ndarray]:
+        centres = np.unique(x[rng.choice(len(x), min(BRANCH, len(x)), replace=False)], axis=0)
+        if len(centres) < 2:  # one vector very many times, perhaps among others
+            centres = np.unique(x, axis=0)
+            centres = centres[rng.choice(len(centres), min(BRANCH, len(centres)), replace=False)]
+        of = nearest(x, centres)
+        for _ in range(6 if len(centres) > 1 else 0):
+            used = np.unique(of)
+            centres = np.stack([x[of == j].mean(0) for j in used])
+            of = nearest(x, centres)
+        return [np.flatnonzero(of == j) for j in np.unique(of)]
+
     def leaf(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each row, by the nearest centre at each level."""
         out = np.zeros(len(x), np.int64)
@@ -82,18 +91,26 @@ class Tree:
                 stack += [(kid, rows[of == j]) for j, kid in enumerate(self.kids[node])]
         return out
 
-    def visits(self, q: np.ndarray, most: int) -> list[int]:
-        """The first `most` leaves that best-bin-first traversal reaches."""
-        out, queue = [], [(0.0, 0 if self.kids else -1)]
-        while queue and len(out) < most:
+    def visits(self, q: np.ndarray) -> Iterator[int]:
+        """The leaves in the order in which best-bin-first traversal reaches them."""
+        queue = [(0.0, 0 if self.kids else -1)]
+        while queue:
             _, node = heapq.heappop(queue)
             if node < 0:
-                out.append(-1 - node)
+                yield -1 - node
                 continue
-            gap = self.centres[node] - q
-            for d, kid in zip((gap * gap).sum(1).tolist(), self.kids[node]):
+            for d, kid in zip((self.squares[node] - 2 * (self.centres[node] @ q)).tolist(), self.kids[node]):
                 heapq.heappush(queue, (d, kid))
-        return out
+
+    def rows(self, q: np.ndarray, share: float, least: int) -> np.ndarray:
+        """The rows of the first leaves that q visits: so great a share of them, and as many as hold `least` rows."""
+        most, held, got = int(np.ceil(share * self.leaves)), 0, []
+        for n, leaf in enumerate(self.visits(q)):
+            if n >= most and held >= least:
+                break
+            got.append(self.order[self.ends[leaf] : self.ends[leaf + 1]])
+            held += len(got[-1])
+        return np.concatenate(got)
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -106,121 +123,138 @@ def usable(v: Column) -> Column:
     return F.coalesce(~bad & F.exists(v, lambda c: c != 0), F.lit(False))
 
 
-def _vectors(rows: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
-    """(id, v as doubles) of the usable rows of the most frequent width (the smaller of two as frequent), and that width."""
-    v = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
-    top = v.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    width = top.w if top else 0
-    return v.where(F.size("v") == width), width
-
-
-def _matrix(col: pd.Series, width: int) -> np.ndarray:
-    return np.concatenate(col.to_numpy()).reshape(-1, width) if len(col) else np.empty((0, width))
-
-
-def best(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query ids, row ids, distances) of each query's k nearest rows but itself, ties to the smaller id.
-
-    A product of matrices sieves the rows, with room for its rounding; the distances are then taken from differences.
-    """
-    q2, x2 = (q * q).sum(1), (x * x).sum(1)
-    d = q2[:, None] + x2 - 2 * (q @ x.T)
-    d[qid[:, None] == xid] = np.inf
-    near = d < np.inf
-    if len(x) > k:
-        near &= d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k] + 1e-9 * (q2[:, None] + x2.max())
-    row, col = np.nonzero(near)
-    d = np.sqrt(((x[col] - q[row]) ** 2).sum(1))
-    order = np.lexsort((xid[col], d, row))
-    row, col, d = row[order], col[order], d[order]
-    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-    return qid[row[keep]], xid[col[keep]], d[keep]
-
-
-def _assign(tree_bc, width: int, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Blocks (leaf, ids, vectors); rows of a leaf fill blocks within a task."""
-    held: dict[int, list] = {}
-    for pdf in parts:
-        x = _matrix(pdf["v"], width)
-        ids = pdf["id"].to_numpy(np.int64)
-        leaf = tree_bc.value.leaf(x)
-        order = np.argsort(leaf, kind="stable")
-        cut = np.flatnonzero(np.diff(leaf[order])) + 1
-        out = []
-        for rows in np.split(order, cut) if len(order) else []:
-            key = int(leaf[rows[0]])
-            a, b = held.pop(key, (np.empty(0, np.int64), np.empty((0, width))))
-            a, b = np.concatenate((a, ids[rows])), np.concatenate((b, x[rows]))
-            while len(a) >= BLOCK:
-                out.append((key, a[:BLOCK].tobytes(), b[:BLOCK].tobytes()))
-                a, b = a[BLOCK:], b[BLOCK:]
-            if len(a):
-                held[key] = (a, b)
-        if out:
-            yield pd.DataFrame(out, columns=["leaf", "ids", "vs"])
-    yield pd.DataFrame([(k, a.tobytes(), b.tobytes()) for k, (a, b) in held.items()], columns=["leaf", "ids", "vs"])
-
-
-def _ask(tree_bc, width: int, most: int, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Blocks (leaf, ids, vectors) of the queries that visit a leaf."""
-    held: dict[int, list] = {}
-    for pdf in parts:
-        x, out = _matrix(pdf["v"], width), []
-        for i, v in zip(pdf["id"].to_numpy(np.int64), x):
-            for leaf in tree_bc.value.visits(v, most):
-                own = held.setdefault(leaf, [])
-                own.append((i, v))
-                if len(own) == ASKED:
-                    out.append((leaf, *_pack(held.pop(leaf))))
-        if out:
-            yield pd.DataFrame(out, columns=["leaf", "qids", "qvs"])
-    yield pd.DataFrame([(k, *_pack(own)) for k, own in held.items()], columns=["leaf", "qids", "qvs"])
-
-
-def _pack(own: list) -> tuple[bytes, bytes]:
-    return np.array([i for i, _ in own], np.int64).tobytes(), np.stack([v for _, v in own]).tobytes()
-
-
-def _least(found: tuple[np.ndarray, np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, ...]:
-    """Each query's k nearest of (query ids, row ids, distances)."""
-    a, b, d = found
-    order = np.lexsort((b, d, a))
-    a, b, d = a[order], b[order], d[order]
-    keep = np.arange(len(a)) - np.searchsorted(a, a) < k
-    return a[keep], b[keep], d[keep]
-
-
-def _meet(width: int, k: int, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The k nearest per query among all that this task sees, sent on when they have grown to HELD rows."""
-    held, size = [], 0
-    for pdf in parts:
-        for qids, qvs, ids, vs in zip(pdf["qids"], pdf["qvs"], pdf["ids"], pdf["vs"]):
-            held.append(best(np.frombuffer(qvs).reshape(-1, width), np.frombuffer(qids, np.int64), np.frombuffer(vs).reshape(-1, width), np.frombuffer(ids, np.int64), k))
-            size += len(held[-1][0])
-            if size > HELD:
-                held = [_least(tuple(map(np.concatenate, zip(*held))), k)]
-                size = len(held[0][0])
-                if size > HELD // 2:
-                    yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), held.pop())))
-                    size = 0
+def best(q: np.ndarray, qid: int, x: np.ndarray, xid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row ids, distances) of the k nearest rows of q but itself, ties to the smaller id."""
+    other = xid != qid
+    x, xid = x[other], xid[other]
+    d = np.sqrt(((x - q) ** 2).sum(1))
+    if len(d) > 4 * k:
+        near = d <= np.partition(d, k - 1)[k - 1]
+        xid, d = xid[near], d[near]
+    order = np.lexsort((xid, d))[:k]
+    return xid[order], d[order]
+
+
+def _arrays(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, vectors) of a batch."""
+    return batch.column("id").to_numpy(), batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _sent(region: np.ndarray, part: np.ndarray, kind: int, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    ends = pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32())
+    v = pa.ListArray.from_arrays(ends, pa.array(x.ravel()))
+    return pa.RecordBatch.from_arrays([pa.array(region, pa.int32()), pa.array(part, pa.int32()), pa.array(np.full(len(x), kind), pa.int32()), pa.array(ids), v], names=[c.split()[0] for c in _SENT.split(", ")])
+
+
+def _regions(tree_bc, width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        region, n = np.unique(tree_bc.value.leaf(_arrays(batch, width)[1]), return_counts=True)
+        yield pa.RecordBatch.from_pydict({"region": pa.array(region, pa.int32()), "n": pa.array(n, pa.int64())})
+
+
+def _dealt(tree_bc, width: int, parts: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their region and part."""
+    for batch in batches:
+        ids, x = _arrays(batch, width)
+        region = tree_bc.value.leaf(x)
+        yield _sent(region, (wordhash.mix(ids.astype(np.uint64)) % parts[region]).astype(np.int64), 0, ids, x)
+
+
+def _asked(tree_bc, width: int, parts: np.ndarray, regions: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Queries with each part of the regions that they visit."""
+    for batch in batches:
+        ids, x = _arrays(batch, width)
+        for lo in range(0, len(ids), 256):
+            region, part, of = [], [], []
+            for i, q in enumerate(x[lo : lo + 256], lo):
+                for _, r in zip(range(regions), tree_bc.value.visits(q)):
+                    region += [r] * int(parts[r])
+                    part += range(int(parts[r]))
+                    of += [i] * int(parts[r])
+            yield _sent(np.array(region), np.array(part), 1, ids[of], x[of])
+
+
+def _keyed(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], int, np.ndarray, np.ndarray]]:
+    """(key, kind, ids, vectors) of runs of rows alike in key and kind."""
+    for batch in batches:
+        if len(batch):
+            ids, x = _arrays(batch, width)
+            key = np.stack([batch.column(c).to_numpy() for c in ("region", "part", "kind")])
+            edge = np.flatnonzero((np.diff(key) != 0).any(0)) + 1
+            for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(ids)]):
+                yield (int(key[0, lo]), int(key[1, lo])), int(key[2, lo]), ids[lo:hi], x[lo:hi]
+
+
+def _found(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names=["query_id", "vec_id", "score"])
+
+
+def _search(width: int, k: int, share: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The k nearest that each query finds in a part; a part's rows come before its queries."""
+    at, held, tree = None, [], None
+    for key, kind, ids, x in _keyed(width, batches):
+        if kind == 0:
+            if key != at:
+                at, held, tree = key, [], None
+            held.append((ids, x))
+        elif key == at:
+            if tree is None:
+                own, rows = (np.concatenate(c) for c in zip(*held))
+                tree, held = Tree(rows, LEAF), []
+            out = []
+            for i, q in zip(ids.tolist(), x):
+                seen = tree.rows(q, share, k + 1)
+                found, d = best(q, i, rows[seen], own[seen], k)
+                out.append((np.full(len(found), i), found, d))
+            yield _found(out)
+
+
+def _places(width: int, wanted_bc, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(probe, region, share of the part's leaves that are visited until it is found) of each wanted neighbour of a probe."""
+    wanted = wanted_bc.value
+    at, held, out = None, [], []
+
+    def place() -> None:
+        ids, x = (np.concatenate(c) for c in zip(*held))
+        here = {int(i): n for n, i in enumerate(ids.tolist())}
+        if any(int(w) in here for _, near in wanted.values() for w in near):
+            tree = Tree(x, LEAF)
+            leaf = np.empty(len(x), np.int64)
+            leaf[tree.order] = np.repeat(np.arange(tree.leaves), np.diff(tree.ends))
+            for probe, (q, near) in wanted.items():
+                if own := {int(leaf[here[w]]): 0 for w in near if w in here}:
+                    many = count(1)
+                    for seen in tree.visits(q):
+                        n = next(many)
+                        if seen in own:
+                            own[seen] = n
+                            if all(own.values()):
+                                break
+                    out.extend((probe, at[0], own[int(leaf[here[w]])] / tree.leaves) for w in near if w in here)
+
+    for key, _, ids, x in _keyed(width, batches):
+        if key != at:
+            if held:
+                place()
+            at, held = key, []
+        held.append((ids, x))
     if held:
-        yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), _least(tuple(map(np.concatenate, zip(*held))), k))))
+        place()
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["probe", "region", "share"])
 
 
-def _scan(q_bc, width: int, k: int, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _scan(q_bc, width: int, k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Brute force of a few queries over this task's rows, k rows per query kept."""
-    qid, q = q_bc.value
-    top = None
-    for pdf in parts:
-        x = _matrix(pdf["v"], width)
-        got = pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), best(q, qid, x, pdf["id"].to_numpy(np.int64), k))))
-        top = got if top is None else pd.concat((top, got))
-        top = top.sort_values(["query_id", "score", "vec_id"]).groupby("query_id").head(k)
-    if top is not None:
-        yield top.astype({"query_id": "int64", "vec_id": "int64"})
-
-
-_FOUND = "query_id long, vec_id long, score double"
+    ids, qs = q_bc.value
+    top = [(np.empty(0, np.int64), np.empty(0)) for _ in ids]
+    for batch in batches:
+        xid, x = _arrays(batch, width)
+        for n, (i, q) in enumerate(zip(ids.tolist(), qs)):
+            a, d = (np.concatenate(c) for c in zip(top[n], best(q, i, x, xid, k)))
+            order = np.lexsort((a, d))[:k]
+            top[n] = a[order], d[order]
+    yield _found([(np.full(len(a), i), a, d) for i, (a, d) in zip(ids.tolist(), top)])
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -231,52 +265,79 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 def exact(rows: DataFrame, qid: np.ndarray, q: np.ndarray, width: int, k: int) -> DataFrame:
     """The k nearest of a bounded set of queries by a scan of all rows, in blocks."""
     bc = rows.sparkSession.sparkContext.broadcast((qid, q))
-    return _ranked(rows.mapInPandas(partial(_scan, bc, width, k), _FOUND), k)
+    return _ranked(rows.mapInArrow(partial(_scan, bc, width, k), _FOUND), k)
 
 
-def _sampled(rows: DataFrame, most: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def _sampled(rows: DataFrame, total: int, most: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """The `most` rows of the smallest hash, by id; a hash is drawn so that few more than those are sorted."""
-    total = rows.count()
     share = min(1.0, 1.5 * most / max(total, 1) + 1e-9)
     drawn = rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    got = sorted(drawn.limit(2 * most).collect(), key=lambda r: (r.id, r.v))
-    keep = np.sort(np.random.default_rng(seed).permutation(len(got))[:most])
-    return np.array([got[i].id for i in keep], np.int64), np.array([got[i].v for i in keep], np.float64)
+    got = drawn.orderBy(F.xxhash64("id", F.lit(seed + 1)), "id", "v").limit(most).collect()
+    got.sort(key=lambda r: (r.id, r.v))
+    return np.array([r.id for r in got], np.int64), np.array([r.v for r in got], np.float64)
 
 
-def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = RECALL, visits: int | None = None) -> DataFrame:
+def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = RECALL, opened: tuple[int, float] | None = None) -> DataFrame:
     """query_id, rank, vec_id, score (Euclidean distance, in double precision): each query's k nearest found.
 
     `is_query` is a condition on the column `id`. Null, empty and zero vectors and those with a null
-    or non-finite component take no part, nor do those of another width than the most frequent or
-    with a null id. A query never finds its own id; repeated rows are found once each; an empty
-    table gives no rows; other columns are not read. With `visits` nothing is calibrated.
+    or non-finite component take no part, nor do rows with a null id. Vectors of each width, however
+    long, are searched among themselves, width by width. A query never finds its own id; it finds k
+    rows wherever so many are; ties go to the smaller id, rows of one id and vector are one. An id with
+    several vectors may be found by each, and asks for what is nearest to any. An empty table gives no rows; other columns, whatever their
+    names, are not read. With `opened`, (regions, share of a part's leaves), nothing is calibrated.
     """
     spark = rows.sparkSession
-    v, width = _vectors(rows, id_col, vec_col)
-    if not width:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    _, sample = _sampled(v, SAMPLE, 1)
-    tree = Tree.fit(sample)
-    bc = spark.sparkContext.broadcast(tree)
-    if visits is None:
-        visits = calibrate(v, tree, width, k, recall)
-    index = v.mapInPandas(partial(_assign, bc, width), "leaf long, ids binary, vs binary").withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(SALTS)))
-    asked = v.where(is_query).mapInPandas(partial(_ask, bc, width, visits), "leaf long, qids binary, qvs binary").withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
-    return _ranked(asked.join(index, ["leaf", "salt"]).mapInPandas(partial(_meet, width, k), _FOUND), k)
-
-
-def calibrate(v: DataFrame, tree: Tree, width: int, k: int, recall: float) -> int:
-    """The fewest leaf visits by which the probes find `recall` of their k nearest, brute force over all rows being the truth."""
+    v = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
+    widths = sorted(r.w for r in v.where(is_query).select(F.size("v").alias("w")).distinct().collect())
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for width in widths:
+        own = v.where(F.size("v") == width)
+        out = out.unionByName(_search_width(own, own.where(is_query), width, k, recall, opened))
+    return out
+
+
+def _search_width(v: DataFrame, queries: DataFrame, width: int, k: int, recall: float, opened: tuple[int, float] | None) -> DataFrame:
     spark = v.sparkSession
-    qid, q = _sampled(v, PROBES, 2)
-    truth = exact(v, qid, q, width, k).select("query_id", "vec_id").collect()
-    at = sorted({r.vec_id for r in truth})
-    near = v.join(F.broadcast(spark.createDataFrame([(x,) for x in at], "id long")), "id").select("id", "v").limit(4 * max(len(at), 1)).collect() if at else []
-    leaf = {r.id: int(tree.leaf(np.array([r.v]))[0]) for r in near}
-    place = {int(i): {leaf_: n for n, leaf_ in enumerate(tree.visits(x, tree.leaves))} for i, x in zip(qid, q)}
-    need = sorted(place[r.query_id][leaf[r.vec_id]] + 1 for r in truth)
-    return need[min(len(need) - 1, int(np.ceil(recall * len(need))))] if need else 1
+    alike = Window.partitionBy(F.xxhash64("v"), "v").orderBy("id")
+    few = v.withColumn("n", F.dense_rank().over(alike)).where(F.col("n") <= k + 1)
+    few = few.withColumn("n", F.lag("id").over(alike)).where(F.col("n").isNull() | (F.col("n") != F.col("id"))).drop("n")
+    data = common.staged(few, "vectors")
+    total = data.count()
+    _, sample = _sampled(data, total, max(BRANCH, min(SAMPLE, NUMBERS // width)), 1)
+    tree = Tree(sample, len(sample) * PART // total)
+    tree_bc = spark.sparkContext.broadcast(tree)
+    sizes = np.zeros(tree.leaves, np.int64)
+    for r in data.mapInArrow(partial(_regions, tree_bc, width), "region int, n long").groupBy("region").agg(F.sum("n").alias("n")).collect():
+        sizes[r.region] = r.n
+    parts = np.maximum(1, -(-sizes // PART)).astype(np.uint64)
+    dealt = data.mapInArrow(partial(_dealt, tree_bc, width, parts), _SENT)
+    keys = int(parts.sum())
+    if opened is None:
+        opened = calibrate(data, dealt, tree, keys, width, total, k, recall)
+    asked = queries.distinct().mapInArrow(partial(_asked, tree_bc, width, parts, opened[0]), _SENT)
+    both = dealt.union(asked).repartition(max(common.width(spark), keys), "region", "part").sortWithinPartitions("region", "part", "kind", "id", "v")
+    return _ranked(both.mapInArrow(partial(_search, width, k, opened[1]), _FOUND).distinct(), k)
+
+
+def calibrate(data: DataFrame, dealt: DataFrame, tree: Tree, keys: int, width: int, total: int, k: int, recall: float) -> tuple[int, float]:
+    """The fewest regions, and of their parts' leaves the least share, by which the probes find `recall` of their k nearest; brute force over all rows is the truth."""
+    spark = data.sparkSession
+    qid, q = _sampled(data, total, PROBES, 2)
+    wanted = {int(i): (x, set()) for i, x in zip(qid, q)}
+    for r in exact(data, qid, q, width, k).collect():
+        wanted[r.query_id][1].add(r.vec_id)
+    near = {r for _, own in wanted.values() for r in own}
+    if not near:
+        return 1, 0.0
+    both = dealt.repartition(max(common.width(spark), keys), "region", "part").sortWithinPartitions("region", "part", "id", "v")
+    got = both.mapInArrow(partial(_places, width, spark.sparkContext.broadcast(wanted)), "probe long, region long, share double").collect()
+    place = {i: {r: n for n, r in enumerate(tree.visits(x), 1)} for i, (x, _) in wanted.items()}
+    rank = np.array([place[r.probe][r.region] for r in got])
+    share = np.array([r.share for r in got])
+    regions = int(np.sort(rank)[min(len(rank) - 1, int(np.ceil(recall**0.5 * len(rank))))])
+    inside = np.sort(share[rank <= regions])
+    return regions, float(inside[min(len(inside) - 1, int(np.ceil(recall * len(rank))))])
 
 
 def op4_neighbours(spark, sf_dir: str) -> DataFrame:
