@@ -46,10 +46,18 @@ def test_pii_by_brute_force(spark):
 
 
 def test_pii_context(spark):
-    docs = spark.createDataFrame([(1, "my card is 4111111111111111"), (2, "number 4111111111111111"), (3, "IBAN DE89 3704 0044 0532 0130 00.")], "doc_id long, text string")
+    """Words before or after raise a score, and decide on what its pattern alone doesn't show."""
+    texts = ["my card is 4111111111111111", "number 4111111111111111", "IBAN DE89 3704 0044 0532 0130 00.", "4111111111111111 (visa)", "ssn 123-45-6789", "code 123-45-6789", "123-45-6789 is the SOCIAL number", "ssn 000-45-6789, ssn 666-45-6789 ssn 912-45-6789", "1-123-45-6789 tax", "discard 4111111111111111"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r for r in pii.find_pii(docs).collect()}
-    assert got[1].card[0].score > got[2].card[0].score and [(s.start, s.end) for s in got[3].iban] == [(5, 32)]
-    assert [(s.start, s.end) for s in got[1].card] == [(11, 27)]
+    assert [r.card[0].score for i, r in sorted(got.items()) if r.card] == [80, 60, 80, 60]
+    assert [(s.start, s.end) for s in got[2].iban] == [(5, 32)] and [(s.start, s.end) for s in got[0].card] == [(11, 27)]
+    assert [[(s.start, s.end, s.score) for s in got[i].ssn] for i in range(4, 9)] == [[(4, 15, 60)], [], [(0, 11, 60)], [], []]
+
+
+def test_pii_of_very_many_matches(spark):
+    docs = spark.createDataFrame([(1, "a@b.c " * 200_000)], "doc_id long, text string")
+    assert pii.find_pii(docs).select(pii.F.size("email"), pii.F.element_at("email", -1).start).first() == (200_000, 6 * 199_999)
 
 
 PAGES = {
