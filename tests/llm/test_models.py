@@ -1,3 +1,5 @@
+import math
+import random
 import re
 from hashlib import sha256
 
@@ -72,6 +74,16 @@ PAGES = {
     "<nav>menu</nav>": "",
     "<p>a < b and <unclosed": "a < b and",
     "<div class='cookie-notice'>ok?</div><p>body text here</p>": "body text here",
+    "<article><p>first words</p><div class='related-work'><p>Others did it too.</p></div><p>last</p></article>": "first words\n\nOthers did it too.\n\nlast",
+    "<article><p>The <span class='search term'>token</span> stays</p></article>": "The token stays",
+    "<article><p>He said:</p><blockquote class='reply'>No reply is lost.</blockquote></article>": "He said:\n\nNo reply is lost.",
+    "<article><p>Press <button>Start</button> to begin</p></article>": "Press Start to begin",
+    "<article><p>one two three</p><div class='ad'>Buy this now</div><p>four five</p><section id='comments'><p>so nice</p><p>thank you all</p></section></article>": "one two three\n\nfour five",
+    "<article><p>one two three</p><ul class='share'><li><a href=1>like it</a></li><li><a href=2>send it on</a></li></ul></article>": "one two three",
+    "<article><p>the text itself</p></article><article class='comment'><p>a reader's own long comment on it, longer than the text</p></article>": "the text itself",
+    "<body><div class='comments'>" + "<p>many words of many readers</p>" * 30 + "</div><div><p>one short text</p><p>of two blocks</p></div></body>": "one short text\n\nof two blocks",
+    "<body><header>site</header><main><header><h1>T</h1></header><p>text</p><aside>more</aside></main><footer>f</footer></body>": "T\n\ntext",
+    "<p>a</p><select><option>x</select><p hidden>b</p><p style='display: none'>c</p>": "a",
 }
 
 
@@ -80,6 +92,66 @@ def test_html(html):
     assert html_text.extract(html) == PAGES[html]
 
 
+def random_page(rng, depth=0):
+    tags = ["div", "p", "section", "ul", "li", "a", "b", "span", "table", "blockquote"]
+    out = []
+    for _ in range(rng.randint(1, 4)):
+        if depth > 3 or rng.random() < 0.4:
+            out.append(" ".join("word" * rng.randint(1, 3) for _ in range(rng.randint(0, 12))))
+        else:
+            tag = rng.choice(tags)
+            name = rng.choice(["", "", "", " class='sidebar'", " class='related'", " id=ad"])
+            out.append(f"<{tag}{name}>{random_page(rng, depth + 1)}</{tag}>")
+    return "".join(out)
+
+
+def test_density_by_brute_force():
+    """Every node's figures by walking all that lies below it, and the subtree by trying all nodes."""
+    rng = random.Random(5)
+
+    def below(node):
+        return [x for k in node.kids if not isinstance(k, str) and not k.gone for x in (k, *below(k))]
+
+    def texts(node):
+        return [(k, node) for k in node.kids if isinstance(k, str)] + [p for k in node.kids if not isinstance(k, str) and not k.gone for p in texts(k)]
+
+    def linked(node):
+        return node is not None and (node.tag == "a" or linked(node.up))
+
+    def figures(node):
+        c = sum(len("".join(t.split())) for t, _ in texts(node))
+        return c, len(below(node)), sum(len("".join(t.split())) for t, at in texts(node) if linked(at)), sum(x.tag == "a" for x in below(node))
+
+    def density(node, body):
+        (c, t, lc, lt), (bc, _, blc, _) = figures(node), figures(body)
+        t, base = max(t, 1), math.log(c / max(c - lc, 1) * lc + blc / max(bc, 1) * c + math.e)
+        return node.weight * c / t * math.log(max(c / max(lc, 1) * t / max(lt, 1), 1)) / (math.log(base) if base > 1 + 1e-9 else 1)
+
+    def up(node):
+        return [] if node is None else [node, *up(node.up)]
+
+    for _ in range(60):
+        root = html_text.parse(f"<body>{random_page(rng)}</body>")
+        html_text.prune(root)
+        body, nodes = html_text.weigh(root)
+        for node in nodes:
+            assert (node.chars, node.tags, node.link_chars, node.link_tags) == figures(node)
+            assert node.density == pytest.approx(density(node, body))
+            assert node.total == pytest.approx(sum(density(k, body) for k in node.kids if not isinstance(k, str) and not k.gone))
+            assert node.weight == pytest.approx(math.prod(html_text._NOISY for x in up(node) if x.named))  # no article here: every name lowers alike
+        inside = [body, *below(body)]
+        densest = max(inside, key=lambda x: x.total)
+        least = min(x.density for x in up(densest) if body in up(x))
+        assert html_text.threshold(body, inside) == least
+        far = {id(x) for x in inside if x.named and x.density * (1 - x.link_chars / max(x.chars, 1)) <= html_text._FAR * least}
+        best = html_text.main_node(root)
+        assert {id(x) for x in inside if x.gone} == far
+        left = [x for x in [body, *below(body)] if not any(y.gone for y in up(x))]
+        least = html_text.threshold(body, left)
+        most = max((x.total for x in left if x.density >= least), default=0)
+        assert body in up(best) and (best is body or best.total >= most or any(x.total == pytest.approx(most) and best in up(x) for x in left))
+
+
 def test_html_frame(spark):
     long = "<article>" + "<div>" * 3000 + "deep" + "<p>w x" * 20_000
     rows = [(1, None, "x"), (2, long, "x"), (2, long, "x"), (3, "<p> </p>", None)]

@@ -1,11 +1,14 @@
 """Main text of web pages by composite text density.
 
-A page is read into a tree of nodes in one pass. Parts that are never main text (menus, forms,
-scripts, adverts, comments and the like, by tag, role and names) are taken off. For each node that is
-left: characters per tag, adjusted by the share of link characters and link tags, against the whole
-body's share. A node's sum is that of its children's densities. The path from the body to the
-densest node gives the threshold, its least density; of the nodes that reach it, the subtree with the
-greatest sum is the main text, widened to the article that it lies in.
+A page is read into a tree of nodes in one pass. Parts that are never main text by their tag or role
+(menus, forms, scripts and the like) are taken off. For each node that is left: characters per tag,
+adjusted by the share of link characters and link tags, against the whole body's share. Names such as
+`sidebar`, `ad` or `comments` lower the density of a block; within an article only those that mean
+adverts and reader comments do so strongly. A node's sum is that of its children's densities. The
+path from the body to the node of the greatest sum gives the threshold, its least density. Named
+blocks whose lowered density, links apart, stays far below the threshold are taken off, and densities and threshold
+taken anew; of the nodes that reach it, the subtree with the greatest sum is the main text, widened to
+the article that it lies in.
 """
 
 from __future__ import annotations
@@ -24,25 +27,29 @@ from . import common
 # Tags by how they are read, and names that mark parts which are not main text.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp noembed noframes".split())
-_NEVER = frozenset("script style textarea title xmp noembed noframes noscript template svg math canvas iframe object audio video map nav footer aside form button select option dialog menu head".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_NEVER = frozenset("script style textarea title xmp noembed noframes noscript template svg math canvas iframe object audio video map nav footer aside form select option dialog menu head".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr button".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 _SIBLING = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _SCOPE = frozenset("table td th caption button object template html body".split())
 _NOISE = frozenset("ad ads advert advertisement adverts sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription share sharing social related recommended recommendations sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist reply replies respond disqus widget pagination pager login signup search skip toolbar masthead topbar copyright".split())
+_STRONG = frozenset("ad ads advert advertisement adverts sponsor sponsored promo cookie cookies consent gdpr newsletter comment comments commentlist disqus".split())
+_HOLDERS = frozenset("div section ul ol dl table article".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar alert".split())
 _WHOLE = frozenset("html body main article".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|(<?[^<]*)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _BLANK = re.compile(r"\s+")
+#: What a name makes of a block's density: one that may mean text within an article, and any other; and how far below the threshold a named block goes.
+_DOUBTFUL, _NOISY, _FAR = 0.5, 0.002, 0.1
 
 
 class _Node:
-    __slots__ = ("tag", "names", "role", "hidden", "kids", "up", "chars", "tags", "link_chars", "link_tags", "density", "total", "gone", "anchor")
+    __slots__ = ("tag", "names", "role", "hidden", "kids", "up", "chars", "tags", "link_chars", "link_tags", "density", "total", "gone", "anchor", "weight", "named")
 
     def __init__(self, tag: str, attrs: str, up: _Node | None):
-        self.tag, self.up, self.kids, self.gone = tag, up, [], False
+        self.tag, self.up, self.kids, self.gone, self.weight, self.named = tag, up, [], False, 1.0, False
         self.names, self.role, self.hidden = frozenset(), "", False
         if attrs and not attrs.isspace():
             found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
@@ -123,27 +130,34 @@ def _holds(node: _Node, tags: frozenset | set) -> bool:
 
 
 def prune(root: _Node) -> None:
+    """Take off what tags and roles show to be no main text, and set the weights of named blocks."""
     for node in _nodes(root):
         if node.up is None or node.up.gone or node.gone:
             node.gone = node.gone or (node.up is not None and node.up.gone)
             continue
+        node.weight = node.up.weight  # what lies in a named block is lowered with it
+        up = node.up
+        while up is not None and up.tag not in ("article", "main"):
+            up = up.up
         if node.tag in _NEVER or node.hidden:
             node.gone = True
-        elif node.tag == "article":
-            node.gone = bool(node.names & {"comment", "comments", "reply"})
-        elif node.tag in _WHOLE or node.tag in _INLINE and not node.names:
+        elif node.tag in _INLINE or node.tag in _WHOLE and node.tag != "article":
             continue
-        elif node.tag == "header" or "header" in node.names:
-            up = node.up
-            while up is not None and up.tag not in ("article", "main"):
-                up = up.up
+        elif node.tag == "header" or "header" in node.names and up is None:
             node.gone = up is None and not _holds(node, {"article", "main"})
-        elif node.names & _NOISE or node.role in _ROLES:
+        elif node.role in _ROLES:
             node.gone = not _holds(node, {"article", "main", "h1"})
+        elif up is not None or node.tag == "article":
+            node.named = node.tag in _HOLDERS and bool(node.names & _NOISE)
+            strong = _STRONG | {"reply"} if node.tag == "article" else _STRONG
+            node.weight *= (_NOISY if node.names & strong else _DOUBTFUL) if node.named else 1
+        elif node.names & _NOISE and not _holds(node, {"article", "main", "h1"}):
+            node.named = True
+            node.weight *= _NOISY
 
 
 def weigh(root: _Node) -> tuple[_Node, list[_Node]]:
-    """Set chars, tags, link_chars, link_tags, density and total of each node; the body (or root) and all nodes."""
+    """Set chars, tags, link_chars, link_tags, density (lowered by the weight) and total of each node; the body (or root) and all nodes."""
     nodes = _nodes(root)
     for node in nodes:
         node.anchor = node.tag == "a" or (node.up is not None and node.up.anchor)
@@ -163,22 +177,32 @@ def weigh(root: _Node) -> tuple[_Node, list[_Node]]:
     share = body.link_chars / max(body.chars, 1)
     for node in nodes:
         c, t, lc, lt = node.chars, max(node.tags, 1), node.link_chars, max(node.link_tags, 1)
-        base = log(c / max(c - lc, 1) * lc + share * c + e)
-        node.density = c / t * log(max(c / max(lc, 1) * t / lt, 1)) / log(max(base, 1 + 1e-9)) if c and base > 1 else c / t * log(max(c / max(lc, 1) * t / lt, 1))
+        base = log(c / max(c - lc, 1) * lc + share * c + e)  # 1 at the least
+        node.density = node.weight * c / t * log(max(c / max(lc, 1) * t / lt, 1)) / (log(base) if base > 1 + 1e-9 else 1)
     for node in nodes:
         node.total = sum(k.density for k in node.kids if not isinstance(k, str) and not k.gone)
     return body, nodes
 
 
-def main_node(root: _Node) -> _Node:
-    body, _ = weigh(root)
-    inside = _nodes(body)
-    densest = max(inside, key=lambda x: x.total)  # the first of equals
-    path, node = [], densest
+def threshold(body: _Node, inside: list[_Node]) -> float:
+    """The least density on the path from the body to the node of the greatest sum, the first of equals."""
+    node, least = max(inside, key=lambda x: x.total), float("inf")
     while node is not None and node is not body.up:
-        path.append(node.density)
+        least = min(least, node.density)
         node = node.up
-    least = min(path)
+    return least
+
+
+def main_node(root: _Node) -> _Node:
+    body, nodes = weigh(root)
+    least = threshold(body, _nodes(body))
+    far = [x for x in nodes if x.named and x.density * (1 - x.link_chars / max(x.chars, 1)) <= _FAR * least]
+    for node in far:
+        node.gone = True
+    if far:
+        body, _ = weigh(root)
+    inside = _nodes(body)
+    least = threshold(body, inside)
     best = max((x for x in inside if x.density >= least), key=lambda x: x.total, default=body)
     if best.total == 0:
         best = body
@@ -238,7 +262,12 @@ def _texts(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def with_main_text(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
-    """pages and their main text, row by row without an exchange; repeated rows get the same text, empty tables stay empty."""
+    """pages and their main text in the column `text`, row by row without an exchange.
+
+    Null and empty html have an empty text; a page of any length is read whole, and what it leaves open
+    is closed at its end. Repeated rows get the same text; of subtrees with equal sums the first counts;
+    an empty table stays empty. All other columns pass through; one named as `text` says is replaced.
+    """
     def texts(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield from _texts(parts)
 
