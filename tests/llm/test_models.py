@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tidemill.llm import html_text, language, neighbours, pii, quality, registry
+from tidemill.llm import html_text, language, neighbours, pii, quality, registry, wordhash
 
 SF = "/root/testdata/sf0.01"
 
@@ -174,6 +174,44 @@ def test_quality(spark, duck):
     assert len(own) > 50 and (own.predicted == own.quality).mean() > 0.95 and got.score.between(0, 1).all()
 
 
+def test_quality_by_brute_force():
+    """Features word by word and character by character, and scores pair by pair."""
+    texts = ["", "A b, c!", "one two  two\n\nthree | 7%", "ßé x" * 30, "word " * 400]
+    chars = np.array([0, 7, 5, -3, 2000])
+    bags, stats = (np.concatenate(x) for x in zip(*quality.features([t.encode() for t in texts], chars.astype(float))))
+    rng = np.random.default_rng(2)
+    width = quality.BUCKETS + quality.STATS
+    m = quality.Machine(0.1, rng.normal(0, 0.1, width).astype(np.float32), rng.normal(0, 0.1, (width, 3)).astype(np.float32), stats.mean(0), stats.std(0) + 1e-6)
+    scores = m.score(bags, stats)
+    for t, n, bag, own, score in zip(texts, chars, bags, stats, scores):
+        raw = t.encode()
+        words = raw.split()
+        hashes = [int(h) % quality.BUCKETS for w in words for h in wordhash.words([w])[3]]
+        want = np.zeros(quality.BUCKETS)
+        for h in hashes:
+            want[h] += 1
+        want = np.log1p(want)
+        assert bag == pytest.approx(want / max(np.sqrt((want**2).sum()), 1e-9), abs=1e-5)
+        size, count = len(raw), len(words)
+        shares = [sum(b in c for b in raw + b" ") / (size + 1) for c in quality._CLASSES.values()]
+        shares[2] -= (0 if b" " in quality._CLASSES["space"] else 1) / (size + 1)
+        assert own[6:] == pytest.approx(shares) and own[:5] == pytest.approx([np.log1p(size), np.log1p(count), sum(map(len, words)) / max(count, 1), len(set(hashes)) / max(count, 1), np.log1p(size / (1 + raw.count(b"\n")))], rel=1e-4)
+        assert own[5] == pytest.approx(np.log1p(max(n, 0)))
+        x = np.concatenate((bag, np.clip((own - m.mean) / m.std, -4, 4) * 0.25))
+        on = np.flatnonzero(x)
+        logit = m.bias + x @ m.linear + sum(float(m.factors[i] @ m.factors[j]) * x[i] * x[j] for a, i in enumerate(on) for j in on[:a])
+        assert score == pytest.approx(1 / (1 + np.exp(-logit)), rel=1e-3)
+
+
+def test_quality_of_repeated_ids(spark):
+    """The rows learnt from are the same whatever their order, and no more than twice the bound."""
+    rows = [(i % 3, f"{'good text here' if i % 3 else 'bad !!! 111'} {i}", i, "x", "y") for i in range(60)]
+    labels = spark.createDataFrame([(0, 0), (1, 1), (2, 1), (3, 1)], "doc_id long, quality int")
+    docs = [spark.createDataFrame(x, "doc_id long, text string, n_chars long, o string, y string") for x in (rows, rows[::-1])]
+    a, b = (quality.train(d, labels, most=3) for d in docs)
+    assert (a.linear == b.linear).all() and (a.factors == b.factors).all()
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, None, None, "a"), (2, "", 0, "a"), (None, "x y", 3, "b"), (3, "long " * 50_000, 5, "c"), (3, "long " * 50_000, 5, "c")], "doc_id long, text string, n_chars long, score string")
     labels = "doc_id long, quality int, toxic int"
@@ -216,7 +254,7 @@ def test_language(spark, duck):
 def test_language_edges(spark):
     rows = [(i, f"{'der die das und' if i % 2 else 'the and of it is'} {i}", "de" if i % 2 else "en", "l") for i in range(40)]
     odd = [(100, None, None, "l"), (101, "", "en", "l"), (102, "123 !?", None, "l"), (103, "the and of it is " * 8000, None, "l"), (104, "the", None, "l"), (104, "the", None, "l"), (None, "und der", "de", "l")]
-    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, l string")
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, said string")
     net = language.train(docs)
     assert net.langs == ["de", "en"]
     got = [r for r in language.with_language(docs, net).collect()]
@@ -231,6 +269,36 @@ def test_language_edges(spark):
     assert p[2] == pytest.approx(q[0]) and p[1].sum() == 0 and p[0].sum() == pytest.approx(1)
 
 
+def test_language_by_brute_force():
+    """Byte by byte through both cells, window by window, against all windows at once."""
+    rng = np.random.default_rng(4)
+    net = language.Network.new(["a", "b", "c"], 5, rng)
+    w = {k: v.astype(float) for k, v in net.w.items()}
+    sigma = lambda v: 1 / (1 + np.exp(-v))
+
+    def states(data, d):
+        h, out = np.zeros(5), []
+        for byte in data:
+            x, u = w["x" + d][byte], h @ w["u" + d]
+            z, r = sigma(x[:5] + u[:5]), sigma(x[5:10] + u[5:10])
+            n = np.tanh(x[10:] + r * (u[10:] + w["c" + d]))
+            h = (1 - z) * n + z * h
+            out.append(h)
+        return out
+
+    texts = [bytes(rng.integers(1, 256, n).astype(np.uint8)) for n in (0, 1, 7, 63, 64, 65, 130, 300)]
+    got = net.pooled(texts)
+    for text, p in zip(texts, got):
+        around, total = bytes(language.LAP) + text + bytes(2 * language.SPAN), np.zeros(3)
+        for at in range(0, len(text), language.WINDOW):
+            window = around[at : at + language.SPAN]
+            ahead, back = states(window, "f"), states(window[::-1], "b")[::-1]
+            for i in range(language.LAP, language.LAP + min(language.WINDOW, len(text) - at)):
+                e = np.exp(np.concatenate((ahead[i], back[i])) @ w["out"] + w["off"])
+                total += e / e.sum()
+        assert p == pytest.approx(total / max(len(text), 1), abs=1e-4)
+
+
 def exact_nearest(ids, x, q, k):
     d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
     d[ids == q] = np.inf

@@ -1,8 +1,10 @@
 """Language of texts: a bidirectional gated recurrent network over bytes.
 
-Whole texts are cut into windows of `WINDOW` bytes that run through the network side by side; every
-position gets language probabilities, and a text's are the mean over all its positions. The network
-is trained on the driver, in numpy, by backpropagation through time over a bounded sample.
+Whole texts are cut into windows of `WINDOW` bytes that run through the network side by side, each with
+`LAP` bytes more of the text before and after it, so that the states of either direction know what
+comes before they count; every position gets language probabilities, and a text's are the mean over
+all its positions. The network is trained on the driver, in numpy, by backpropagation through time
+over a bounded sample.
 """
 
 from __future__ import annotations
@@ -16,7 +18,9 @@ from pyspark.sql import functions as F
 
 from . import common, quality, wordhash
 
-WINDOW = 64
+#: Bytes of a window that count, of its overlap on either side, and of all; null bytes stand before and after a text.
+WINDOW, LAP = 64, 8
+SPAN = WINDOW + 2 * LAP
 HIDDEN = 8
 #: Texts of each language that windows are taken from, at most: SALTS times EACH.
 SALTS, EACH = 64, 10
@@ -25,6 +29,12 @@ CUTS = 4
 _AT_ONCE = 4096
 
 
+def _counts(size: np.ndarray) -> np.ndarray:
+    """(SPAN, n): the positions of windows that count, of each the first `size` after the overlap."""
+    at = np.arange(SPAN)[:, None] - LAP
+    return (at >= 0) & (at < size)
+
+
 def _cell(x: np.ndarray, h: np.ndarray, w: dict[str, np.ndarray], d: str) -> tuple[np.ndarray, ...]:
     u = h @ w["u" + d]
     pre = w["x" + d][x]
@@ -139,16 +149,17 @@ class Network:
             if not len(of):
                 continue
             begin = np.concatenate(([0], np.cumsum(rows)))
-            data = np.zeros(len(of) * WINDOW, np.uint8)
-            for t, at in zip(part, begin[:-1] * WINDOW):
+            first_byte = begin[:-1] * WINDOW + 2 * LAP * np.arange(len(part)) + LAP  # texts stand apart, so that none overlaps another
+            data = np.zeros(len(of) * WINDOW + 2 * LAP * len(part), np.uint8)
+            for t, at in zip(part, first_byte):
                 data[at : at + len(t)] = np.frombuffer(t, np.uint8)
-            left = np.minimum(size[of] - (np.arange(len(of)) - begin[of]) * WINDOW, WINDOW)
-            windows = data.reshape(-1, WINDOW)
+            nth = np.arange(len(of)) - begin[of]
+            left = np.minimum(size[of] - nth * WINDOW, WINDOW)
+            start = first_byte[of] + nth * WINDOW - LAP
             sums = np.empty((len(of), len(self.langs)))
             for at in range(0, len(of), _AT_ONCE):
-                x = np.ascontiguousarray(windows[at : at + _AT_ONCE].T)
-                p = self.positions(x)
-                p *= (np.arange(WINDOW)[:, None] < left[at : at + _AT_ONCE])[:, :, None]
+                p = self.positions(data[start[at : at + _AT_ONCE] + np.arange(SPAN)[:, None]])
+                p *= _counts(left[at : at + _AT_ONCE])[:, :, None]
                 sums[at : at + _AT_ONCE] = p.sum(0)
             for j in range(len(self.langs)):
                 out[first : first + len(part), j] = np.bincount(of, sums[:, j], minlength=len(part)) / np.maximum(size, 1)
@@ -156,7 +167,7 @@ class Network:
 
 
 def fit(windows: np.ndarray, y: np.ndarray, sizes: np.ndarray, langs: list[str], steps: int = 500, batch: int = 192, rate: float = 0.02, hidden: int = HIDDEN, seed: int = 11) -> Network:
-    """Adam over batches that draw every language alike; windows (n, WINDOW), of which the first `sizes` bytes count."""
+    """Adam over batches that draw every language alike; windows (n, SPAN), of which `sizes` bytes after the overlap count."""
     rng = np.random.default_rng(seed)
     net = Network.new(langs, hidden, rng)
     rows = [np.flatnonzero(y == j) for j in range(len(langs))]
@@ -165,7 +176,7 @@ def fit(windows: np.ndarray, y: np.ndarray, sizes: np.ndarray, langs: list[str],
     for i in range(1, steps + 1):
         pick = np.concatenate([rng.choice(r, -(-batch // len(langs))) for r in rows])
         x = np.ascontiguousarray(windows[pick].T)
-        _, g = net.step(x, y[pick], (np.arange(WINDOW)[:, None] < sizes[pick]).astype(np.float32))
+        _, g = net.step(x, y[pick], _counts(sizes[pick]).astype(np.float32))
         norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
         now = rate * min(1.0, 1.5 - i / steps)
         for k, a in g.items():
@@ -177,42 +188,49 @@ def fit(windows: np.ndarray, y: np.ndarray, sizes: np.ndarray, langs: list[str],
 
 
 def _cuts(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Up to CUTS windows of each text, spread over all of it."""
+    """Up to CUTS windows of each text, spread over all of it, with their overlaps."""
     for pdf in rows:
         out = []
         for doc, lang, text in zip(pdf["doc_id"], pdf["lang"], pdf["text"]):
             data = text.encode()
             n = max(1, min(CUTS, len(data) // WINDOW))
+            around = bytes(LAP) + data + bytes(LAP)
             for i in range(n):
                 at = i * (len(data) - WINDOW) // max(n - 1, 1) if len(data) > WINDOW else 0
-                out.append((doc, i, lang, data[at : at + WINDOW]))
-        yield pd.DataFrame(out, columns=["doc_id", "i", "lang", "data"])
+                out.append((doc, i, lang, min(len(data) - at, WINDOW), around[at : at + SPAN]))
+        yield pd.DataFrame(out, columns=["doc_id", "i", "lang", "size", "data"])
 
 
 def train(docs: DataFrame, each: int = EACH) -> Network | None:
-    """Learn from text and non-null lang outside the held-out fold (crc32(doc_id) mod 4 is 2); None without any."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~quality.held_out(F.col("doc_id"), 4, 2) & F.col("doc_id").isNotNull())
-    ids = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"), F.xxhash64("doc_id", F.lit(5)).alias("o"))
+    """Learn from text and non-null lang outside the held-out fold (crc32(doc_id) mod 4 is 2); None without any.
+
+    SALTS * each ids of a language are drawn by hash, and of their windows, where ids repeat, four times
+    as many at most as these ids can have. Null ids and texts without a letter don't count; other columns, whatever
+    their names, are not read.
+    """
     from pyspark.sql import Window
 
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~quality.held_out(F.col("doc_id"), 4, 2) & F.col("doc_id").isNotNull())
+    ids = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"), F.xxhash64("doc_id", F.lit(5)).alias("o"))
     ids = ids.withColumn("k", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("o", "doc_id"))).where(F.col("k") <= each).select("doc_id").distinct()
     chosen = [r.doc_id for r in ids.collect()]  # SALTS * each rows of a language at most
     if not chosen:
         return None
     few = docs.sparkSession.createDataFrame([(x,) for x in chosen], "doc_id long")
-    got = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(F.broadcast(few), "doc_id").mapInPandas(_cuts, "doc_id long, i int, lang string, data binary").collect()
-    got.sort(key=lambda r: (r.doc_id, r.lang, r.i, bytes(r.data)))
+    own = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(F.broadcast(few), "doc_id")
+    got = own.mapInPandas(_cuts, "doc_id long, i int, lang string, size int, data binary").orderBy("doc_id", "lang", "i", "data").limit(4 * CUTS * len(chosen)).collect()
     langs = sorted({r.lang for r in got})
-    data = np.zeros((len(got), WINDOW), np.uint8)
+    data = np.zeros((len(got), SPAN), np.uint8)
     for i, r in enumerate(got):
         data[i, : len(r.data)] = np.frombuffer(r.data, np.uint8)
-    return fit(data, np.array([langs.index(r.lang) for r in got]), np.array([len(r.data) for r in got]), langs)
+    return fit(data, np.array([langs.index(r.lang) for r in got]), np.array([r.size for r in got]), langs)
 
 
 def with_language(docs: DataFrame, net: Network | None, lang: str = "lang_pred", score: str = "lang_score") -> DataFrame:
     """docs with the most probable language and its mean probability; `und` and 0 if text is null or has no letter.
 
-    Ties go to the language that sorts first; repeated rows get the same answer; empty tables stay empty.
+    A text of any length is read whole. Ties go to the language that sorts first; repeated rows get the
+    same answer; empty tables stay empty. All other columns pass through; those named `lang` and `score` are replaced.
     """
     def said(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for text in parts:
@@ -224,8 +242,9 @@ def with_language(docs: DataFrame, net: Network | None, lang: str = "lang_pred",
         return docs.withColumns({lang: F.lit("und"), score: F.lit(0.0)})
     udf = F.pandas_udf(said, "l string, s double")
     known = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    out = docs.withColumn("_said", udf("text"))
-    return out.withColumns({lang: F.when(known, F.col("_said.l")).otherwise("und"), score: F.when(known, F.col("_said.s")).otherwise(0.0)}).drop("_said")
+    said_ = common.free(docs, "said")
+    out = docs.withColumn(said_, udf("text"))
+    return out.withColumns({lang: F.when(known, F.col(f"{said_}.l")).otherwise("und"), score: F.when(known, F.col(f"{said_}.s")).otherwise(0.0)}).drop(said_)
 
 
 def op10_language(spark, sf_dir: str) -> DataFrame:

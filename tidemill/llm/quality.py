@@ -108,9 +108,9 @@ def _sparse(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for bag, stats in features(texts, pdf["n_chars"].to_numpy(np.float64)):
             for b, s in zip(bag, stats):
                 k = np.flatnonzero(b)
-                out.append((int(pdf["doc_id"].iloc[at]), int(pdf["y"].iloc[at]), k.astype("<u2").tobytes(), b[k].astype("<f4").tobytes(), s.astype("<f8").tobytes()))
+                out.append((int(pdf["o"].iloc[at]), int(pdf["y"].iloc[at]), k.astype("<u2").tobytes(), b[k].astype("<f4").tobytes(), s.astype("<f8").tobytes()))
                 at += 1
-        yield pd.DataFrame(out, columns=["doc_id", "y", "k", "v", "s"])
+        yield pd.DataFrame(out, columns=["o", "y", "k", "v", "s"])
 
 
 def _inputs(docs: DataFrame) -> list[Column]:
@@ -119,15 +119,19 @@ def _inputs(docs: DataFrame) -> list[Column]:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Machine:
-    """Fit on up to `most` rows of docs with one non-null label outside the held-out fold; contradicting labels don't count."""
+    """Fit on rows of up to `most` ids of docs with one non-null label outside the held-out fold, twice as many rows at most.
+
+    Contradicting labels don't count, nor do null ids; null texts are empty, repeated rows count as
+    often as they are there, those of the smallest hash first. Other columns, whatever their names, are not read.
+    """
     known = (
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("y"), F.max("quality").alias("z"))
         .where("y = z").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", F.col("y").cast("int").alias("y"))
     )
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_inputs(docs)).join(F.broadcast(known), "doc_id")  # at most `most` rows
-    got = rows.mapInPandas(_sparse, "doc_id long, y int, k binary, v binary, s binary").limit(2 * most).collect()
-    got.sort(key=lambda r: (r.doc_id, bytes(r.k), bytes(r.v)))
+    rows = rows.select("text", "n_chars", "y", F.xxhash64("doc_id", "text", "n_chars").alias("o"))
+    got = rows.mapInPandas(_sparse, "o long, y int, k binary, v binary, s binary").orderBy("o", "y").limit(2 * most).collect()
     bag = np.zeros((len(got), BUCKETS), np.float32)
     for i, r in enumerate(got):
         bag[i, np.frombuffer(r.k, "<u2")] = np.frombuffer(r.v, "<f4")
@@ -138,7 +142,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Machine:
 def with_score(docs: DataFrame, machine: Machine, name: str = "quality_score") -> DataFrame:
     """docs and a column `name`, 0 to 1; null text is scored as the empty one, null n_chars as the text's length.
 
-    Rows are scored one by one: repeated rows get the same score, an empty table stays empty.
+    Rows are scored one by one, whole texts of any length: repeated rows get the same score, an empty
+    table stays empty. All other columns pass through; one that is named `name` is replaced.
     """
     def scored(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for text, n_chars in parts:
