@@ -1,7 +1,10 @@
 """Pipeline over a corpus: quality, line dedup, near copies, benchmark passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as
-the next stage's docs. All but the last return the columns of `documents`.
+the next stage's docs. All but the last return the columns of `documents`, further ones too, whatever
+their names. Null and empty texts are scored like any, hold no lines, copies or passages, and pack as
+their end token alone; texts of any length are taken whole; rows without an id and rows alike pass
+each stage as its operator says; empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -35,24 +38,26 @@ def _stage(f: Callable) -> Callable:
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality machine, trained on `labels`, doesn't reject."""
     machine = quality.train(docs, common.table(spark, sf_dir, "labels"))
-    return quality.with_score(docs, machine, "_score").where("_score >= 0.5").drop("_score")
+    score = common.free(docs, "score")
+    return quality.with_score(docs, machine, score).where(F.col(score) >= 0.5).drop(score)
 
 
 @_stage
 def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of repeated line runs; those of which nothing is left go."""
-    out = line_dedup.dedup_lines(docs, removed="_removed")
-    out = out.where((F.col("_removed") == 0) | F.col("text").rlike(r"\S"))
-    chars = {"n_chars": F.when(F.col("_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
-    return out.withColumns(chars).drop("_removed").select(docs.columns)
+    removed = common.free(docs, "removed")
+    out = line_dedup.dedup_lines(docs, removed=removed)
+    out = out.where((F.col(removed) == 0) | F.col("text").rlike(r"\S"))
+    chars = {"n_chars": F.when(F.col(removed) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return out.withColumns(chars).drop(removed)
 
 
 @_stage
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each component of near copies; of rows alike in id, all stay."""
+    """The document of the smallest id of each component of near copies; of rows alike in id all stay, and those without an id."""
     found = ngram_join.near_duplicates(docs)
-    copies = found.where("component_id < doc_id").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(copies.hint("merge"), F.col("doc_id") == F.col("_copy"), "left_anti")  # the copies grow with the input
+    copies = found.where("component_id < doc_id").select("doc_id").distinct()
+    return docs.join(copies.hint("merge"), docs["doc_id"] == copies["doc_id"], "left_anti")  # the copies grow with the input
 
 
 @_stage
