@@ -55,7 +55,7 @@ def test_odd_rows(spark, tmp_path):
     odd = spark.createDataFrame([(None, None, None, None, None), (10**9, "", "en", "s", 0), (None, "a b c d e f", None, None, 11)], docs.schema)
     from pyspark.sql import functions as F
 
-    both = docs.union(docs.limit(3)).union(odd).withColumn("component_id", F.lit("own")).withColumn("key", F.lit(1))
+    both = docs.union(docs.limit(3)).union(odd).withColumns({c: F.lit("own") for c in ("component_id", "key", "score", "removed", "cut_doc", "cut_lines", "said", "deal_", "th", "open")})
     both.write.parquet(str(tmp_path / "documents.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert len(got) and got.groupby("sequence_id").length.sum().max() <= 2048
