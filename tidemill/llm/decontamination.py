@@ -68,10 +68,12 @@ class Index:
         self.starts, self.places, self.any = [], [], []
         for block in self._blocks(prints).T:
             near = (block.astype(np.int64)[:, None] ^ _MASKS).ravel()
-            order = np.argsort(near, kind="stable")
-            self.starts.append(np.searchsorted(near[order], np.arange((1 << WIDTH) + 1)))
-            self.places.append((order // len(_MASKS)).astype(np.int32))
-            self.any.append(np.diff(self.starts[-1]) > 0)
+            self.any.append(np.zeros(1 << WIDTH, bool))
+            self.any[-1][near] = True
+            if len(prints) > _FEW:
+                order = np.argsort(near, kind="stable")
+                self.starts.append(np.searchsorted(near[order], np.arange((1 << WIDTH) + 1)).astype(np.int32))
+                self.places.append((order // len(_MASKS)).astype(np.int32))
 
     @staticmethod
     def _blocks(prints: np.ndarray) -> np.ndarray:
@@ -91,7 +93,7 @@ class Index:
             got = []
             for block, start, places, some in zip(blocks, self.starts, self.places, self.any):
                 w = np.flatnonzero(some.take(block))
-                first, n = start[block[w]], start[block[w] + 1] - start[block[w]]
+                first, n = start[block[w]].astype(np.int64), (start[block[w] + 1] - start[block[w]]).astype(np.int64)
                 item = places[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())].astype(np.int64)
                 w = np.repeat(w, n)
                 close = np.bitwise_count(fp[w] ^ self.prints[item]) <= RADIUS
@@ -164,7 +166,7 @@ class _Windows:
 def search(texts: list[bytes], items: Items, least: float) -> list[list[tuple]]:
     """Per text: (item_id, first word, words, similarity, bits apart) of the best window of each item found, ties to the first."""
     out: list[list[tuple]] = []
-    for _, part in wordhash.batched(texts):
+    for _, part in wordhash.batched(texts, 1 << 19):
         best: list[dict] = [{} for _ in part]
         windows: dict[int, _Windows] = {}
         for size, own in items.by_size.items():
