@@ -25,7 +25,7 @@ from . import common, tokens
 
 CAPACITY = 2048
 #: Pieces of a group, about.
-GROUP = 8000
+GROUP = 4000
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -222,6 +222,12 @@ def _emptiest(rows: DataFrame) -> int:
     return most
 
 
+def _by_group(dealt: DataFrame, groups: int) -> DataFrame:
+    """Groups are few bytes but long work, so their partitions are asked for by number and not merged."""
+    parallel = dealt.sparkSession.sparkContext.defaultParallelism
+    return dealt.repartition(max(common.width(dealt.sparkSession), groups // 4, min(groups, 4 * parallel)), "grp")
+
+
 def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The rows of pieces() with sequence_id and offset; pieces of a sequence lie gapless from 0.
 
@@ -239,7 +245,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         return out
     least, groups = -(-total // capacity), -(-n // GROUP)
     dealt = part.withColumn("grp", F.pmod("deal_", F.lit(groups)))
-    rows = common.staged(dealt.groupBy("grp").applyInPandas(lambda g: _first(capacity, g), _PLACED), "packed")
+    rows = common.staged(_by_group(dealt, groups).groupBy("grp").applyInPandas(lambda g: _first(capacity, g), _PLACED), "packed")
     sequences, level = _sequences(rows)[1], 0
     fewer = 1
     while fewer and sequences > least:
@@ -250,7 +256,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         # the emptiest bins of all groups meet in one, the others are dealt anew
         spread = 1 + F.pmod(F.xxhash64("sequence_id", F.lit(level)), F.lit(groups))
         dealt = rows.withColumn("grp", F.when((F.col("fill") <= _emptiest(rows)) | (F.lit(groups) == 1), 0).otherwise(spread)).drop("fill")
-        rows = common.staged(dealt.groupBy("grp").applyInPandas(lambda g: _search(capacity, g), _PLACED), f"searched{level}")
+        rows = common.staged(_by_group(dealt, groups).groupBy("grp").applyInPandas(lambda g: _search(capacity, g), _PLACED), f"searched{level}")
         fewer = before - _sequences(rows)[1]
         sequences -= fewer
     return out.unionByName(rows.drop("open"))

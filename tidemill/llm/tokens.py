@@ -82,7 +82,7 @@ class Encoder:
     The table has `slots` places, is emptied when half of them are taken, and so has a fixed size.
     """
 
-    def __init__(self, path: str, slots: int = 1 << 22):
+    def __init__(self, path: str, slots: int = 1 << 21):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
