@@ -37,7 +37,7 @@ PERCENT = 75
 #: Shingles of a fragment, about, and of what a task holds before it sends them.
 FRAGMENT, FLUSH = 1_500_000, 1_000_000
 #: Shingles of what a task counts at once in the first pass, and how often one must be there to be sent.
-COUNTED, OFTEN = 4_000_000, 16
+COUNTED, OFTEN = 1_000_000, 8
 #: Texts with a shingle from which on it goes past the fragments; with so many parts of all shingles, or more, at the least.
 HOT, SHARE = FRAGMENT // 8, 1_000_000
 #: Parts of the order in which overlaps are counted, as a power of 2.
@@ -62,24 +62,37 @@ def _wide(data: bytes | memoryview, width: int, top: int) -> np.ndarray:
     return out.view("<u8")[:, 0].astype(np.uint64) | np.uint64(top)
 
 
-def _blob(keys: np.ndarray, n: np.ndarray, count: np.ndarray, h: np.ndarray, width: int, df: np.ndarray | None = None) -> bytes:
-    """Texts' keys and sizes, how many shingles of each follow, and these; with `df` also in how many texts they occur."""
-    head = np.array([len(keys), width], "<u4").tobytes()
-    return b"".join((head, keys.astype("<u8").tobytes(), n.astype("<u4").tobytes(), count.astype("<u4").tobytes(), _narrow(h, width), b"" if df is None else np.minimum(df, _MOST).astype("<u2").tobytes()))
+def _blob(of: np.ndarray, keys: np.ndarray, h: np.ndarray, df: np.ndarray | None = None) -> bytes:
+    """Shingles h of texts `of`, in runs of 255 at most: per run the text's key and a byte for its length; with `df` also in how many texts they occur."""
+    first = np.flatnonzero(np.concatenate(([True], np.diff(of) != 0)))
+    nth = np.arange(len(of)) - np.repeat(first, np.diff(np.concatenate((first, [len(of)]))))
+    first = np.flatnonzero(nth % 255 == 0)
+    count = np.diff(np.concatenate((first, [len(of)])))
+    return b"".join((np.array([len(first)], "<u8").tobytes(), keys[of[first]].astype("<u8").tobytes(), count.astype(np.uint8).tobytes(), _narrow(h, _SHORT), b"" if df is None else np.minimum(df, _MOST).astype("<u2").tobytes()))
 
 
 def _unblob(blob: bytes, top: int, with_df: bool = False) -> tuple[np.ndarray, ...]:
-    k, width = (int(x) for x in np.frombuffer(blob, "<u4", 2))
-    keys = np.frombuffer(blob, "<u8", k, 8)
-    n, count = np.frombuffer(blob, "<u4", k, 8 + 8 * k), np.frombuffer(blob, "<u4", k, 8 + 12 * k)
-    at, total = 8 + 16 * k, int(count.sum())
-    h = _wide(memoryview(blob)[at : at + width * total], width, top)
-    return (keys, n, count, h, np.frombuffer(blob, "<u2", total, at + width * total)) if with_df else (keys, n, count, h)
+    """(keys, lengths, shingles) of the runs, and df on demand."""
+    k = int(np.frombuffer(blob, "<u8", 1)[0])
+    keys, count = np.frombuffer(blob, "<u8", k, 8), np.frombuffer(blob, np.uint8, k, 8 + 8 * k).astype(np.int64)
+    at, total = 8 + 9 * k, int(count.sum())
+    h = _wide(memoryview(blob)[at : at + _SHORT * total], _SHORT, top)
+    return (keys, count, h, np.frombuffer(blob, "<u2", total, at + _SHORT * total)) if with_df else (keys, count, h)
+
+
+def _past(keys: np.ndarray, n: np.ndarray, count: np.ndarray, h: np.ndarray) -> bytes:
+    """What goes past the fragments: keys of texts, sizes of their sets, how many hot shingles each has, and these."""
+    return b"".join((np.array([len(keys)], "<u8").tobytes(), keys.astype("<u8").tobytes(), n.astype("<u4").tobytes(), count.astype("<u4").tobytes(), h.astype("<u8").tobytes()))
+
+
+def _unpast(blob: bytes) -> tuple[np.ndarray, ...]:
+    k = int(np.frombuffer(blob, "<u8", 1)[0])
+    return np.frombuffer(blob, "<u8", k, 8), np.frombuffer(blob, "<u4", k, 8 + 8 * k).astype(np.int64), np.frombuffer(blob, "<u4", k, 8 + 12 * k).astype(np.int64), np.frombuffer(blob, "<u8", -1, 8 + 16 * k)
 
 
 def _top(frag: int, bits: int) -> int:
-    """The first eight bits of the hashes of a fragment; 0 for what went past them, which is sent whole."""
-    return (frag >> (bits - 8)) << 56 if frag >= 0 else 0
+    """The first eight bits of the hashes of a fragment."""
+    return (frag >> (bits - 8)) << 56
 
 
 def _cuts(x: np.ndarray) -> list[tuple[int, int]]:
@@ -88,12 +101,6 @@ def _cuts(x: np.ndarray) -> list[tuple[int, int]]:
     return list(zip([0, *edge.tolist()], [*edge.tolist(), len(x)])) if len(x) else []
 
 
-def _runs(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The values of runs of equal ones, and their lengths."""
-    first = np.flatnonzero(np.concatenate(([True], np.diff(of) != 0)))
-    return of[first], np.diff(np.concatenate((first, [len(of)])))
-
-
 def _often(most: int, often: int, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(h, n): shingles that recur in what a task counts at once, with their counts there; and under a null all shingles' number."""
     held, size = [], 0
@@ -106,7 +113,7 @@ def _often(most: int, often: int, parts: Iterator[pd.DataFrame]) -> Iterator[pd.
         return pd.DataFrame({"h": pd.arrays.IntegerArray(np.append(h, 0), mask), "n": np.append(n, size)})
 
     for pdf in parts:
-        for _, part in wordhash.batched((t.encode() if t else b"" for t in pdf["text"]), 1 << 20):
+        for _, part in wordhash.batched((t.encode() if t else b"" for t in pdf["text"]), 1 << 19):
             held += (own := wordhash.sets(part, SHINGLE))
             size += sum(map(len, own))
             if size >= most:
@@ -119,8 +126,9 @@ def _often(most: int, often: int, parts: Iterator[pd.DataFrame]) -> Iterator[pd.
 def _cut(bits: int, buckets: int, hot_bc, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Each text's shingles cut along the fragments.
 
-    Texts' ids, keys and sizes, and the hot shingles, dealt out by text, go past them: under numbers
-    below 0, one for each time that a task sends, so that they are never gathered.
+    Texts' ids, keys and sizes, and the hot shingles, go past them: under numbers below 0, one for each
+    time that a task sends, so that they are never gathered there. What is asked for by text (its size
+    and hot shingles) is dealt out by its key.
     """
     from pyspark import TaskContext
 
@@ -129,11 +137,6 @@ def _cut(bits: int, buckets: int, hot_bc, parts: Iterator[pd.DataFrame]) -> Iter
     docs: list[tuple[int, bool, int, int]] = []
     size, turn = 0, -1 - (TaskContext.get().partitionId() << 24)
 
-    def dealt(frag: int, part: np.ndarray, of: np.ndarray, h: np.ndarray, keys: np.ndarray, n: np.ndarray, width: int, past: bool) -> Iterator[tuple]:
-        for lo, hi in _cuts(part):
-            t, count = _runs(of[lo:hi])
-            yield (frag if past else int(part[lo]), int(part[lo]) if past else -1, _blob(keys[t], n[t], count, h[lo:hi], width, np.full(hi - lo, _MOST) if past else None))
-
     def send() -> pd.DataFrame:
         ids, gone, keys, ns = (np.array(x, kind) for x, kind in zip(zip(*docs), (np.int64, np.uint8, np.uint64, np.int64)))
         out = [(turn, -1, b"".join((np.array([len(ids)], "<u8").tobytes(), ids.astype("<i8").tobytes(), keys.astype("<u8").tobytes(), ns.astype("<i8").tobytes(), gone.tobytes())))]
@@ -142,21 +145,25 @@ def _cut(bits: int, buckets: int, hot_bc, parts: Iterator[pd.DataFrame]) -> Iter
             keys = np.array(list(own), np.uint64)
             n = np.fromiter(map(len, own.values()), np.int64, len(own))
             h, of = np.concatenate(list(own.values())), np.repeat(np.arange(len(own)), n)
-            if len(hot):
-                is_hot = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
-                bucket = (keys % np.uint64(buckets)).astype(np.int64)[of[is_hot]]
-                order = np.argsort(bucket, kind="stable")
-                out += dealt(turn, bucket[order], of[is_hot][order], h[is_hot][order], keys, n, 8, True)
-                h, of = h[~is_hot], of[~is_hot]
+            is_hot = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h if len(hot) else np.zeros(len(h), bool)
+            bucket = (keys % np.uint64(buckets)).astype(np.int64)
+            hot_h, hot_of = h[is_hot], of[is_hot]
+            many = np.bincount(hot_of, minlength=len(keys))
+            order = np.argsort(bucket, kind="stable")
+            for lo, hi in _cuts(bucket[order]):
+                t = order[lo:hi]
+                out.append((turn, int(bucket[t[0]]), _past(keys[t], n[t], many[t], np.concatenate([hot_h[a:b] for a, b in zip(*(np.searchsorted(hot_of, t + k) for k in (0, 1)))]) if len(hot_h) else hot_h)))
+            h, of = h[~is_hot], of[~is_hot]
             frag = (h >> np.uint64(64 - bits)).astype(np.uint32)
             order = np.argsort(frag.astype(np.uint16) if bits <= 16 else frag, kind="stable")
-            out += dealt(0, frag[order].astype(np.int64), of[order], h[order], keys, n, _SHORT, False)
+            frag, h, of = frag[order], h[order], of[order]
+            out += [(int(frag[lo]), -1, _blob(of[lo:hi], keys, h[lo:hi])) for lo, hi in _cuts(frag)]
         return pd.DataFrame(out, columns=["frag", "bucket", "blob"])
 
     for pdf in parts:
         texts = (t.encode() if t else b"" for t in pdf["text"])
         ids, gone = pdf["doc_id"].tolist(), pdf["gone"].tolist()
-        for first, part in wordhash.batched(texts, 1 << 20):
+        for first, part in wordhash.batched(texts, 1 << 19):
             for i, (text, s) in enumerate(zip(part, wordhash.sets(part, SHINGLE)), first):
                 key = int.from_bytes(blake2b(b" ".join(text.lower().split()), digest_size=8).digest(), "little")
                 docs.append((ids[i], gone[i], key, len(s)))
@@ -175,27 +182,24 @@ def _count(bits: int, buckets: int, group: pd.DataFrame) -> pd.DataFrame:
     frag = int(group["frag"].iloc[0])
     if frag < 0:
         return group
-    keys, n, count, h = (np.concatenate(x) for x in zip(*(_unblob(b, _top(frag, bits)) for b in group["blob"])))
-    _, first = np.unique(keys, return_index=True)  # a class sent by several tasks counts once
-    once = np.zeros(len(keys), bool)
-    once[first] = True
-    h = h[np.repeat(once, count)]
-    keys, n, count = keys[once], n[once], count[once]
+    got = [_unblob(b, _top(frag, bits)) for b in group["blob"]]
+    sent = np.repeat(np.arange(len(got)), [len(g[0]) for g in got])
+    keys, count, h = (np.concatenate(x) for x in zip(*got))
+    del got
+    keys, first, at = np.unique(keys, return_index=True, return_inverse=True)
+    once = sent == sent[first][at]  # a class sent several times counts once
+    h, of = h[np.repeat(once, count)], np.repeat(at[once], count[once])
     order = np.argsort(h, kind="stable")
     edge = np.flatnonzero(np.concatenate(([True], np.diff(h[order]) != 0)))
     many = np.diff(np.concatenate((edge, [len(h)])))
     df = np.empty(len(h), np.int64)
     df[order] = np.repeat(many, many)
-    of = np.repeat(np.arange(len(keys)), count)
     keep = df > 1
     h, df, of = h[keep], df[keep], of[keep]
     bucket = (keys % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket[of], kind="stable")
+    order = np.lexsort((of, bucket[of]))
     h, df, of = h[order], df[order], of[order]
-    where, out = bucket[of], []
-    for lo, hi in _cuts(where):
-        t, own = _runs(of[lo:hi])
-        out.append((frag, int(where[lo]), _blob(keys[t], n[t], own, h[lo:hi], _SHORT, df[lo:hi])))
+    out = [(frag, int(bucket[of[lo]]), _blob(of[lo:hi], keys, h[lo:hi], df[lo:hi])) for lo, hi in _cuts(bucket[of])]
     return pd.DataFrame(out, columns=["frag", "bucket", "blob"])
 
 
@@ -205,12 +209,16 @@ def least_shared(n: np.ndarray) -> np.ndarray:
 
 def _gather(bits: int, group: pd.DataFrame) -> pd.DataFrame:
     """A bucket of texts: drop those that can't have a partner; rows of the prefix (piece -1) and of the pieces."""
-    got = [_unblob(b, _top(int(f), bits), True) for f, b in zip(group["frag"], group["blob"])]
-    keys, at = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+    known = [_unpast(b) for f, b in zip(group["frag"], group["blob"]) if f < 0]
+    got = [_unblob(b, _top(int(f), bits), True) for f, b in zip(group["frag"], group["blob"]) if f >= 0]
+    keys, at = np.unique(np.concatenate([g[0] for g in known]), return_inverse=True)
     n = np.zeros(len(keys), np.int64)
-    n[at] = np.concatenate([g[1] for g in got])
-    of = np.repeat(at, np.concatenate([g[2] for g in got]).astype(np.int64))
-    h, df = (np.concatenate([g[k] for g in got]) for k in (3, 4))
+    n[at] = np.concatenate([g[1] for g in known])
+    of = np.concatenate((np.repeat(at, np.concatenate([g[2] for g in known])), *(np.repeat(np.searchsorted(keys, g[0]), g[1]) for g in got)))
+    h, df = np.concatenate([g[3] for g in known] + [g[2] for g in got]), np.concatenate([np.full(len(g[3]), _MOST, np.uint16) for g in known] + [g[3] for g in got])
+    del known, got
+    if not len(h):
+        return pd.DataFrame(columns=["key", "n", "piece", "skip", "part"])
     order = np.lexsort((h, df, of))
     h, of = h[order], of[order]
     keep = np.concatenate(([True], (np.diff(h) != 0) | (np.diff(of) != 0)))  # what went past the fragments may come from several tasks
