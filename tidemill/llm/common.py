@@ -79,8 +79,15 @@ def discard_all(paths: list[tuple[SparkSession, str]]) -> None:
         discard(*paths.pop())
 
 
+#: Rows of a batch that goes to a Python worker: whole texts are wide.
+BATCH = 2000
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers of a local session import this package from where the driver has it."""
+    """Make a session ready: Python workers get this package from where the driver has it, and batches of at most BATCH rows."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH:
+        spark.conf.set(rows, BATCH)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     paths = [x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x]

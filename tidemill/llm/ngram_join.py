@@ -27,7 +27,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, wordhash
@@ -43,8 +43,8 @@ HOT, SHARE = FRAGMENT // 8, 1_000_000
 #: Parts of the order in which overlaps are counted, as a power of 2.
 PIECES = 3
 EARLIER = 128
-#: Parts into which a component's texts of one shingle are dealt before they meet those of another.
-CHUNKS = 1024
+#: Texts of one component and shingle that meet those of another component at once.
+TOGETHER = 64
 #: Bytes of a hash that are sent; the fragment gives the rest.
 _SHORT = 7
 _MOST = 65535
@@ -296,9 +296,10 @@ def _with_earlier(apart: DataFrame) -> DataFrame:
 
 def _between(apart: DataFrame) -> DataFrame:
     """(a, b): pairs of texts of different components that share a token and that sizes and places leave able to link."""
-    member = F.struct("key", "n", "pos", "earlier")
-    groups = _with_earlier(apart).groupBy("t", "comp", F.pmod(F.xxhash64("key"), F.lit(CHUNKS)).alias("chunk")).agg(F.collect_list(member).alias("m"))
-    groups = common.staged(groups.drop("chunk"), "groups")
+    own = _with_earlier(apart)
+    nth = F.row_number().over(Window.partitionBy("t", "comp").orderBy("key")) - 1
+    groups = own.withColumn("part", F.floor(nth / TOGETHER)).groupBy("t", "comp", "part").agg(F.collect_list(F.struct("key", "n", "pos", "earlier")).alias("m"))
+    groups = common.staged(groups, "groups")
     x, y = (groups.select("t", F.col("comp").alias(f"c{k}"), F.col("m").alias(f"m{k}")) for k in "xy")
 
     def able(p: Column, q: Column) -> Column:
@@ -307,8 +308,10 @@ def _between(apart: DataFrame) -> DataFrame:
         return _alike(p["n"], q["n"]) & ((100 + PERCENT) * room >= PERCENT * (p["n"] + q["n"])) & ~F.arrays_overlap(p["earlier"], q["earlier"])
 
     pair = lambda p, q: F.struct(F.least(p["key"], q["key"]).alias("a"), F.greatest(p["key"], q["key"]).alias("b"))
+    some = F.exists("mx", lambda p: F.exists("my", lambda q: able(p, q)))
     pairs = F.flatten(F.transform("mx", lambda p: F.transform(F.filter("my", lambda q: able(p, q)), lambda q: pair(p, q))))
-    return x.join(y.hint("merge"), "t").where("cx < cy").select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
+    met = x.withColumnRenamed("t", "tx").join(y.hint("merge"), (F.col("tx") == F.col("t")) & (F.col("cx") < F.col("cy")) & some)
+    return met.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
 
 
 def near_duplicates(docs: DataFrame, often: int = OFTEN, hot: int = HOT) -> DataFrame:
