@@ -47,6 +47,15 @@ def perplexity(n: Column) -> Column:
     return F.floor(F.pow(F.log(n), 2)).cast("long")
 
 
+def significant(x: Column, digits: int = 4) -> Column:
+    """x with so many significant digits, as text without trailing zeros; with an exponent below 1e-4 and from 10 ** digits on."""
+    parts = F.split(F.format_string(f"%.{digits - 1}e", x), "e")
+    exponent = parts[1].cast("int")
+    plain = F.regexp_replace((parts[0].cast("decimal(38,18)") * F.pow(F.lit(10.0), exponent)).cast("double").cast("decimal(38,12)").cast("string"), r"\.?0+$", "")
+    far = F.concat(F.regexp_replace(parts[0], r"\.?0+$", ""), F.lit("e"), parts[1])
+    return F.when(exponent.between(-4, digits - 1), plain).otherwise(far)
+
+
 def regex_is(text: Column, pattern: str) -> Column:
     """Whole-text match, case-insensitive; an empty pattern never matches."""
     return text.rlike(f"(?i)^(?:{pattern})$") if pattern else F.lit(False)

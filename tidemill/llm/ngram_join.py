@@ -332,7 +332,7 @@ def near_duplicates(docs: DataFrame, often: int = OFTEN, hot: int = HOT) -> Data
     bits = max(8, int(np.ceil(np.log2(max(total / FRAGMENT, 1)))))
     buckets = max(8, (1 << bits) // 2)
     sent = rows.mapInPandas(partial(_cut, bits, buckets, spark.sparkContext.broadcast(found)), _SENT)
-    counted = common.staged(sent.groupBy("frag").applyInPandas(lambda g: _count(bits, buckets, g), _SENT), "fragments")
+    counted = common.staged(sent.repartition(max(common.width(spark), (1 << bits) // 2), "frag").groupBy("frag").applyInPandas(lambda g: _count(bits, buckets, g), _SENT), "fragments")
     classes = common.staged(counted.where("frag < 0 and bucket < 0").mapInPandas(_classes, "doc_id long, key long, n long"), "classes")
     sets = common.staged(counted.where("bucket >= 0").groupBy("bucket").applyInPandas(lambda g: _gather(bits, g), _SETS), "sets")
     common.drop(counts, counted)

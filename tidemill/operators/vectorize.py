@@ -7,10 +7,11 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions import sequence as S
+from tidemill.session import cut_lineage, free
 
 _CODE = np.full(256, 4, np.int64)
 _CODE[np.frombuffer(b"ACGTacgt", np.uint8)] = [0, 1, 2, 3, 0, 1, 2, 3]
@@ -29,8 +30,8 @@ def dimensions(k: int) -> tuple[np.ndarray, int]:
 def windows(df: DataFrame, width: int, step: int, seq: str = "seq") -> DataFrame:
     """df without its sequence, a row per window: win, win_from, win_to (half open). Trailing partial windows are dropped; a sequence shorter than the width gives one short window."""
     n = F.length(seq)
-    out = df.withColumn("_n", n).withColumn("win", F.explode(F.sequence(F.lit(0), S.window_count(n, width, step) - 1)))
-    return out.withColumns({"win_from": F.col("win") * step, "win_to": F.least(F.col("_n"), F.col("win") * step + width)}).drop("_n", seq)
+    out = df.withColumn("win", F.explode(F.sequence(F.lit(0), S.window_count(n, width, step) - 1)))
+    return out.withColumns({"win_from": F.col("win") * step, "win_to": F.least(n, F.col("win") * step + width)}).drop(seq)
 
 
 def compose(seq: str, k: int, width: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,14 +85,20 @@ def vectorize(df: DataFrame, k: int = 4, width: int | str = 1000, step: int | st
 
 
 def number_points(points: DataFrame, *order: str) -> DataFrame:
-    """points with pid, from 0 in the given order, by running counts per range of the first key: no task sees all rows."""
-    first, *rest = order
-    ranged = points.repartitionByRange(first).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    counts = {r._p: r.n for r in ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """points with pid, from 0 in the given order; rows alike in all of it are numbered in any order.
+
+    Rows are dealt into ranges of the order, sorted there and written once with their place in the
+    range; the ranges' sizes, a number each, make the places into numbers. No task sees all rows.
+    """
+    at, part = free(points, "at"), free(points, "part")
+    ranged = points.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
+    kept = cut_lineage(ranged)  # one copy: a second run of the exchange may cut the ranges elsewhere
+    place = F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = sorted(tuple(r) for r in kept.groupBy(F.shiftright(at, 33).cast("int").alias(part)).count().collect())
     base, total = [], 0
-    for p in range(max(counts, default=-1) + 1):
-        base.append(total)
-        total += counts.get(p, 0)
-    own = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
-    offset = F.element_at(F.array(*[F.lit(b).cast("long") for b in base] or [F.lit(0).cast("long")]), F.col("_p") + 1)
-    return ranged.withColumn("pid", own.cast("long") + offset).drop("_p")
+    for p, n in sizes:
+        base.append((p, total))
+        total += n
+    bases = points.sparkSession.createDataFrame(base, f"{part} int, pid long")
+    out = kept.withColumn(part, F.shiftright(at, 33).cast("int")).join(F.broadcast(bases), part)  # a row per range
+    return out.withColumn("pid", F.col("pid") + place).select(*points.columns, "pid")

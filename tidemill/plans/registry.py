@@ -6,7 +6,6 @@ embeddings for points, label for their cluster. Doubles are rounded to 6 places
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 import numpy as np
@@ -14,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemill import session
 from tidemill.config import Options, window_params
 from tidemill.functions import sequence as S
 from tidemill.operators import cluster, distance, embed, graph, modality, overlap, stats, taxonomy
@@ -23,21 +23,10 @@ from tidemill.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-
-def _ship(spark: SparkSession) -> None:
-    """Let Python workers of a local session import this package from where the driver has it."""
-    env = spark.sparkContext.environment
-    paths = [x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x]
-    if _ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
-
-
 def _query(name: str, sql: str | None = None):
     def add(f: Callable[[Callable[[str], DataFrame]], DataFrame]) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            _ship(spark)
+            session.ship(spark)
             return f(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
         QUERIES[name] = run
@@ -115,6 +104,11 @@ def _(t):
     return t("region").sparkSession.createDataFrame([(total, width, step)], "total_bp long, width long, step long")
 
 
+@_query("o21_fixed", "SELECT c_custkey, printf('%.4g', c_acctbal / 7) AS share FROM customer")
+def _(t):
+    return t("customer").select("c_custkey", S.significant(F.col("c_acctbal") / 7).alias("share"))
+
+
 @_query("o23_regex_state", "SELECT c_custkey, regexp_full_match(lower(c_mktsegment), 'auto.*|build.*') AS clean FROM customer")
 def _(t):
     return t("customer").select("c_custkey", S.regex_is(F.col("c_mktsegment"), "auto.*|build.*").alias("clean"))
@@ -240,7 +234,7 @@ def _(t):
     return cluster.davies_bouldin(points(t), compat=True).select(_r("db").alias("db"))
 
 
-_LAB = "WITH l AS (SELECT source AS contig, CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 ELSE 3 END AS label, n_chars AS size, doc_id FROM documents), m AS (SELECT contig, label, row_number() OVER (PARTITION BY contig ORDER BY count(*) DESC, label) AS k FROM l WHERE label <> 1 GROUP BY contig, label), v AS (SELECT contig, label FROM m WHERE k = 1)"
+_LAB = "WITH l AS (SELECT source AS contig, CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 ELSE 3 END AS label, n_chars AS size, doc_id FROM documents), m AS (SELECT contig, label, row_number() OVER (PARTITION BY contig ORDER BY count(*) DESC, label) AS k FROM l GROUP BY contig, label), v AS (SELECT contig, label FROM m WHERE k = 1)"
 
 
 def _labels(t) -> DataFrame:
@@ -250,18 +244,18 @@ def _labels(t) -> DataFrame:
 
 @_query("o43_majority", f"{_LAB} SELECT contig, label FROM v")
 def _(t):
-    return cluster.majority_label(_labels(t).where("label <> 1"))
+    return cluster.majority_label(_labels(t))
 
 
 @_query("o44_distinct", f"{_LAB} SELECT count(DISTINCT label) AS n FROM v")
 def _(t):
-    return cluster.majority_label(_labels(t).where("label <> 1")).agg(F.countDistinct("label").alias("n"))
+    return cluster.majority_label(_labels(t)).agg(F.countDistinct("label").alias("n"))
 
 
 @_query("o45_outliers", f"{_LAB}, z AS (SELECT contig, sum(size) AS size FROM l GROUP BY contig) SELECT v.label, CAST(sum(size) AS BIGINT) AS bp, sum(size) < 600000 AS outlier FROM v JOIN z USING (contig) GROUP BY v.label")
 def _(t):
     rows = _labels(t)
-    return cluster.outlier_clusters(cluster.majority_label(rows.where("label <> 1")), rows.groupBy("contig").agg(F.sum("size").alias("size")), 600_000)
+    return cluster.outlier_clusters(cluster.majority_label(rows), rows.groupBy("contig").agg(F.sum("size").alias("size")), 600_000)
 
 
 _FLAGS = "WITH f AS (SELECT user_id, value > 50 AS m, event_type IN ('purchase','click') AS s FROM events)"
@@ -448,6 +442,18 @@ def _(t):
     return distance.symmetrized(e).select("i", "j", _r("p").alias("p"))
 
 
+_TWO = "t AS (SELECT d.doc_id AS contig, d.source AS sample, d.lang AS label, d.n_chars AS len, CASE WHEN l.quality IS NULL THEN NULL WHEN d.n_chars % 3 = 0 THEN 'x' ELSE d.lang END AS taxonomy FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l USING (doc_id)), z AS (SELECT sample, label, sum(len) AS size FROM t GROUP BY ALL), f AS (SELECT sample, taxonomy, t.label, sum(len) / max(size) AS f FROM t JOIN z USING (sample, label) WHERE taxonomy IS NOT NULL GROUP BY ALL), g AS (SELECT *, 0.5 * f + 0.5 * f / sum(f) OVER (PARTITION BY sample, taxonomy) AS confidence FROM f), o AS (SELECT *, CASE WHEN taxonomy IS NULL THEN 'NA' WHEN taxonomy = 'es' THEN 'clean' ELSE 'contamination' END AS own FROM t), y AS (SELECT *, bool_or(own = 'clean') OVER (PARTITION BY sample, label) AS here, bool_or(own = 'clean') OVER (PARTITION BY sample) AS somewhere FROM o)"
+
+
+@_query("o66_samples", f"WITH {_TWO} SELECT contig, sample, round(coalesce(g.confidence, -1), 6) AS confidence, CASE WHEN own = 'NA' AND somewhere AND NOT here THEN 'contamination' ELSE own END AS state FROM y LEFT JOIN g USING (sample, taxonomy, label)")
+def _(t):
+    """Confidences and states of several samples at once, each by itself."""
+    known = t("labels").groupBy("doc_id").agg(F.max("quality").alias("q"))
+    tax = F.when(F.col("q").isNull(), None).when(F.col("n_chars") % 3 == 0, "x").otherwise(F.col("lang"))
+    rows = t("documents").join(known, "doc_id", "left").select(F.col("doc_id").alias("contig"), F.col("source").alias("sample"), F.col("lang").alias("label"), F.col("n_chars").alias("len"), tax.alias("taxonomy"))
+    return taxonomy.with_state(taxonomy.with_confidence(rows, "sample"), "es", "sample").select("contig", "sample", _r("confidence").alias("confidence"), "state")
+
+
 # --- graph, statistics, whole screens
 
 _COMP = _MUT.format(k=3).replace("WITH p", "WITH RECURSIVE p") + ", reach(a, b) AS (SELECT pid, pid FROM p UNION SELECT r.a, u.dst FROM reach r JOIN u ON u.src = r.b), m AS (SELECT a AS pid, min(b) AS root FROM reach GROUP BY a)"
@@ -462,17 +468,25 @@ def _(t):
     return _mutual_components(t).select("pid", F.col("label").cast("int").alias("label"))
 
 
-@_query("o87_cc_estimator", _COMP + ", l AS (SELECT m.pid, dense_rank() OVER (ORDER BY root) - 1 AS k, p.label AS contig FROM m JOIN p USING (pid)), v AS (SELECT contig, k, row_number() OVER (PARTITION BY contig ORDER BY count(*) DESC, k) AS o FROM l GROUP BY contig, k) SELECT contig, CAST(k AS INT) AS label FROM v WHERE o = 1")
+@_query("o87_cc_estimator", _COMP + ", l AS (SELECT m.pid, dense_rank() OVER (ORDER BY root) - 1 AS k, p.label AS contig FROM m JOIN p USING (pid)), v AS (SELECT contig, k, row_number() OVER (PARTITION BY contig ORDER BY count(*) DESC, k) AS o FROM l GROUP BY contig, k) SELECT contig, CAST(k AS INT) AS label, (SELECT count(DISTINCT k) FROM v WHERE o = 1) AS clusters FROM v WHERE o = 1")
 def _(t):
     own = _mutual_components(t).join(points(t).select("pid", F.col("label").alias("contig")), "pid")
-    return cluster.majority_label(own.select("contig", "label")).select("contig", F.col("label").cast("int").alias("label"))
+    best = cluster.majority_label(own.select("contig", "label"))
+    return best.join(F.broadcast(best.agg(F.countDistinct("label").alias("clusters")))).select("contig", F.col("label").cast("int").alias("label"), "clusters")  # one number
+
+
+_COV = f"{_P}, {_DIM}, c AS (SELECT a.dim AS i, b.dim AS j, 64 * covar_pop(a.x, b.x) AS c FROM x a JOIN x b ON a.pid = b.pid GROUP BY a.dim, b.dim), s AS (SELECT a.i, b.j, sum(a.c * b.c) AS c FROM c a JOIN c b ON a.j = b.i GROUP BY a.i, b.j)"
 
 
-@_query("o78_pca", f"{_P}, {_DIM} SELECT round(sum(v), 6) AS variance FROM (SELECT var_pop(x) AS v FROM x GROUP BY dim)")
+@_query("o78_pca", f"{_COV} SELECT (SELECT round(sum(c), 4) FROM c WHERE i = j) AS p1, (SELECT round(sum(c), 4) FROM s WHERE i = j) AS p2, (SELECT round(sum(c.c * s.c), 4) FROM c JOIN s USING (i, j)) AS p3, (SELECT round(sum(c * c), 4) FROM s) AS p4, CAST(0 AS DOUBLE) AS aslant")
 def _(t):
+    """Sums of the axes' variances to the powers 1 to 4, which are the traces of the covariances' powers, and the greatest covariance of two axes."""
     width = len(points(t).first().vec)
-    axes = stats.project(points(t), width).select(F.posexplode("pc").alias("dim", "x")).groupBy("dim").agg(F.var_pop("x").alias("v"))
-    return axes.agg(_r(F.sum("v")).alias("variance"))
+    axes = stats.project(points(t), width).select(F.col("pc").alias("vec"))
+    _, _, cov = stats.moments(axes)
+    v = 64 * np.diag(cov)
+    row = [*(float((v**k).sum()) for k in (1, 2, 3, 4)), float(np.abs(cov - np.diag(np.diag(cov))).max())]
+    return t("region").sparkSession.createDataFrame([row], "p1 double, p2 double, p3 double, p4 double, aslant double").select(*[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("p1", "p2", "p3", "p4", "aslant")])
 
 
 @_query("o78_pca_axes")
@@ -504,7 +518,7 @@ def _(t):
 
 @_query("screen_e2e")
 def _(t):
-    return plan.screen(_sample(t), _FULL)["samples"].drop("outliers")
+    return plan.screen(_sample(t), _FULL)["samples"].drop("outliers", "clusterings")
 
 
 @_query("screen_annotated")
@@ -542,30 +556,24 @@ def _embedded(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"label": group["label"], "pid": group["pid"], "x": y[:, 0], "y": y[:, 1]})
 
 
-def _canonical(group: pd.DataFrame) -> pd.DataFrame:
-    x = np.stack(group.sort_values("pid")["vec"].to_numpy())
-    r = stats.canonical_correlation(x[:, :4], x[:, 4:8])[2]
-    return pd.DataFrame({"label": group["label"].iloc[0], "k": range(len(r)), "r": r})
+_MERGED = """WITH RECURSIVE c AS (
+  SELECT label, 0 AS step, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INT) AS id, CAST(count(*) OVER (PARTITION BY label) AS INT) AS points, 1 AS n,
+    list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v, [vec_id] AS members, CAST(NULL AS INT) AS a, CAST(NULL AS INT) AS b, CAST(0 AS DOUBLE) AS h FROM embeddings
+  UNION ALL (
+  WITH p AS (SELECT x.label, x.id AS a, y.id AS b, sqrt(2.0 * x.n * y.n / (x.n + y.n) * list_sum(list_transform(list_zip(x.v, y.v), lambda z: (z[1]-z[2])*(z[1]-z[2])))) AS h, x.n AS na, y.n AS nb, x.v AS va, y.v AS vb, x.members || y.members AS members, x.step, x.points
+      FROM c x JOIN c y ON x.label = y.label AND x.id < y.id),
+    m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h, a, b) AS k FROM p) WHERE k = 1)
+  SELECT c.label, c.step + 1, c.id, c.points, c.n, c.v, c.members, NULL, NULL, 0.0 FROM c JOIN m ON c.label = m.label WHERE c.id NOT IN (m.a, m.b)
+  UNION ALL SELECT label, step + 1, points + step, points, na + nb, list_transform(list_zip(va, vb), lambda z: (na * z[1] + nb * z[2]) / (na + nb)), members, a, b, h FROM m))"""
 
 
-@_query("o88_ward", f"{_P}, {_DIM} SELECT label, round(2 * sum(v), 4) AS spread, CAST(max(n) - 1 AS BIGINT) AS merges FROM (SELECT label, dim, var_pop(x) * count(*) AS v, count(*) AS n FROM x GROUP BY label, dim) GROUP BY label")
+@_query("o88_ward", f"{_MERGED} SELECT label, step - 1 AS step, a, b, round(h, 6) AS height, n AS size FROM c WHERE a IS NOT NULL")
 def _(t):
-    # the squared heights of Ward's merges add up to twice the squared distances from the mean
     z = _per_label(t, _ward, "label int, step int, a int, b int, height double, size int")
-    return z.groupBy("label").agg(F.round(F.sum(F.col("height") * F.col("height")), 4).alias("spread"), F.count(F.lit(1)).alias("merges"))
+    return z.withColumn("height", _r("height"))
 
 
-@_query("o89_cut", "SELECT label, count(*) AS n, CAST(3 AS BIGINT) AS clusters FROM embeddings GROUP BY label")
-def _(t):
-    return _per_label(t, _cut, "label int, pid long, cluster int").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cluster").alias("clusters"))
-
-
-@_query("o88_ward_merges")
-def _(t):
-    return _per_label(t, _ward, "label int, step int, a int, b int, height double, size int")
-
-
-@_query("o89_cut_labels")
+@_query("o89_cut", f"{_MERGED} SELECT label, unnest(members) AS pid, CAST(dense_rank() OVER (PARTITION BY label ORDER BY list_min(members)) AS INT) AS cluster FROM c WHERE step = points - 3")
 def _(t):
     return _per_label(t, _cut, "label int, pid long, cluster int")
 
@@ -582,13 +590,16 @@ def _(t):
 
 @_query("o83_cca")
 def _(t):
-    return _per_label(t, _canonical, "label int, k int, r double")
+    """Correlations of the first half of the dimensions with the second, over all points."""
+    _, _, cov = stats.moments(points(t))
+    r = stats.canonical_of(cov, len(cov) // 2)
+    return t("region").sparkSession.createDataFrame([(k, float(x)) for k, x in enumerate(r)], "k int, r double")
 
 
 @_query("o67_point_labels", f"{_LAB} SELECT l.doc_id, v.label FROM l LEFT JOIN v USING (contig)")
 def _(t):
     rows = _labels(t)
-    return rows.select("doc_id", "contig").join(cluster.majority_label(rows.where("label <> 1")), "contig", "left").select("doc_id", "label")
+    return rows.select("doc_id", "contig").join(cluster.majority_label(rows), "contig", "left").select("doc_id", "label")
 
 
 @_query("o69_export_classes", f"WITH {_TAX}, c AS (SELECT t.contig, t.label, t.taxonomy, g.confidence FROM t LEFT JOIN g ON g.taxonomy = t.taxonomy AND g.label = t.label), k AS (SELECT label, taxonomy AS state, row_number() OVER (PARTITION BY label ORDER BY confidence DESC, contig) AS k FROM c WHERE taxonomy IS NOT NULL) SELECT t.contig AS doc_id, coalesce(k.state, 'NA') AS class FROM t LEFT JOIN k ON k.label = t.label AND k.k = 1")

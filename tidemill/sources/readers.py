@@ -1,4 +1,4 @@
-"""Readers: FASTA and FASTQ, file lists, delimited matrices, taxonomies, lineages and GFF hits."""
+"""Readers: FASTA, FASTQ, EMBL, GenBank and raw text, file lists, delimited matrices, taxonomies, lineages, GFF hits and reports."""
 
 from __future__ import annotations
 
@@ -28,6 +28,40 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     return lines.where(F.size("p") >= 2).select(F.element_at("p", 1).alias("id"), F.element_at("p", 2).alias("seq"))
 
 
+def _flat_file(spark: SparkSession, path: str, name: str, start: str) -> DataFrame:
+    """(id, seq) of records that end with a line of two slashes; the letters after the line that `start` matches are the sequence."""
+    rec = spark.read.option("lineSep", "\n//").text(path).where(F.col("value").rlike(name))
+    letters = F.regexp_replace(F.regexp_extract("value", rf"(?ms)^{start}[^\n]*\n(.*)\z", 1), r"[^A-Za-z*-]", "")
+    return rec.select(F.regexp_extract("value", name, 1).alias("id"), letters.alias("seq"))
+
+
+def read_embl(spark: SparkSession, path: str) -> DataFrame:
+    """(id, seq) of EMBL records; the id is the first field of the ID line."""
+    return _flat_file(spark, path, r"(?m)^ID\s+([^;\s]+)", "SQ")
+
+
+def read_genbank(spark: SparkSession, path: str) -> DataFrame:
+    """(id, seq) of GenBank records; the id is the name in the LOCUS line."""
+    return _flat_file(spark, path, r"(?m)^LOCUS\s+(\S+)", "ORIGIN")
+
+
+def read_raw(spark: SparkSession, path: str) -> DataFrame:
+    """(id, seq): each file is one sequence, its name the id; white space is no part of it. A file is read whole by one task."""
+    files = spark.read.text(path, wholetext=True)
+    return files.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("id"), F.regexp_replace("value", r"\s", "").alias("seq"))
+
+
+def absolute_path(spark: SparkSession, path: str) -> str:
+    """The full path with its file system, as Spark's readers take it."""
+    h = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return h.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(h).toString()
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that write_report() wrote, nested as they were."""
+    return spark.read.json(path)
+
+
 def read_list(spark: SparkSession, path: str) -> DataFrame:
     """(path): lines that aren't empty."""
     return spark.read.text(path).where("value <> ''").withColumnRenamed("value", "path")
@@ -46,10 +80,10 @@ def existing(spark: SparkSession, paths: list[str]) -> list[tuple[int, str]]:
 
 
 def read_matrix(spark: SparkSession, path: str, delimiter: str = " ") -> DataFrame:
-    """(vec): rows of numbers, read as floats; the first line holds the dimensions, the number of columns last."""
+    """(vec): rows of numbers, read as floats; the first line of each file holds the dimensions, the number of columns last, and is passed over by its place."""
     head = spark.read.text(path).first()
     width = int(head.value.split()[-1])
-    lines = spark.read.text(path).where((F.col("value") != head.value) | (F.col("_metadata.file_block_start") > 0))
+    lines = spark.read.schema("value string").option("header", True).option("sep", "\x01").option("quote", "").csv(path)
     parts = F.filter(F.split("value", f"[{delimiter}]"), lambda x: x != "")
     return lines.where(F.size(parts) >= width).select(F.slice(parts, 1, width).cast("array<float>").cast("array<double>").alias("vec"))
 

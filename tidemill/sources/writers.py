@@ -1,4 +1,4 @@
-"""Writers: FASTA, classes of FASTA, matrices and nested reports."""
+"""Writers: FASTA whole, chosen or by class, tables per sample, matrices and nested reports."""
 
 from __future__ import annotations
 
@@ -11,6 +11,16 @@ def write_fasta(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.select(F.concat(F.lit(">"), "id", F.lit("\n"), "seq").alias("value")).write.mode(mode).text(path)
 
 
+def write_chosen(df: DataFrame, names: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """FASTA of the rows of (id, seq) whose id is among `names` (id)."""
+    write_fasta(df.join(names.select("id").distinct(), "id", "left_semi"), path, mode)
+
+
+def write_per_sample(df: DataFrame, path: str, mode: str = "append") -> None:
+    """Lines of JSON in a folder per sample; rows are added to those that are there."""
+    df.write.mode(mode).partitionBy("sample").json(path)
+
+
 def write_classes(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """A folder per class of (id, seq, class); NA is written with contamination, unknown states too."""
     kind = F.when(F.coalesce(F.col("class"), F.lit("NA")) == "clean", "clean").otherwise("contamination")
