@@ -95,3 +95,30 @@ def test_merges_cuts_and_axes_by_brute_force(spark):
             parts[len(x) + m.step] = parts.pop(m.a) + parts.pop(m.b)
             assert m.size == len(parts[len(x) + m.step])
         assert len(parts) == 1
+
+
+def test_cells_repel_like_all_pairs():
+    rng = np.random.default_rng(10)
+    y = np.concatenate((rng.normal(0, 3, (900, 2)), rng.normal(60, 5, (700, 2)), np.zeros((150, 2))))
+    order, starts = embed.cells(y)
+    assert sorted(order) == list(range(len(y))) and starts[0] == 0 and np.diff(np.append(starts, len(y))).max() <= 2 * embed._CELL
+    want, total = embed._all_pairs(y)
+    for theta, least in ((1e-9, 1e-5), (0.5, 5e-3), (1.0, 5e-2)):
+        push, own = embed.repulsion(y, order, starts, theta)
+        assert np.linalg.norm(push - want) < least * np.linalg.norm(want) and own == pytest.approx(total, rel=least)
+    x = np.concatenate((rng.normal(0, 0.1, (200, 8)), rng.normal(3, 0.1, (200, 8))))
+    a, b = (embed.tsne(x, perplexity=20, iterations=300, seed=2, theta=t) for t in (0, 0.5))
+    assert embed.divergence(x, b, 20) < 1.05 * embed.divergence(x, a, 20) + 0.02
+
+
+def test_hulls_by_brute_force():
+    rng = np.random.default_rng(11)
+    for _ in range(30):
+        x = np.sort(rng.choice(1000, 40, replace=False)).astype(float)
+        y = np.cumsum(rng.integers(1, 5, 40)).astype(float)
+        for sign in (1, -1):
+            got = modality._hull(x, y, 0, 39, sign)
+            chord = np.interp(x, x[got], y[got])
+            assert got == sorted(got) and (sign * (y - chord) >= -1e-9).all()
+            slope = np.diff(y[got]) / np.diff(x[got])
+            assert (sign * np.diff(slope) > 0).all()
