@@ -2,30 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import re
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own: list[str] = []
-_live: list[tuple[SparkSession, str]] = []
-
+from tidemill import session
+from tidemill.session import free, shared_dir  # noqa: F401
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where that is unset and the master is local."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base:
-        return base.rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("a cluster needs spark.checkpoint.dir: a folder that the driver and all executors share")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="tidemill-"))
-        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-    return f"file://{_own[0]}"
+_live: list[tuple[SparkSession, str]] = []
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -50,14 +34,6 @@ def drop(*tables: DataFrame) -> None:
         discard(df.sparkSession, df.staged_at)
 
 
-def free(df: DataFrame, name: str) -> str:
-    """`name`, or with as many underscores after it as make it differ from all columns of df."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def discard(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -88,11 +64,7 @@ def ship(spark: SparkSession) -> None:
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(rows)) <= BATCH:
         spark.conf.set(rows, BATCH)
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    paths = [x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x]
-    if root not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    session.ship(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
