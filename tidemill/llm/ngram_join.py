@@ -35,9 +35,9 @@ from . import common, wordhash
 SHINGLE = 5
 PERCENT = 75
 #: Shingles of a fragment, about, and of what a task holds before it sends them.
-FRAGMENT, FLUSH = 1_500_000, 1_000_000
+FRAGMENT, FLUSH = 1_500_000, 400_000
 #: Shingles of what a task counts at once in the first pass, and how often one must be there to be sent.
-COUNTED, OFTEN = 1_000_000, 8
+COUNTED, OFTEN = 800_000, 8
 #: Texts with a shingle from which on it goes past the fragments; with so many parts of all shingles, or more, at the least.
 HOT, SHARE = FRAGMENT // 8, 1_000_000
 #: Parts of the order in which overlaps are counted, as a power of 2.
@@ -103,6 +103,7 @@ def _cuts(x: np.ndarray) -> list[tuple[int, int]]:
 
 def _often(most: int, often: int, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(h, n): shingles that recur in what a task counts at once, with their counts there; and under a null all shingles' number."""
+    common.trim()
     held, size = [], 0
 
     def counted() -> pd.DataFrame:
@@ -132,6 +133,7 @@ def _cut(bits: int, buckets: int, hot_bc, parts: Iterator[pd.DataFrame]) -> Iter
     """
     from pyspark import TaskContext
 
+    common.trim()
     hot = hot_bc.value
     held: dict[int, np.ndarray] = {}
     docs: list[tuple[int, bool, int, int]] = []
