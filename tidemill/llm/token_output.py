@@ -32,7 +32,7 @@ _HEAD = struct.Struct("<qBB")
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<i8"), ("n", "<i8")])
 _MANIFEST = "shard int, path string, record long, offset long, n_docs long, n_tokens long"
 _BUFFER = 8 << 20
-#: Bytes of text of a shard, about, and of frames of a segment.
+#: Bytes of text of a shard at most, about, and of frames of a segment.
 SHARD, SEGMENT = 128 << 20, 64 << 20
 
 
@@ -122,7 +122,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None) -> Da
     tokenizer = tokenizer or tokens.default_tokenizer()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(spark.sparkContext.defaultParallelism, -(-size // SHARD))
+    parts = max(common.width(spark), spark.sparkContext.defaultParallelism, -(-size // SHARD))
     dealt = rows.repartitionByRange(parts, "doc_id", "th").sortWithinPartitions("doc_id", "th").select("doc_id", "text")
     return common.staged(dealt.mapInArrow(partial(_write, path, tokenizer), _MANIFEST), "manifest")
 
