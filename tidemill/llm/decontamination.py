@@ -44,6 +44,15 @@ def simhash(total: np.ndarray) -> np.ndarray:
     return np.packbits((total > 0).ravel(), bitorder="little").view("<u8")
 
 
+def _between(total: np.ndarray, lo: int, hi: int, n: int) -> np.ndarray:
+    """simhash() of the windows of n rows from lo to hi, from running sums: of bytes the sign bits alone are taken, eight at once."""
+    if total.dtype != np.int8:
+        return simhash(total[lo + n : hi + n] - total[lo:hi])
+    less = (total[lo:hi] - total[lo + n : hi + n]).view(np.uint64)
+    less &= np.uint64(0x8080808080808080)
+    return np.packbits(less.view(np.uint8).ravel(), bitorder="little").view("<u8")
+
+
 def signs(h: np.ndarray) -> np.ndarray:
     """(n, 64): 1 where a bit of the hash is set, else -1."""
     return np.unpackbits(np.ascontiguousarray(h.astype("<u8"))[:, None].view(np.uint8), axis=1, bitorder="little").view(np.int8) * 2 - 1
@@ -65,11 +74,10 @@ class Index:
 
     def __init__(self, prints: np.ndarray):
         self.prints = prints
-        self.starts, self.places, self.any = [], [], []
-        for block in self._blocks(prints).T:
+        self.starts, self.places, self.some = [], [], np.zeros(1 << WIDTH, np.uint8)  # bit b: the bucket of block b isn't empty
+        for b, block in enumerate(self._blocks(prints).T):
             near = (block.astype(np.int64)[:, None] ^ _MASKS).ravel()
-            self.any.append(np.zeros(1 << WIDTH, bool))
-            self.any[-1][near] = True
+            self.some[near] |= 1 << b
             if len(prints) > _FEW:
                 order = np.argsort(near, kind="stable")
                 self.starts.append(np.searchsorted(near[order], np.arange((1 << WIDTH) + 1)).astype(np.int32))
@@ -83,16 +91,16 @@ class Index:
         """(place in fp, place of the item, bits apart) of all pairs within RADIUS, by item and place."""
         blocks = [b.astype(np.intp) for b in self._blocks(fp).T]
         if len(self.prints) <= _FEW:  # whatever some bucket names is held against all of them
-            hit = self.any[0].take(blocks[0])
-            for some, block in zip(self.any[1:], blocks[1:]):
-                hit |= some.take(block)
+            hit = self.some.take(blocks[0]) & 1
+            for b, block in enumerate(blocks[1:], 1):
+                hit |= self.some.take(block) & (1 << b)
             w = np.flatnonzero(hit)
             item, at = np.nonzero(np.bitwise_count(self.prints[:, None] ^ fp[w]) <= RADIUS)
             w = w[at]
         else:
             got = []
-            for block, start, places, some in zip(blocks, self.starts, self.places, self.any):
-                w = np.flatnonzero(some.take(block))
+            for b, (block, start, places) in enumerate(zip(blocks, self.starts, self.places)):
+                w = np.flatnonzero(self.some.take(block) & (1 << b))
                 first, n = start[block[w]].astype(np.int64), (start[block[w] + 1] - start[block[w]]).astype(np.int64)
                 item = places[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())].astype(np.int64)
                 w = np.repeat(w, n)
@@ -146,41 +154,48 @@ class _Windows:
             self.sums[kind] = running(self.signs, kind)
         return self.sums[kind]
 
-    def near(self, n: int, least: float, index: Index) -> Iterator[tuple[int, int, int, int]]:
-        """(first shingle, shingles, place of the item, bits apart) of the windows of n shingles that are near an item's fingerprint; a text of fewer is one window if it has enough."""
-        total = self._running(n)
-        last = len(self.s) - n + 1
-        for lo in range(0, max(last, 0), _AT_ONCE):
-            hi = min(lo + _AT_ONCE, last)
-            at, item, apart = index.near(simhash(total[lo + n : hi + n] - total[lo:hi]))
+    def near(self, n: int, index: Index, lo: int, hi: int) -> Iterator[tuple[int, int, int, int]]:
+        """(first shingle, shingles, place of the item, bits apart) of the windows of n shingles, first from lo to hi, that are near an item's fingerprint."""
+        hi = min(hi, len(self.s) - n + 1)
+        if lo < hi:
+            at, item, apart = index.near(_between(self._running(n), lo, hi, n))
             at += lo
             whole = self.text[at] == self.text[at + n - 1]
             yield from zip(at[whole].tolist(), [n] * len(at), item[whole].tolist(), apart[whole].tolist())
+
+    def near_short(self, n: int, index: Index, least: float) -> Iterator[tuple[int, int, int, int]]:
+        """The same of texts of fewer shingles, each one window if it has enough."""
         own = np.diff(self.cut)
         short = np.flatnonzero((own < n) & (own >= least * n) & (own > 0))
         if len(short):
+            total = self._running(n)
             at, item, apart = index.near(simhash(total[self.cut[short + 1]] - total[self.cut[short]]))
             yield from zip(self.cut[short[at]].tolist(), own[short[at]].tolist(), item.tolist(), apart.tolist())
 
 
+def _candidates(items: Items, windows: dict[int, _Windows], least: float) -> Iterator[tuple]:
+    """(size, k, windows, first shingle, shingles, place of the item, bits apart); all sizes of a stretch of text in turn, while its sums are in the cache."""
+    sizes = [(size, min(size, SHINGLE)) for size in items.by_size]
+    for lo in range(0, max((len(w.s) for w in windows.values()), default=0), _AT_ONCE):
+        for size, k in sizes:
+            yield from ((size, k, windows[k], *x) for x in windows[k].near(size - k + 1, items.index[size], lo, lo + _AT_ONCE))
+    for size, k in sizes:
+        yield from ((size, k, windows[k], *x) for x in windows[k].near_short(size - k + 1, items.index[size], least))
+
+
 def search(texts: list[bytes], items: Items, least: float) -> list[list[tuple]]:
     """Per text: (item_id, first word, words, similarity, bits apart) of the best window of each item found, ties to the first."""
     out: list[list[tuple]] = []
     for _, part in wordhash.batched(texts, 1 << 19):
         best: list[dict] = [{} for _ in part]
-        windows: dict[int, _Windows] = {}
-        for size, own in items.by_size.items():
-            k = min(size, SHINGLE)
-            if k not in windows:
-                windows[k] = _Windows(part, k)
-            w = windows[k]
-            for at, n, i, apart in w.near(size - k + 1, least, items.index[size]):
-                item, counts = own[i]
-                sim = similarity(Counter(w.s[at : at + n].tolist()), counts)
-                text = int(w.text[at])
-                place = at - int(w.cut[text])
-                if sim >= least and (item not in best[text] or (-sim, place) < best[text][item][0]):
-                    best[text][item] = ((-sim, place), (item, place, n + k - 1, sim, apart))
+        windows = {k: _Windows(part, k) for k in {min(size, SHINGLE) for size in items.by_size}}
+        for size, k, w, at, n, i, apart in _candidates(items, windows, least):
+            item, counts = items.by_size[size][i]
+            sim = similarity(Counter(w.s[at : at + n].tolist()), counts)
+            text = int(w.text[at])
+            place = at - int(w.cut[text])
+            if sim >= least and (item not in best[text] or (-sim, place) < best[text][item][0]):
+                best[text][item] = ((-sim, place), (item, place, n + k - 1, sim, apart))
         out += [[b[item][1] for item in sorted(b)] for b in best]
     return out
 
