@@ -31,7 +31,7 @@ STATS = 6 + len(_CLASSES)
 
 def features(texts: list[bytes], n_chars: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For the texts in turn, in parts: hashed words as (rows, BUCKETS) of unit length, and statistics (rows, STATS)."""
-    for first, part in wordhash.batched(texts, most=2 << 20, rows=1024):
+    for first, part in wordhash.batched(texts, most=1 << 19, rows=256):
         n = len(part)
         of, start, end, h = wordhash.words(part)
         words = np.bincount(of, minlength=n).astype(np.float64)
@@ -146,6 +146,7 @@ def with_score(docs: DataFrame, machine: Machine, name: str = "quality_score") -
     table stays empty. All other columns pass through; one that is named `name` is replaced.
     """
     def scored(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        common.trim()
         for text, n_chars in parts:
             got = [machine.score(*x) for x in features([t.encode() if t else b"" for t in text], n_chars.to_numpy(np.float64))]
             yield pd.Series(np.concatenate(got) if got else np.empty(0))
