@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, language, line_dedup, neighbours, ngram_join, packing, pii, quality, token_output
+from . import collocations, decontamination, filter_audit, html_text, language, line_dedup, neighbours, ngram_join, packing, pii, quality, quality_rules, token_output
 
 QUERIES = {
     "op1_token_output": token_output.op1_token_output,
@@ -15,7 +15,15 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_language": language.op10_language,
+    "op11_quality_rules": quality_rules.op11_quality_rules,
+    "op12_collocations": collocations.op12_collocations,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
+    "quality_rule_ablations": quality_rules.quality_rule_ablations,
 }
 ORACLES = {
     "op6_pii": pii.ORACLE_SQL,
+    "op11_quality_rules": quality_rules.ORACLE_SQL,
+    "op12_collocations": collocations.ORACLE_SQL,
+    "op13_filter_audit": filter_audit.ORACLE_SQL,
+    "quality_rule_ablations": quality_rules.ABLATION_SQL,
 }
