@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tidemill import __main__ as command
 from tidemill import session
 from tidemill.functions import sequence as S
-from tidemill.operators import modality, stats, taxonomy
-from tidemill.operators.vectorize import number_points, windows
+from tidemill.operators import modality, overlap, stats, taxonomy
+from tidemill.operators.vectorize import number_points, number_within, windows
 from tidemill.plans import screen
 from tidemill.sources import readers, writers
 
@@ -83,24 +83,29 @@ def test_samples_are_annotated_by_themselves(spark):
     assert {(r["sample"], r.label): r.state for r in states}["one", "1"] == "contamination"
 
 
-def old_order(reference, part, index):
-    """Names handed out one by one, as the plain reading of the rule has it."""
-    names, used, fresh = {}, set(), int(reference.max()) + 1
-    for k, own in enumerate(part.tolist()):
-        if own not in names:
-            names[own] = int(reference[index[k]])
-            if names[own] in used:
-                names[own], fresh = fresh, fresh + 1
-            used.add(names[own])
-    return [names[x] for x in part.tolist()]
+@pytest.mark.parametrize("reference, part, index, want", [
+    ([3, 3, 1, 0], [7, 7, 2, 5], [0, 1, 2, 3], [3, 3, 1, 0]),  # each takes the name at its first place
+    ([3, 3, 1, 0], [7, 2, 2, 5], [0, 1, 2, 3], [3, 4, 4, 0]),  # 2 comes too late for 3 and gets the first free name
+    ([1, 1, 1, 1], [9, 8, 7, 9], [0, 1, 2, 3], [1, 2, 3, 1]),  # fresh names in turn
+    ([5, 0, 2], [4, 4], [2, 0], [2, 2]),  # names come from the rows that the part holds
+    ([0, 1], [], [], []),
+])
+def test_labels_are_aligned_by_hand(reference, part, index, want):
+    assert stats.align_labels(np.array(reference), np.array(part, int), np.array(index, int)).tolist() == want
 
 
-def test_labels_are_aligned():
+def test_aligned_labels_are_new_names_of_the_same_classes():
     rng = np.random.default_rng(2)
     for _ in range(50):
         reference, part = rng.integers(0, 5, 40), rng.integers(0, 7, 25)
         index = np.sort(rng.choice(40, 25, replace=False))
-        assert stats.align_labels(reference, part, index).tolist() == old_order(reference, part, index)
+        got = stats.align_labels(reference, part, index)
+        assert ((got[:, None] == got) == (part[:, None] == part)).all()
+        fresh = np.unique(got[got > reference.max()])
+        assert fresh.tolist() == list(range(reference.max() + 1, reference.max() + 1 + len(fresh)))
+        for label in np.unique(got[got <= reference.max()]):
+            assert reference[index[np.flatnonzero(got == label)[0]]] == label
+        assert set(np.unique(got)) >= {reference[index[np.flatnonzero(part == part[0])[0]]]}
 
 
 def test_correlations_from_covariances():
@@ -112,7 +117,7 @@ def test_correlations_from_covariances():
 
 
 def test_four_digits(spark):
-    x = [0.0, 1.0, -0.5, 1 / 3, 123.456, 9999.6, 12345.678, 0.00012346, 0.000012346, -1.0, 2e10, 100.0]
+    x = [548.65, 524.65, 484.45, -108.55, 0.00015, 99995.0, 0.0, 1.0, -0.5, 1 / 3, 123.456, 9999.6, 12345.678, 0.00012346, 0.000012346, -1.0, 2e10, 100.0]
     got = spark.createDataFrame([(v,) for v in x], "x double").select(S.significant(F.col("x")).alias("s")).collect()
     assert [r.s for r in got] == [f"{v:.4g}" for v in x]
 
@@ -163,9 +168,9 @@ def test_a_run(spark, tmp_path, monkeypatch):
     rng = np.random.default_rng(8)
     for name, p in (("a", [0.1, 0.4, 0.4, 0.1]), ("b", [0.3, 0.2, 0.2, 0.3])):
         (tmp_path / f"{name}.fa").write_text("".join(f">{name}{i}\n{''.join(rng.choice(list('ACGT'), 2500, p=p))}\n" for i in range(8)) + ">short\nACGT\n")
-    (tmp_path / "list").write_text(f"{tmp_path}/b.fa\n{tmp_path}/none.fa\n")
     (tmp_path / "tax").write_text("a0\tGood\nb1\tBad\n")
-    words = f"-i {tmp_path}/a.fa -I {tmp_path}/list -x {tmp_path}/tax -o {tmp_path}/out -k 2 -n 80 -b 2 --tsne-iterations 20 --null-samples 20 -X good -R 4".split()
+    (tmp_path / "list").write_text(f"{tmp_path}/a.fa\n{tmp_path}/b.fa\n{tmp_path}/none.fa\n")
+    words = f"-i {tmp_path}/not-read.fa -I {tmp_path}/list -x {tmp_path}/tax -o {tmp_path}/out -k 2 -n 80 -b 2 --tsne-iterations 20 --null-samples 20 -X good -R 4".split()
     report = {r["sample"].split("/")[-1]: r for r in command.run(spark, command.parser().parse_args(words)).collect()}
     assert set(report) == {"a.fa", "b.fa"} and report["a.fa"].n == 8 and len(report["a.fa"].fasta) == 9 and report["a.fa"].parameters.kmer == "2"
     own = report["a.fa"]
@@ -187,3 +192,66 @@ def test_a_run(spark, tmp_path, monkeypatch):
     import pandas as pd
     row = screen._test(screen.Options(), pd.DataFrame({"sample": "s", "bs_id": 0, "pid": range(5), "contig_idx": 0, "size": 9, "vec": list(np.eye(5))})).iloc[0]
     assert row.error == "RuntimeError: odd data" and json.dumps(row["sample"]) == '"s"'
+
+
+def test_a_bad_file_stops_no_other(spark, tmp_path):
+    """Of four files one has other letters and one is a broken archive: two are screened, four reported."""
+    import gzip
+    rng = np.random.default_rng(8)
+    def fasta(letters="ACGT"):
+        return "".join(f">c{i}\n{''.join(rng.choice(list(letters), 1500))}\n" for i in range(6))
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.fa").write_text(fasta())
+    (tmp_path / "odd.fa").write_text(fasta() + ">bad\nACGT!!\n")
+    (tmp_path / "cut.fa.gz").write_bytes(gzip.compress(fasta("ACGTN").encode())[:700])
+    words = " ".join(f"-i {tmp_path}/{x}" for x in ("a.fa", "odd.fa", "cut.fa.gz", "b.fa"))
+    args = command.parser().parse_args(f"{words} -o {tmp_path}/out -k 2 -n 60 -b 1 --tsne-iterations 5 --null-samples 5 --strict-alphabet".split())
+    report = {r["sample"].split("/")[-1]: r for r in command.run(spark, args).collect()}
+    assert set(report) == {"a.fa", "b.fa", "odd.fa", "cut.fa.gz"}
+    assert report["odd.fa"].error == "letters outside the alphabet in bad" and report["cut.fa.gz"].error
+    assert report["a.fa"].n == report["b.fa"].n == 6 and not report["a.fa"].error
+
+
+def test_contigs_of_one_id_keep_their_classes(spark):
+    contigs = spark.createDataFrame([("s", 0, "x", "AAAA"), ("s", 1, "x", "CCCC"), ("s", 2, "y", "GG"), ("t", 0, "x", "TT")], "sample string, contig_idx long, id string, seq string")
+    found = spark.createDataFrame([("s", 0, "x", "1", "clean", 1.0), ("s", 1, "x", "2", "contamination", 1.0)], "sample string, contig_idx long, contig string, label string, state string, confidence double")
+    got = sorted((r["sample"], r.seq, r["class"]) for r in screen.decontaminated(contigs, found).collect())
+    assert got == [("s", "AAAA", "clean"), ("s", "CCCC", "contamination"), ("s", "GG", "NA"), ("t", "TT", "NA")]
+    got = sorted((r.seq, r["class"]) for r in screen.decontaminated(contigs.drop("contig_idx"), found).collect())
+    assert got == [("AAAA", "contamination"), ("CCCC", "contamination"), ("GG", "NA"), ("TT", "NA")]
+
+
+def test_ranks_of_one_key(spark):
+    """A key that holds nearly all rows, null keys and ties are ranked by many tasks as by a window."""
+    from pyspark.sql import Window
+
+    rows = spark.range(3000).select(F.when(F.col("id") % 50 == 0, None).when(F.col("id") % 7 == 0, "b").otherwise("a").alias("key"), (F.col("id") * 37 % 1009).alias("x"), "id")
+    got = number_within(rows.repartition(8), ["key"], ["x", "id"], "r", "n")
+    w = Window.partitionBy("key")
+    want = rows.select("*", (F.row_number().over(w.orderBy("x", "id")) - 1).alias("r"), F.count(F.lit(1)).over(w).alias("n"))
+    assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        dealt = rows.repartitionByRange("key", "x", "id").where("key = 'a'").select(F.spark_partition_id().alias("p"))
+        assert dealt.distinct().count() > 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert number_within(rows.limit(0), ["key"], ["x"]).count() == 0
+
+
+def test_binned_overlaps(spark):
+    """Random, reversed, long and empty intervals meet as in a join of all pairs; many of one contig in seconds."""
+    import time
+    rng = np.random.default_rng(4)
+    points = [(i, f"c{i % 3}", int(a), int(a) + int(w)) for i, (a, w) in enumerate(zip(rng.integers(0, 5000, 300), rng.choice([0, 50, 400, 4000], 300)))]
+    hits = [(i, f"c{i % 4}", int(a), int(a) + int(w)) for i, (a, w) in enumerate(zip(rng.integers(0, 5000, 300), rng.choice([-30, 0, 90, 2000], 300)))]
+    p = spark.createDataFrame(points, "pid long, contig string, win_from long, win_to long")
+    h = spark.createDataFrame(hits, "hit_id long, contig string, start long, end long")
+    want = sorted((i, j) for i, c, f, t in points for j, d, a, b in hits if c == d and (a <= f <= b or a <= t <= b or (a >= f and b <= t)))
+    assert sorted((r.pid, r.hit_id) for r in overlap.touching(p, h).collect()) == want
+    assert overlap.first_hits(p.limit(0), h).count() == 0 == overlap.first_hits(p, h.limit(0)).count()
+    many = spark.range(100_000)
+    p = many.select(F.col("id").alias("pid"), F.lit("c").alias("contig"), (F.col("id") * 250).alias("win_from"), (F.col("id") * 250 + 500).alias("win_to"))
+    h = many.select(F.col("id").alias("hit_id"), F.lit("c").alias("contig"), (F.col("id") * 7919 % 25_000_000).alias("start"), (F.col("id") * 7919 % 25_000_000 + 120).alias("end"))
+    began = time.time()
+    assert overlap.first_hits(p, h).count() > 50_000 and time.time() - began < 60

@@ -41,23 +41,47 @@ def level(verbose: int, quiet: bool) -> int:
     return logging.CRITICAL + 1 if quiet else max(logging.DEBUG, logging.WARNING - 10 * verbose)
 
 
+def _contigs(spark: SparkSession, paths: list[str], strict: bool) -> tuple[DataFrame, DataFrame]:
+    """(contigs in the order of the files, (sample, error) of files that can't be read or, if strict, hold other letters than those of the alphabet).
+
+    Only if reading all files at once fails is each tried by itself.
+    """
+    def copied(some: list[str]) -> DataFrame:
+        rows = readers.read_fasta(spark, some, strict)
+        return session.cut_lineage(rows.select(F.col("path").alias("sample"), F.monotonically_increasing_id().alias("contig_idx"), "id", "seq", *(["error"] if strict else [])))
+
+    errors = {}
+    try:
+        rows = copied(paths)
+    except Exception:
+        errors = readers.unreadable(spark, paths)
+        if not errors or len(errors) == len(paths):
+            raise
+        rows = copied([p for p in paths if p not in errors])
+    failed = spark.createDataFrame([(readers.absolute_path(spark, p), e) for p, e in errors.items()], "sample string, error string")
+    if strict:
+        odd = rows.where("error is not null").groupBy("sample").agg(F.min("error").alias("error"))  # a row per file
+        rows, failed = rows.drop("error").join(odd, "sample", "left_anti"), failed.union(odd)
+    return rows, failed
+
+
 def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     """Screen the inputs that are there; what stops one sample is in its row, the others go on. Returns the report."""
     options = Options(**{f.name: getattr(args, f.name) for f in fields(Options)})
-    paths = args.input_fasta + ([r.path for r in readers.read_list(spark, args.input_list).collect()] if args.input_list else [])
+    # a list stands instead of single files
+    paths = [r.path for r in readers.read_list(spark, args.input_list).collect()] if args.input_list else args.input_fasta
     known = readers.existing(spark, paths)
     for path in set(paths) - {p for _, p in known}:
         LOG.error("no such file: %s", path)
     if not known:
         raise SystemExit("no input")
     LOG.info("options %s", options.as_strings())
-    rows = readers.read_fasta(spark, [p for _, p in known], options.strict_alphabet)
-    contigs = session.cut_lineage(rows.select(F.col("path").alias("sample"), F.monotonically_increasing_id().alias("contig_idx"), "id", "seq"))  # in the order of the files
+    contigs, failed = _contigs(spark, [p for _, p in known], options.strict_alphabet)
     tax = readers.read_taxonomy(spark, args.taxonomy_file) if args.taxonomy_file else None
     hits = readers.read_rrna(spark, args.rrna_file) if args.rrna_file else None
     found = screen.screen(contigs, options, tax, hits)
     out = args.output_dir.rstrip("/")
-    writers.write_report(screen.report(found, options, contigs), f"{out}/report")
+    writers.write_report(screen.report(found, options, contigs).unionByName(failed, allowMissingColumns=True), f"{out}/report")
     writers.write_per_sample(screen.contig_stats(contigs, options.checked().min_length), f"{out}/contigs")
     writers.write_per_sample(screen.scattered(found), f"{out}/scatter")
     if tax is not None:

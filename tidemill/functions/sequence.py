@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,12 +49,11 @@ def perplexity(n: Column) -> Column:
 
 
 def significant(x: Column, digits: int = 4) -> Column:
-    """x with so many significant digits, as text without trailing zeros; with an exponent below 1e-4 and from 10 ** digits on."""
-    parts = F.split(F.format_string(f"%.{digits - 1}e", x), "e")
-    exponent = parts[1].cast("int")
-    plain = F.regexp_replace((parts[0].cast("decimal(38,18)") * F.pow(F.lit(10.0), exponent)).cast("double").cast("decimal(38,12)").cast("string"), r"\.?0+$", "")
-    far = F.concat(F.regexp_replace(parts[0], r"\.?0+$", ""), F.lit("e"), parts[1])
-    return F.when(exponent.between(-4, digits - 1), plain).otherwise(far)
+    """x with so many significant digits, as C prints %.4g: halves are those of the binary value, which Java's formatter doesn't see; null stays null."""
+    def text(v: pd.Series) -> pd.Series:
+        return v.map(lambda d: f"{d:.{digits}g}", na_action="ignore").astype(object)
+
+    return F.when(x.isNotNull(), F.pandas_udf(text, "string")(F.coalesce(x.cast("double"), F.lit(0.0))))
 
 
 def regex_is(text: Column, pattern: str) -> Column:

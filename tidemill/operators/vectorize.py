@@ -7,7 +7,7 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions import sequence as S
@@ -84,6 +84,25 @@ def vectorize(df: DataFrame, k: int = 4, width: int | str = 1000, step: int | st
     return rows.mapInPandas(partial(_rows, keys, k, width, step, normalize), schema)
 
 
+def number_within(points: DataFrame, keys: list[str], order: list[str], name: str = "pid", total: str | None = None) -> DataFrame:
+    """points with `name`, from 0 in the given order within rows alike in `keys`, and the number of these as `total`.
+
+    Rows are dealt into ranges of keys and order and written once in that order, so a key of any size is
+    ranked by many tasks: a row's rank is its place among its key's rows in its range, and what the ranges
+    before hold of the key, which is a row per key and range.
+    """
+    at, part, first, base = (free(points, x) for x in ("at", "part", "first", "base"))
+    kept = cut_lineage(points.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn(at, F.monotonically_increasing_id()))
+    kept = kept.withColumn(part, F.shiftright(at, 33).cast("int"))
+    own = Window.partitionBy(*keys)
+    held = kept.groupBy(part, *keys).agg(F.min(at).alias(first), F.count(F.lit(1)).alias("n_"))
+    before = F.coalesce(F.sum("n_").over(own.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col(first)
+    extra = [F.sum("n_").over(own).alias(total)] if total else []
+    bases = held.select(part, *[F.col(k).alias(f"{k}_key") for k in keys], before.alias(base), *extra)
+    same = [kept[part] == bases[part], *[kept[k].eqNullSafe(bases[f"{k}_key"]) for k in keys]]
+    return kept.join(bases, same).select(*[kept[c] for c in points.columns], (F.col(base) + F.col(at)).alias(name), *([total] if total else []))
+
+
 def number_points(points: DataFrame, *order: str) -> DataFrame:
     """points with pid, from 0 in the given order; rows alike in all of it are numbered in any order.
 

@@ -9,7 +9,7 @@ _IUPAC = "ABCDGHKMNRSTUVWYabcdghkmnrstuvwy"
 
 
 def read_fasta(spark: SparkSession, path: str | list[str], strict: bool = False) -> DataFrame:
-    """(path, contig_idx, id, seq): records in the order of the file, id the whole header. `strict` fails on letters outside the alphabet.
+    """(path, contig_idx, id, seq): records in the order of the file, id the whole header. With `strict` also error, which names a record with letters outside the alphabet and is null else.
 
     Records are split by Spark's own line reader, so a large file is read by many tasks and .gz is unpacked.
     """
@@ -17,9 +17,8 @@ def read_fasta(spark: SparkSession, path: str | list[str], strict: bool = False)
     text = F.regexp_replace(F.col("value"), r"^\s*>|\r", "")
     rec = raw.select("path", "_b", "_m", F.split(text, "\n", 2).alias("p")).where(F.length(F.trim(F.element_at("p", 1))) > 0)
     seq = F.regexp_replace(F.coalesce(F.get("p", F.lit(1)), F.lit("")), r"\s", "")
-    if strict:
-        seq = F.when(seq.rlike(f"^[{_IUPAC}]*$"), seq).otherwise(F.raise_error(F.concat(F.lit("letters outside the alphabet in "), F.element_at("p", 1))))
-    return rec.select("path", F.struct("_b", "_m").alias("contig_idx"), F.element_at("p", 1).alias("id"), seq.alias("seq"))
+    error = [F.when(~seq.rlike(f"^[{_IUPAC}]*$"), F.concat(F.lit("letters outside the alphabet in "), F.element_at("p", 1))).alias("error")] if strict else []
+    return rec.select("path", F.struct("_b", "_m").alias("contig_idx"), F.element_at("p", 1).alias("id"), seq.alias("seq"), *error)
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
@@ -79,6 +78,17 @@ def existing(spark: SparkSession, paths: list[str]) -> list[tuple[int, str]]:
     return list(enumerate(found, 1))
 
 
+def unreadable(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """Those of the files that can't be read to their end (a broken archive, say), with what went wrong; each is read by itself."""
+    found = {}
+    for p in paths:
+        try:
+            spark.read.text(p).agg(F.sum(F.length("value"))).collect()
+        except Exception as e:  # whatever a file system or codec raises
+            found[p] = f"{type(e).__name__}: {str(e).splitlines()[0][:300]}"
+    return found
+
+
 def read_matrix(spark: SparkSession, path: str, delimiter: str = " ") -> DataFrame:
     """(vec): rows of numbers, read as floats; the first line of each file holds the dimensions, the number of columns last, and is passed over by its place."""
     head = spark.read.text(path).first()
