@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemill import session
 from tidemill.config import Options, window_params
 from tidemill.functions import sequence as S
-from tidemill.operators import cluster, distance, embed, graph, modality, overlap, stats, taxonomy
+from tidemill.operators import cluster, distance, embed, graph, modality, overlap, spread_embed, stats, taxonomy, ward
 from tidemill.operators.vectorize import number_points, vectorize, windows
 from tidemill.plans import screen as plan
 from tidemill.sources import readers
@@ -534,22 +534,6 @@ def _per_label(t, f, schema: str) -> DataFrame:
     return points(t).groupBy("label").applyInPandas(f, schema)
 
 
-def _ward(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values("pid")
-    z = cluster.linkage(np.stack(group["vec"].to_numpy()))
-    return pd.DataFrame({"label": group["label"].iloc[0], "step": range(len(z)), "a": z[:, 0].astype(int), "b": z[:, 1].astype(int), "height": z[:, 2], "size": z[:, 3].astype(int)})
-
-
-def _cut(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values("pid")
-    return pd.DataFrame({"label": group["label"], "pid": group["pid"], "cluster": cluster.cut(cluster.linkage(np.stack(group["vec"].to_numpy())), 3)})
-
-
-def _modes(group: pd.DataFrame) -> pd.DataFrame:
-    x = np.stack(group.sort_values("pid")["vec"].to_numpy())
-    return pd.DataFrame({"label": [group["label"].iloc[0]], "is_multimodal": [modality.multimodal(x)]})
-
-
 def _embedded(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values("pid")
     y = embed.tsne(np.stack(group["vec"].to_numpy()), perplexity=min(10, (len(group) - 1) // 3), seed=1)
@@ -569,18 +553,19 @@ _MERGED = """WITH RECURSIVE c AS (
 
 @_query("o88_ward", f"{_MERGED} SELECT label, step - 1 AS step, a, b, round(h, 6) AS height, n AS size FROM c WHERE a IS NOT NULL")
 def _(t):
-    z = _per_label(t, _ward, "label int, step int, a int, b int, height double, size int")
-    return z.withColumn("height", _r("height"))
+    found = ward.merges(points(t), "label")
+    z = ward.steps(points(t), "label", found)
+    return z.select("label", *[F.col(c).cast("int").alias(c) for c in ("step", "a", "b")], _r("height").alias("height"), F.col("size").cast("int").alias("size"))
 
 
 @_query("o89_cut", f"{_MERGED} SELECT label, unnest(members) AS pid, CAST(dense_rank() OVER (PARTITION BY label ORDER BY list_min(members)) AS INT) AS cluster FROM c WHERE step = points - 3")
 def _(t):
-    return _per_label(t, _cut, "label int, pid long, cluster int")
+    return ward.cut(points(t), "label", ward.merges(points(t), "label"), 3).select("label", "pid", F.col("cluster").cast("int").alias("cluster"))
 
 
 @_query("o82_multimodal")
 def _(t):
-    return _per_label(t, _modes, "label int, is_multimodal boolean")
+    return modality.split_viewers(points(t), "label").select("label", "is_multimodal")
 
 
 @_query("o79_tsne")
@@ -588,6 +573,12 @@ def _(t):
     return _per_label(t, _embedded, "label int, pid long, x double, y double")
 
 
+@_query("o79_spread")
+def _(t):
+    """All points as one sample over many tasks, with fewer rounds than a screen takes."""
+    return spread_embed.tsne(points(t), perplexity=30, seed=1, iterations=20)
+
+
 @_query("o83_cca")
 def _(t):
     """Correlations of the first half of the dimensions with the second, over all points."""

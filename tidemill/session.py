@@ -31,7 +31,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable copy of df, written to the shared folder: a lost executor costs no more than what is read again."""
     path = f"{shared_dir(df.sparkSession)}/copy-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.copied_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a copy of cut_lineage() that nothing reads any more."""
+    jvm, sc = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext
+    p = jvm.org.apache.hadoop.fs.Path(df.copied_to)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def ship(spark: SparkSession) -> None:
