@@ -1,7 +1,7 @@
 """Pipeline over a corpus: quality, line dedup, near copies, benchmark passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as
-the next stage's docs. All but the last return the columns of `documents`, further ones too, whatever
+the next stage's docs, and may be chained without that. All but the last return the columns of `documents`, further ones too, whatever
 their names. Null and empty texts are scored like any, hold no lines, copies or passages, and pack as
 their end token alone; texts of any length are taken whole; rows without an id and rows alike pass
 each stage as its operator says; empty tables stay empty.
@@ -18,19 +18,13 @@ from pyspark.sql import functions as F
 from tidemill.llm import common, decontamination, line_dedup, ngram_join, packing, quality
 
 
-_kept: list[tuple] = []
-
-
 def _stage(f: Callable) -> Callable:
-    """Before a stage, delete what the one before kept in the shared folder: its result is written by then."""
+    """Before a stage, delete written tables that nothing reads any more; what a result reads stays as long as it does."""
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         common.ship(spark)
-        common.discard_all(_kept)
-        since = common.mark()
-        out = f(spark, docs, sf_dir)
-        _kept.extend(common.made(since))
-        return out
+        common.sweep(spark)
+        return f(spark, docs, sf_dir)
     return run_stage
 
 
@@ -79,16 +73,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`. Runs don't know of each other: results of earlier ones and of other threads stay readable."""
     docs = common.table(spark, sf_dir, "documents")
-    last = len(STAGES) - 1
-    folders: list[str] = []
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < last:
-            path = f"{common.shared_dir(spark)}/stage-{name}-{common.uuid.uuid4().hex}"
-            docs.write.parquet(path)
-            docs = spark.read.schema(docs.schema).parquet(path)
-            if folders:
-                common.discard(spark, folders.pop())
-            folders.append(path)
-    return docs
+    for name, stage in STAGES[:-1]:
+        out, path = stage(spark, docs, sf_dir), common.new_path(spark, f"stage-{name}")
+        out.write.parquet(path)
+        docs = common.read_back(spark, out.schema, path)
+        del out
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,7 +1,7 @@
 import corpus_pipeline
 from test_duplicates import brute_components, brute_cuts, words
 
-from tidemill.llm import tokens
+from tidemill.llm import common, tokens
 
 SF = "/root/testdata/sf0.001"
 
@@ -59,3 +59,52 @@ def test_odd_rows(spark, tmp_path):
     both.write.parquet(str(tmp_path / "documents.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert len(got) and got.groupby("sequence_id").length.sum().max() <= 2048
+
+
+def small(spark, tmp_path):
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
+    spark.read.parquet(f"{SF}/documents.parquet").limit(60).write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path)
+
+
+def test_results_outlive_later_runs(spark, tmp_path):
+    """A result is read again after another run, and after a stage that failed; what nobody reads goes."""
+    import os
+
+    sf = small(spark, tmp_path)
+    first = corpus_pipeline.run(spark, sf)
+    rows = sorted(first.collect())
+    second = corpus_pipeline.run(spark, sf)
+    assert len(second.collect()) == len(rows)
+    assert sorted(first.collect()) == rows
+    try:
+        corpus_pipeline.STAGES[1][1](spark, spark.range(3), sf)
+    except Exception:
+        pass
+    assert sorted(first.where("length > 0").collect()) == rows
+    derived = first.selectExpr("doc_id")  # reads what first does
+    del first
+    common.sweep(spark)
+    assert derived.count() == len(rows)
+    folder = common.shared_dir(spark).removeprefix("file://")
+    before = len(os.listdir(folder))
+    del derived, second
+    for _ in range(3):
+        common.sweep(spark)
+    assert len(os.listdir(folder)) < before
+
+
+def test_chained_stages_and_threads(spark, tmp_path):
+    """Stages that read each other's lazy results, and two runs at once, give the rows of one run."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    sf = small(spark, tmp_path)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+    key = lambda df: sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in df.collect())
+    rows = key(docs)
+    with ThreadPoolExecutor(2) as pool:
+        runs = list(pool.map(lambda _: corpus_pipeline.run(spark, sf), range(2)))
+        assert all(got == rows for got in pool.map(key, runs))

@@ -23,9 +23,11 @@ from hashlib import blake2b
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.operators.vectorize import number_within
+
 from . import common, wordhash
 from .wordhash import mix
 
@@ -80,10 +82,20 @@ def _numbered(keys: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.nda
     return number, np.concatenate((first, np.array(extra, first.dtype)))
 
 
+#: Bytes whose places are in memory at once.
+_STEP = 1 << 20
+
+
 def _gathered(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The bytes of these runs, one after another."""
-    size = end - start
-    return data[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+    upto = np.cumsum(end - start)
+    out = np.empty(int(upto[-1]) if len(upto) else 0, np.uint8)
+    cuts = np.unique(np.append(np.searchsorted(upto, np.arange(_STEP, len(out), _STEP)), [0, len(upto)]))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        size, first = end[a:b] - start[a:b], int(upto[a] - (end[a] - start[a]))
+        place = np.cumsum(size) - size
+        out[first : upto[b - 1]] = data[np.repeat(start[a:b] - place, size) + np.arange(int(size.sum()))]
+    return out
 
 
 class Shard:
@@ -367,10 +379,6 @@ def frequencies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return short.where("size > 0").select(*keep).union(long.where("size > 0").select(*keep)), short.where("size = -1").groupBy("lang").agg(F.sum("f").alias("n"))
 
 
-def _exact(c: Column | str) -> Column:
-    return F.col(c).cast("decimal(19,0)") if isinstance(c, str) else c
-
-
 def scored(found: DataFrame) -> DataFrame:
     """(lang, phrase, size, a, l, r, score) of all candidates: the cut of the lowest score, of those the first."""
     words = F.split("phrase", " ")
@@ -405,11 +413,9 @@ def collocations(docs: DataFrame, first: int = FIRST) -> DataFrame:
     """
     found, totals = frequencies(docs)
     left = undropped(common.staged(scored(found), "candidates"))
-    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    # ranked within parts of a language first, so that no task gets one whole
-    some = left.withColumn("part_", F.pmod(F.xxhash64("phrase"), F.lit(common.width(docs.sparkSession))))
-    some = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part_").orderBy(*order))).where(F.col("rank") <= first)
-    top = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= first)
+    # ranked over ranges of the order, so that no task gets a language whole
+    left = left.withColumns({"score_": -F.col("score"), "a_": -F.col("a")})
+    top = number_within(left, ["lang"], ["score_", "a_", "phrase"], "rank").where(F.col("rank") < first).withColumn("rank", F.col("rank") + 1)
     totals = totals.withColumnRenamed("lang", "lang_")
     return top.join(totals.hint("merge"), top["lang"] == totals["lang_"]).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 

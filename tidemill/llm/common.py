@@ -4,20 +4,40 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from tidemill import session
 from tidemill.session import free, shared_dir  # noqa: F401
 
-_live: list[tuple[SparkSession, str]] = []
+#: Folders of staged tables, each with a weak reference to what the plans that read it hold in common.
+_live: dict[str, tuple[str, object]] = {}
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _live.append((spark, path))
-    return path
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def read_back(spark: SparkSession, schema: StructType, path: str) -> DataFrame:
+    """The written table at `path`; sweep() may delete it when no plan of this session reads it any more."""
+    out = spark.read.schema(schema).parquet(path)
+    files = out._jdf.queryExecution().analyzed().relation().location()
+    _live[path] = (spark.sparkContext.applicationId, spark.sparkContext._jvm.java.lang.ref.WeakReference(files))
+    return out
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete the written tables that nothing reads any more: no DataFrame, of whatever thread, and no plan made from one."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    for path, (app, files) in list(_live.items()):
+        if app != spark.sparkContext.applicationId:
+            _live.pop(path, None)  # of a session that has ended
+        elif files.refersTo(None) and _live.pop(path, None):
+            discard(spark, path)
 
 
 #: Bytes that a writer of a staged table holds before it writes them.
@@ -35,7 +55,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = read_back(spark, df.schema, path)
     out.staged_at = path
     return out
 
@@ -43,6 +63,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def drop(*tables: DataFrame) -> None:
     """Delete tables of staged() that nothing reads any more."""
     for df in tables:
+        _live.pop(df.staged_at, None)
         discard(df.sparkSession, df.staged_at)
 
 
@@ -52,21 +73,6 @@ def discard(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def mark() -> int:
-    """How many staged paths there have been; made(mark) later names those since."""
-    return len(_live)
-
-
-def made(since: int) -> list[tuple[SparkSession, str]]:
-    return _live[since:]
-
-
-def discard_all(paths: list[tuple[SparkSession, str]]) -> None:
-    """Delete staged tables whose readers have ended, and empty the list."""
-    while paths:
-        discard(*paths.pop())
-
-
 #: Rows of a batch that goes to a Python worker: whole texts are wide.
 BATCH = 2000
 

@@ -253,7 +253,9 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, least: float = LEAS
     """The rows of docs that hold no item, with all their columns; null and empty texts stay, and so do all rows of an empty benchmark."""
     spark = docs.sparkSession
     for items in chunks(benchmark):
-        docs = docs.where(F.pandas_udf(_clean(spark.sparkContext.broadcast(items), least), "boolean")("text"))
+        # kept where it stands: moved below a join it would meet the text's expression, which it can't evaluate
+        clean = F.pandas_udf(_clean(spark.sparkContext.broadcast(items), least), "boolean").asNondeterministic()
+        docs = docs.where(clean("text"))
     return docs
 
 
