@@ -2,9 +2,10 @@
 
 A page is read into a tree of nodes in one pass. Parts that are never main text by their tag or role
 (menus, forms, scripts and the like) are taken off. For each node that is left: characters per tag,
-adjusted by the share of link characters and link tags, against the whole body's share. Names such as
-`sidebar`, `ad` or `comments` lower the density of a block; within an article only those that mean
-adverts and reader comments do so strongly. A node's sum is that of its children's densities. The
+adjusted by the share of link characters and link tags, against the whole body's share. Names lower the
+density of a block, within bounds: one that is made of words like `sidebar` or `menu` alone to a sixth or so,
+one that only holds such a word (`related-work`) to a half; only what says advert, consent or readers'
+comments (several of them, or their list) is lowered until nothing is left. A node's sum is that of its children's densities. The
 path from the body to the node of the greatest sum gives the threshold, its least density. Named
 blocks whose lowered density, links apart, stays far below the threshold are taken off, and densities and threshold
 taken anew; of the nodes that reach it, the subtree with the greatest sum is the main text, widened to
@@ -33,7 +34,8 @@ _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset
 _SIBLING = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _SCOPE = frozenset("table td th caption button object template html body".split())
 _NOISE = frozenset("ad ads advert advertisement adverts sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription share sharing social related recommended recommendations sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist reply replies respond disqus widget pagination pager login signup search skip toolbar masthead topbar copyright".split())
-_STRONG = frozenset("ad ads advert advertisement adverts sponsor sponsored promo cookie cookies consent gdpr newsletter comment comments commentlist disqus".split())
+_STRONG = frozenset("ad ads advert advertisement adverts sponsor sponsored promo cookie cookies consent gdpr newsletter comments commentlist disqus".split())
+_NEUTRAL = frozenset("box block container wrapper wrap list section area bar item items inner outer panel module unit slot top bottom left right thread form message text body".split())
 _HOLDERS = frozenset("div section ul ol dl table article".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar alert".split())
 _WHOLE = frozenset("html body main article".split())
@@ -41,20 +43,23 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _BLANK = re.compile(r"\s+")
-#: What a name makes of a block's density: one that may mean text within an article, and any other; and how far below the threshold a named block goes.
-_DOUBTFUL, _NOISY, _FAR = 0.5, 0.002, 0.1
+#: What a name makes of a block's density: one that holds a doubtful word, one of such words alone, adverts and comments; and how far below the threshold a named block goes.
+_DOUBTFUL, _NOISY, _LOST, _FAR = 0.5, 0.15, 0.002, 0.1
 
 
 class _Node:
-    __slots__ = ("tag", "names", "role", "hidden", "kids", "up", "chars", "tags", "link_chars", "link_tags", "density", "total", "gone", "anchor", "weight", "named")
+    __slots__ = ("tag", "names", "role", "hidden", "kids", "up", "chars", "tags", "link_chars", "link_tags", "density", "total", "gone", "anchor", "weight", "named", "labels", "within", "holds", "comments")
 
     def __init__(self, tag: str, attrs: str, up: _Node | None):
         self.tag, self.up, self.kids, self.gone, self.weight, self.named = tag, up, [], False, 1.0, False
-        self.names, self.role, self.hidden = frozenset(), "", False
+        self.names, self.labels, self.role, self.hidden, self.comments = frozenset(), (), "", False, 0
+        # the nearest article or main above, and what there is of these and of headings below
+        self.within = None if up is None else up if up.tag in ("article", "main") else up.within
+        self.holds = frozenset()
         if attrs and not attrs.isspace():
             found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
-            words = f"{found.get('class', '')} {found.get('id', '')}"
-            self.names = frozenset(x.lower() for x in _SPLIT.split(words) if x) if words != " " else frozenset()
+            self.labels = tuple(frozenset(x.lower() for x in _SPLIT.split(w) if x) for w in f"{found.get('class', '')} {found.get('id', '')}".split())
+            self.names = frozenset().union(*self.labels)
             self.role = found.get("role", "").lower()
             self.hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
 
@@ -66,13 +71,24 @@ def parse(html: str) -> _Node:
 
     def close(tags: set | frozenset, bounds: set | frozenset) -> None:
         nonlocal at
+        if not any(open_tags.get(t) for t in tags):
+            return
         node = at
         while node.up is not None and node.tag not in bounds:
             if node.tag in tags:
-                at = node.up
+                leave(node)
                 return
             node = node.up
 
+    def leave(node: _Node) -> None:
+        """Close a node and all that is open in it."""
+        nonlocal at
+        while at is not node:
+            open_tags[at.tag] -= 1
+            at = at.up
+        open_tags[node.tag] -= 1
+        at = node.up
+
     open_tags: dict[str, int] = {}
     while pos < n:
         m = _TOKEN.match(html, pos)
@@ -90,11 +106,9 @@ def parse(html: str) -> _Node:
             if m[1]:
                 if open_tags.get(tag, 0) > 0:
                     node = at
-                    while node.tag != tag and node.up is not None:
+                    while node.tag != tag:
                         node = node.up
-                    if node.tag == tag:
-                        at = node.up
-                    open_tags[tag] -= 1
+                    leave(node)
                 continue
             if tag in _CLOSES_P and open_tags.get("p"):
                 close({"p"}, _SCOPE)
@@ -125,35 +139,45 @@ def _nodes(root: _Node) -> list[_Node]:
     return out
 
 
-def _holds(node: _Node, tags: frozenset | set) -> bool:
-    return any(x.tag in tags for x in _nodes(node)[1:])
+def _lowered(node: _Node) -> float:
+    """What its names make of a block's density."""
+    weight = 1.0
+    for label in node.labels:
+        if label & _NOISE:
+            plain = all(w in _NOISE or w in _NEUTRAL or w[0].isdigit() for w in label)
+            several = node.up is not None and node.up.comments > 1 and "comment" in label
+            own = _DOUBTFUL if not plain else _LOST if label & _STRONG or several or node.tag == "article" and label & {"comment", "reply"} else _NOISY
+            weight = min(weight, own)
+    return weight
 
 
 def prune(root: _Node) -> None:
     """Take off what tags and roles show to be no main text, and set the weights of named blocks."""
-    for node in _nodes(root):
+    nodes = _nodes(root)
+    for node in reversed(nodes):
+        node.comments = sum(not isinstance(k, str) and any("comment" in w for w in k.labels) for k in node.kids)
+        if node.up is not None and not (node.tag in _NEVER or node.hidden):
+            own = node.holds | {node.tag} if node.tag in ("article", "main", "h1") else node.holds
+            if not own <= node.up.holds:
+                node.up.holds |= own
+    for node in nodes:
         if node.up is None or node.up.gone or node.gone:
             node.gone = node.gone or (node.up is not None and node.up.gone)
             continue
         node.weight = node.up.weight  # what lies in a named block is lowered with it
-        up = node.up
-        while up is not None and up.tag not in ("article", "main"):
-            up = up.up
+        up = node.within
         if node.tag in _NEVER or node.hidden:
             node.gone = True
         elif node.tag in _INLINE or node.tag in _WHOLE and node.tag != "article":
             continue
         elif node.tag == "header" or "header" in node.names and up is None:
-            node.gone = up is None and not _holds(node, {"article", "main"})
+            node.gone = up is None and not node.holds & {"article", "main"}
         elif node.role in _ROLES:
-            node.gone = not _holds(node, {"article", "main", "h1"})
-        elif up is not None or node.tag == "article":
-            node.named = node.tag in _HOLDERS and bool(node.names & _NOISE)
-            strong = _STRONG | {"reply"} if node.tag == "article" else _STRONG
-            node.weight *= (_NOISY if node.names & strong else _DOUBTFUL) if node.named else 1
-        elif node.names & _NOISE and not _holds(node, {"article", "main", "h1"}):
-            node.named = True
-            node.weight *= _NOISY
+            node.gone = not node.holds
+        elif node.tag in _HOLDERS if up is not None or node.tag == "article" else not node.holds:
+            own = _lowered(node)
+            node.named = own < _DOUBTFUL
+            node.weight = min(node.weight, own)
 
 
 def weigh(root: _Node) -> tuple[_Node, list[_Node]]:
