@@ -172,13 +172,16 @@ def test_a_run(spark, tmp_path, monkeypatch):
     (tmp_path / "list").write_text(f"{tmp_path}/a.fa\n{tmp_path}/b.fa\n{tmp_path}/none.fa\n")
     words = f"-i {tmp_path}/not-read.fa -I {tmp_path}/list -x {tmp_path}/tax -o {tmp_path}/out -k 2 -n 80 -b 2 --tsne-iterations 20 --null-samples 20 -X good -R 4".split()
     report = {r["sample"].split("/")[-1]: r for r in command.run(spark, command.parser().parse_args(words)).collect()}
-    assert set(report) == {"a.fa", "b.fa"} and report["a.fa"].n == 8 and len(report["a.fa"].fasta) == 9 and report["a.fa"].parameters.kmer == "2"
+    assert set(report) == {"a.fa", "b.fa"} and report["a.fa"].n == 8 and report["a.fa"].parameters.kmer == "2"
     own = report["a.fa"]
     assert {(c.method, c.k) for c in own.clusterings if c.method != "cc"} == {(m, k) for m in ("validity_sne", "validity_pca") for k in range(1, 6)}
-    assert sum(c.likely for c in own.clusterings) == 3 and all(len(c.labels) == len(own.points) for c in own.clusterings)
-    assert {t.taxonomy.identifier for t in own.taxonomies} <= {"good", None} and own.flow
+    assert sum(c.likely for c in own.clusterings) == 3 and "points" not in own
+    taxa = spark.read.json(f"{tmp_path}/out/taxonomies").where("sample like '%/a.fa'").collect()
+    assert {r.asDict().get("identifier") for r in taxa} <= {"good", None} and len(taxa) == 8 and own.flow
+    points = spark.read.json(f"{tmp_path}/out/points").where("sample like '%/a.fa'").count()
+    assert points and all(len(c.labels) == points for c in own.clusterings)
     assert spark.read.json(f"{tmp_path}/out/contigs").count() == 18
-    assert spark.read.json(f"{tmp_path}/out/scatter").count() == sum(len(r.points) for r in report.values())
+    assert spark.read.json(f"{tmp_path}/out/scatter").count() == spark.read.json(f"{tmp_path}/out/points").count()
     assert "clean" in {p.name.removeprefix("class=") for p in (tmp_path / "out/classes").iterdir()}
     contigs = readers.read_fasta(spark, f"{tmp_path}/a.fa").select(F.lit("s").alias("sample"), F.monotonically_increasing_id().alias("contig_idx"), "id", "seq")
     found = screen.screen(contigs, screen.Options(kmer=2, target_points=80, subsamples=2, tsne_iterations=5, null_samples=10))

@@ -81,8 +81,9 @@ def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     hits = readers.read_rrna(spark, args.rrna_file) if args.rrna_file else None
     found = screen.screen(contigs, options, tax, hits)
     out = args.output_dir.rstrip("/")
-    writers.write_report(screen.report(found, options, contigs).unionByName(failed, allowMissingColumns=True), f"{out}/report")
-    writers.write_per_sample(screen.contig_stats(contigs, options.checked().min_length), f"{out}/contigs")
+    writers.write_report(screen.report(found, options).unionByName(failed, allowMissingColumns=True), f"{out}/report")
+    for name, table in screen.details(found, contigs, options).items():
+        writers.write_per_sample(table, f"{out}/{name}")
     writers.write_per_sample(screen.scattered(found), f"{out}/scatter")
     if tax is not None:
         writers.write_classes(screen.decontaminated(contigs, found["contigs"]), f"{out}/classes")

@@ -26,10 +26,10 @@ def canonical(kmer: Column) -> Column:
     return F.least(kmer, reverse_complement(kmer))
 
 
-def all_kmers(spark: SparkSession, k: int) -> DataFrame:
-    """(kmer): all words of k letters over A < C < G < T, from the base-4 digits of a range."""
+def all_kmers(spark: SparkSession, k: int, code: str | None = None) -> DataFrame:
+    """(kmer): all words of k letters over A < C < G < T, from the base-4 digits of a range; with `code` that number too."""
     digits = [F.substring(F.lit("ACGT"), (F.shiftright("id", 2 * (k - 1 - i)).bitwiseAND(F.lit(3)) + 1).cast("int"), F.lit(1)) for i in range(k)]
-    return spark.range(4**k).select(F.concat(*digits).alias("kmer"))
+    return spark.range(4**k).select(F.concat(*digits).alias("kmer"), *([F.col("id").alias(code)] if code else []))
 
 
 def kmer_dimensions(spark: SparkSession, k: int) -> DataFrame:

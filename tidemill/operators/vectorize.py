@@ -61,6 +61,26 @@ def compose(seq: str, k: int, width: int, step: int) -> tuple[np.ndarray, np.nda
     return starts, ends, out
 
 
+def kmer_totals(df: DataFrame, k: int, seq: str = "seq") -> DataFrame:
+    """(kmer, n): how often all sequences hold each word of k letters ACGT, zeros included. Each task sends a count per word."""
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(4**k, np.int64)
+        for pdf in parts:
+            for text in pdf["seq"]:
+                code = _CODE[np.frombuffer(text.encode("ascii", "replace"), np.uint8)]
+                m = len(code) - k + 1
+                if m > 0:
+                    value, good = np.zeros(m, np.int64), np.ones(m, bool)
+                    for i in range(k):
+                        value, good = value * 4 + code[i : i + m], good & (code[i : i + m] < 4)
+                    total += np.bincount(value[good], minlength=4**k)
+        yield pd.DataFrame({"code": np.arange(4**k), "n": total})
+
+    counts = df.where(F.col(seq).isNotNull()).select(F.col(seq).alias("seq")).mapInPandas(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    words = S.all_kmers(df.sparkSession, k, "code")
+    return words.join(counts, "code", "left").select("kmer", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
 def _rows(keys: list[str], k: int, width: int | str, step: int | str, normalize: bool, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in parts:
         out = []

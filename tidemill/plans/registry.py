@@ -17,7 +17,7 @@ from tidemill import session
 from tidemill.config import Options, window_params
 from tidemill.functions import sequence as S
 from tidemill.operators import cluster, distance, embed, graph, modality, overlap, spread_embed, stats, taxonomy, ward
-from tidemill.operators.vectorize import number_points, vectorize, windows
+from tidemill.operators.vectorize import kmer_totals, number_points, vectorize, windows
 from tidemill.plans import screen as plan
 from tidemill.sources import readers
 
@@ -84,17 +84,23 @@ def _(t):
     return contigs(t).select("doc_id", F.md5(S.reverse_complement(F.col("seq"))).alias("digest"))
 
 
-_KMERS = "WITH b(x) AS (VALUES ('A'),('C'),('G'),('T'))"
+_KMERS = "b(x) AS (VALUES ('A'),('C'),('G'),('T'))"
+_COUNTED = "n AS (SELECT kmer, count(*) AS n FROM (SELECT substr(seq, CAST(i AS BIGINT), {k}) AS kmer FROM (SELECT seq, unnest(range(1, length(seq) - {k} + 2)) AS i FROM c)) WHERE kmer NOT LIKE '%N%' GROUP BY kmer)"
 
 
-@_query("o17_all_kmers", f"{_KMERS} SELECT a.x || c.x || d.x AS kmer FROM b a, b c, b d")
+@_query("o17_all_kmers", f"{_C}, {_KMERS}, {_COUNTED.format(k=3)} SELECT kmer, coalesce(n, 0) AS n FROM (SELECT a.x || e.x || d.x AS kmer FROM b a, b e, b d) LEFT JOIN n USING (kmer)")
 def _(t):
-    return S.all_kmers(t("region").sparkSession, 3)
+    """All words of three letters and how often the documents hold each."""
+    return kmer_totals(contigs(t), 3)
 
 
-@_query("o18_canonical_dict", f"{_KMERS}, k AS (SELECT a.x||c.x||d.x||e.x AS kmer FROM b a, b c, b d, b e), l AS (SELECT kmer, least(kmer, translate(reverse(kmer),'ACGT','TGCA')) AS canonical FROM k) SELECT kmer, canonical, CAST(dense_rank() OVER (ORDER BY canonical) - 1 AS INT) AS dim FROM l")
+@_query("o18_canonical_dict", f"{_C}, {_KMERS}, {_COUNTED.format(k=4)}, k AS (SELECT a.x||f.x||d.x||e.x AS kmer FROM b a, b f, b d, b e), l AS (SELECT kmer, least(kmer, translate(reverse(kmer),'ACGT','TGCA')) AS canonical FROM k) SELECT kmer, canonical, CAST(dense_rank() OVER (ORDER BY canonical) - 1 AS INT) AS dim, CAST(sum(coalesce(n, 0)) OVER (PARTITION BY canonical) AS BIGINT) AS n FROM l LEFT JOIN n USING (kmer)")
 def _(t):
-    return S.kmer_dimensions(t("region").sparkSession, 4).select("kmer", "canonical", F.col("dim").cast("int").alias("dim"))
+    """The canonical dictionary with the documents' counts of both strands."""
+    seen = kmer_totals(contigs(t), 4)
+    words = S.kmer_dimensions(seen.sparkSession, 4).join(seen, "kmer")
+    both = words.groupBy("canonical").agg(F.sum("n").alias("n"))
+    return words.drop("n").join(both, "canonical").select("kmer", "canonical", F.col("dim").cast("int").alias("dim"), "n")
 
 
 @_query("o19_window_params", "WITH s AS (SELECT sum(length(text)) AS bp FROM documents WHERE length(text) >= 100) SELECT CAST(bp AS BIGINT) AS total_bp, CAST(2 * ceil(bp / 1000.0) AS BIGINT) AS width, CAST(ceil(bp / 1000.0) AS BIGINT) AS step FROM s")
@@ -497,10 +503,7 @@ def _(t):
 
 @_query("o80_dip")
 def _(t):
-    # equal values are counted before they meet, so a group holds each value once
-    each = t("events").where("value is not null").groupBy("event_type", "value").agg(F.count(F.lit(1)).alias("n"))
-    groups = each.groupBy("event_type").agg(F.array_sort(F.collect_list(F.struct("value", "n"))).alias("v"))
-    return modality.with_dip(groups.select("event_type", F.col("v.value").alias("values"), F.col("v.n").alias("counts")), counts="counts").select("event_type", "dip", "p")
+    return modality.with_p(modality.spread_dip(t("events"), "event_type", "value")).select("event_type", "dip", "p")
 
 
 def _sample(t) -> DataFrame:
