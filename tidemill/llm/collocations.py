@@ -33,7 +33,7 @@ from .wordhash import mix
 
 LEAST, LONGEST, FIRST, ABSORBED = 10, 3, 2000, 50
 #: Bytes of text whose bitmaps are in memory at once; entries of prefixes that are extended at once.
-SHARD, BATCH = 6 << 20, 1 << 17
+SHARD, BATCH = 4 << 20, 1 << 17
 #: Bits of the filter, as a power of 2; phrases of a range, about; ranges that one exchange deals out, as a power of 2.
 FILTER, RANGE, FAN = 27, 1_500_000, 10
 
