@@ -173,3 +173,26 @@ def test_local_search_goes_on_after_stuck_bins():
     assert len(last) <= 0.97 * len(first)
     again = packing._Bins([b for b in last if sum(own[i] for i in b) < 2048], own, 2048)
     assert not any(again.step(k) for k in range(len(again.items)))
+
+
+def test_pairs_follow_the_swaps():
+    """The pairs that a bin holds, kept in place, are those of its items after any steps."""
+    own = np.random.default_rng(4).integers(100, 900, 300).tolist()
+    found = packing._Bins(packing.best_fit(own, 2048), own, 2048)
+    for low in np.argsort(found.fill, kind="stable").tolist():
+        while 0 < found.fill[low] < 2048 and (s := found.step(low)):
+            before = int((found.fill**2).sum())
+            found.swap(low, *s)
+            assert int((found.fill**2).sum()) > before
+        for k, items in enumerate(found.items):
+            held = found.two[:, found.at[k].start : found.at[k].stop]
+            assert sorted(map(sorted, held.T.tolist())) == sorted([a, b] for i, a in enumerate(sorted(items)) for b in sorted(items)[i + 1 :])
+            assert (found.two_bin[found.at[k].start : found.at[k].stop] == k).all() and found.fill[k] == sum(own[i] for i in items)
+    assert (found.two_bin[: found.used] < len(found.items)).sum() == sum(map(len, found.at))
+
+
+def test_groups_reach_the_bound(spark, monkeypatch):
+    """Full bins that go on let the last groups reach as few sequences as the total needs."""
+    monkeypatch.setattr(packing, "GROUP", 1000)
+    own = np.random.default_rng(5).permutation(np.concatenate((np.random.default_rng(6).integers(1, 600, 2200), np.random.default_rng(7).integers(600, 1500, 800)))).tolist()
+    assert len(laid_out(packed(spark, own))) == -(-sum(own) // 2048)

@@ -3,10 +3,11 @@
 A longer document is cut into full pieces, the rest coming first; full pieces are sequences of
 their own. The other pieces are dealt into groups of bounded size. A group's pieces go, in the order
 in which they come, each into the fullest bin with room; then a local search empties bins by moves
-and one-for-one, two-for-one and one-for-two swaps into bins at least as full, each raising the sum
-of squared fills, until no such step is left. Bins that aren't exactly full are dealt into new groups,
-the emptiest of all into one, and searched again, from a second start too where the first leaves more
-bins than the total needs, as long as that makes the sequences fewer than before.
+and swaps of one or two pieces for one or two into bins at least as full, each raising the sum of
+squared fills, until no such step is left; where that leaves more bins than the total needs, it starts
+again from longest first. Bins that aren't exactly full are dealt into new groups, the emptiest of all
+into one, and searched again as long as that makes the sequences fewer than before. Some full bins,
+of a group's pieces in all, go with them, as their pieces fill what the others can't.
 """
 
 from __future__ import annotations
@@ -93,36 +94,55 @@ class _Bins:
         self.bin = np.zeros(len(lengths), np.int64)
         for k, b in enumerate(bins):
             self.bin[b] = k
-        self.pairs = [self._pairs(b) for b in bins]
-        self._join()
-
-    def _pairs(self, items: list[int]) -> np.ndarray:
-        i, j = np.triu_indices(len(items), 1)
-        own = np.asarray(items, np.int64)
-        return np.stack((own[i], own[j])) if len(i) else np.zeros((2, 0), np.int64)
-
-    def _join(self) -> None:
-        """All pairs within bins: items, sum and bin."""
-        self.two = np.concatenate(self.pairs, 1)
-        self.two_n, self.two_bin = self.n[self.two].sum(0), self.bin[self.two[0]]
+        self.two = np.zeros((2, 0), np.int64)
+        self.two_n = self.two_bin = np.zeros(0, np.int64)
+        self.used = 0
+        self.at = [range(0)] * len(bins)
+        for k in range(len(bins)):
+            self._pair(k)
+
+    def _pair(self, k: int) -> None:
+        """Put the pairs within bin k (items, sum, bin) behind the others; the places that it had are of the bin past the last, which has no room."""
+        own = np.asarray(self.items[k], np.int64)
+        i, j = np.triu_indices(len(own), 1)
+        self.two_bin[self.at[k].start : self.at[k].stop] = len(self.items)
+        self.at[k] = range(0)
+        if self.used + len(i) > len(self.two_n):
+            self._close(len(i))
+        self.at[k] = range(self.used, self.used + len(i))
+        here = slice(self.used, self.used + len(i))
+        self.two[:, here] = own[i], own[j]
+        self.two_n[here], self.two_bin[here] = self.n[own[i]] + self.n[own[j]], k
+        self.used += len(i)
+
+    def _close(self, more: int) -> None:
+        """Close the gaps between pairs, and leave as much room again and for `more`, so that this is seldom."""
+        kept = np.flatnonzero(self.two_bin[: self.used] < len(self.items))
+        size = 2 * (len(kept) + more) + 64
+        two, self.two = self.two, np.zeros((2, size), np.int64)
+        n, self.two_n = self.two_n, np.zeros(size, np.int64)
+        of, self.two_bin = self.two_bin, np.full(size, len(self.items), np.int64)
+        self.used = len(kept)
+        self.two[:, : self.used], self.two_n[: self.used], self.two_bin[: self.used] = two[:, kept], n[kept], of[kept]
+        first = np.searchsorted(kept, [r.start for r in self.at]).tolist()
+        self.at = [range(a, a + len(r)) for a, r in zip(first, self.at)]
 
     def step(self, low: int) -> tuple[int, list[int], list[int]] | None:
         """(bin, items to it, items from it) of the step out of `low` that raises a bin at least as full the most, within its room."""
-        # a bin of no room, one emptier than low, and low itself take nothing
-        room = np.where(self.fill >= self.fill[low], self.capacity - self.fill, 0)
+        # a bin of no room, one emptier than low, low itself and the bin past the last take nothing
+        room = np.append(np.where(self.fill >= self.fill[low], self.capacity - self.fill, 0), 0)
         room[low] = 0
         top, best, gain = int(room.max(initial=0)), None, 0
         mine = {int(self.n[i]): [i] for i in self.items[low]}
-        for i, j in self.pairs[low].T.tolist():
-            mine.setdefault(int(self.n[i] + self.n[j]), [i, j])
-        item_room, item_n, two_room = room[self.bin[self.own]], self.n[self.own], room[self.two_bin]
+        for k in self.at[low]:
+            mine.setdefault(int(self.two_n[k]), self.two[:, k].tolist())
+        item_room, item_n, two_n, two_room = room[self.bin[self.own]], self.n[self.own], self.two_n[: self.used], room[self.two_bin[: self.used]]
         for x, give in mine.items():
-            if len(give) == 1:
-                if gain < x <= top:  # a move
-                    best, gain = (int(room.argmax()), give, []), x
-                g = np.where(x - self.two_n <= two_room, x - self.two_n, 0)  # one for two
-                if len(g) and g[k := int(g.argmax())] > gain:
-                    best, gain = (int(self.two_bin[k]), give, self.two[:, k].tolist()), int(g[k])
+            if gain < x <= top:  # a move
+                best, gain = (int(room.argmax()), give, []), x
+            g = np.where(x - two_n <= two_room, x - two_n, 0)  # one or two for two
+            if len(g) and g[k := int(g.argmax())] > gain:
+                best, gain = (int(self.two_bin[k]), give, self.two[:, k].tolist()), int(g[k])
             g = np.where(x - item_n <= item_room, x - item_n, 0)  # one or two for one
             if g[k := int(g.argmax())] > gain:
                 best, gain = (int(self.bin[self.own[k]]), give, [int(self.own[k])]), int(g[k])
@@ -136,8 +156,8 @@ class _Bins:
                 self.fill[a] -= self.n[i]
                 self.fill[b] += self.n[i]
                 self.bin[i] = b
-        self.pairs[low], self.pairs[high] = self._pairs(self.items[low]), self._pairs(self.items[high])
-        self._join()
+        self._pair(low)
+        self._pair(high)
 
 
 def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
@@ -172,38 +192,43 @@ _NAMES = [x.split()[0] for x in _PLACED.split(", ")]
 _BINS = 1 << 32
 
 
-def _laid(group: pd.DataFrame, bins: list[list[int]], ids: np.ndarray, capacity: int) -> pd.DataFrame:
-    """The rows of a group in the order of their bins, with sequence_id, offset and whether their bin has room."""
+def _laid(group: pd.DataFrame, bins: list[list[int]], ids: np.ndarray, capacity: int, spare: int) -> pd.DataFrame:
+    """The rows of a group in the order of their bins, with sequence_id, offset and whether their bin goes on: it has room, or is among the first full ones of `spare` pieces at most."""
     order = np.array([i for b in bins for i in b], np.int64)
     n = group["length"].to_numpy()[order]
     size = np.fromiter(map(len, bins), np.int64, len(bins))
     ends = np.cumsum(n)
     last = ends[np.cumsum(size) - 1]
     fill = np.diff(np.concatenate(([0], last)))
-    return group.iloc[order].assign(sequence_id=np.repeat(ids, size), offset=ends - n - np.repeat(last - fill, size), open=np.repeat(fill < capacity, size))[_NAMES]
+    full = fill == capacity
+    goes = ~full | (np.cumsum(size * full) <= spare)
+    return group.iloc[order].assign(sequence_id=np.repeat(ids, size), offset=ends - n - np.repeat(last - fill, size), open=np.repeat(goes, size))[_NAMES]
 
 
-def _first(capacity: int, group: pd.DataFrame) -> pd.DataFrame:
+def _better(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
+    """The bins improved; if they are more than the total needs, those of a search from longest first where it finds fewer."""
+    bins = improve(bins, lengths, capacity)
+    if len(bins) > -(-sum(lengths) // capacity):
+        order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
+        other = improve([[order[i] for i in b] for b in best_fit([lengths[i] for i in order], capacity)], lengths, capacity)
+        bins = min(bins, other, key=len)
+    return bins
+
+
+def _first(capacity: int, spare: int, group: pd.DataFrame) -> pd.DataFrame:
     """Bins of a group's pieces: best fit in the order in which they are dealt, then the search."""
     group = group.sort_values(["deal_", "doc_id", "piece", "start", "length", "ids_crc32"], kind="stable", ignore_index=True)
     lengths = group["length"].tolist()
-    bins = improve(best_fit(lengths, capacity), lengths, capacity)
-    return _laid(group, bins, int(group["grp"].iloc[0]) * _BINS + np.arange(len(bins)), capacity)
-
+    bins = _better(best_fit(lengths, capacity), lengths, capacity)
+    return _laid(group, bins, int(group["grp"].iloc[0]) * _BINS + np.arange(len(bins)), capacity, spare)
 
-def _search(capacity: int, group: pd.DataFrame) -> pd.DataFrame:
-    """Improve the bins of a group, and if more are left than the total needs, search from another start, longest first, too.
 
-    Those that are left keep the first of the group's ids.
-    """
+def _search(capacity: int, spare: int, group: pd.DataFrame) -> pd.DataFrame:
+    """Improve the bins of a group; those that are left keep the first of the group's ids."""
     group = group.sort_values(["sequence_id", "offset"], kind="stable", ignore_index=True)
     ids, lengths = group["sequence_id"].unique(), group["length"].tolist()
-    bins = improve([x.tolist() for x in group.groupby("sequence_id").indices.values()], lengths, capacity)
-    if len(bins) > -(-sum(lengths) // capacity):
-        order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
-        other = improve([[order[i] for i in b] for b in best_fit([lengths[i] for i in order], capacity)], lengths, capacity)
-        bins = min(bins, other, key=len)
-    return _laid(group, bins, ids[: len(bins)], capacity)
+    bins = _better([x.tolist() for x in group.groupby("sequence_id").indices.values()], lengths, capacity)
+    return _laid(group, bins, ids[: len(bins)], capacity, spare)
 
 
 def _sequences(rows: DataFrame) -> tuple[int, int]:
@@ -245,7 +270,8 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         return out
     least, groups = -(-total // capacity), -(-n // GROUP)
     dealt = part.withColumn("grp", F.pmod("deal_", F.lit(groups)))
-    rows = common.staged(_by_group(dealt, groups).groupBy("grp").applyInPandas(lambda g: _first(capacity, g), _PLACED), "packed")
+    first = partial(_first, capacity, GROUP // groups)
+    rows = common.staged(_by_group(dealt, groups).groupBy("grp").applyInPandas(lambda g: first(g), _PLACED), "packed")
     sequences, level = _sequences(rows)[1], 0
     fewer = 1
     while fewer and sequences > least:
@@ -253,10 +279,14 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         rows = rows.where("open").drop("open").withColumn("fill", F.sum("length").over(Window.partitionBy("sequence_id")))
         n, before = _sequences(rows)
         groups, level = -(-n // GROUP), level + 1
-        # the emptiest bins of all groups meet in one, the others are dealt anew
+        # the emptiest bins of all groups meet in one, with as many full ones as it takes; the others are dealt anew
+        full, most = F.col("fill") == capacity, _emptiest(rows.where(F.col("fill") < capacity))
+        held, spare = rows.agg(F.count(F.when(F.col("fill") <= most, 1)), F.count(F.when(full, 1))).first()
+        taken = full & (F.pmod(F.xxhash64("sequence_id", F.lit(-level)), F.lit(max(spare, 1))) < GROUP - held)
         spread = 1 + F.pmod(F.xxhash64("sequence_id", F.lit(level)), F.lit(groups))
-        dealt = rows.withColumn("grp", F.when((F.col("fill") <= _emptiest(rows)) | (F.lit(groups) == 1), 0).otherwise(spread)).drop("fill")
-        rows = common.staged(_by_group(dealt, groups).groupBy("grp").applyInPandas(lambda g: _search(capacity, g), _PLACED), f"searched{level}")
+        dealt = rows.withColumn("grp", F.when((F.col("fill") <= most) | taken | (F.lit(groups) == 1), 0).otherwise(spread)).drop("fill")
+        search = partial(_search, capacity, GROUP // groups)
+        rows = common.staged(_by_group(dealt, groups).groupBy("grp").applyInPandas(lambda g: search(g), _PLACED), f"searched{level}")
         fewer = before - _sequences(rows)[1]
         sequences -= fewer
     return out.unionByName(rows.drop("open"))
