@@ -254,3 +254,46 @@ def test_benchmark_in_chunks(spark, monkeypatch):
     docs = spark.createDataFrame([(i, " ".join(f"b{i}_{k}" for k in range(10))) for i in range(6)], "doc_id long, text string")
     assert len(list(decontamination.chunks(bench))) == 4
     assert sorted((r.doc_id, r.item_id) for r in decontamination.find_benchmark(docs, bench).collect()) == [(i, i) for i in range(4)]
+
+
+def edited(rng, words, vocab, least=0.75):
+    """The words with as many of them changed as keep the similarity of their shingles at `least`."""
+    full, now = Counter(tuple(words[j : j + 5]) for j in range(len(words) - 4)), list(words)
+    while True:
+        next_ = list(now)
+        next_[rng.randrange(len(words))] = rng.choice(vocab)
+        shared = sum((Counter(tuple(next_[j : j + 5]) for j in range(len(words) - 4)) & full).values())
+        if shared < least * (2 * (len(words) - 4) - shared):
+            return now
+        now = next_
+
+
+@pytest.mark.parametrize("size", [8, 20, 29, 40, 58, 80, 200])
+def test_edited_passages_are_found(size):
+    """Of passages edited down to the threshold, 95 of 100 at the least, whatever the length of the item."""
+    rng, vocab = random.Random(size), [f"v{i}" for i in range(3000)]
+    items = [[rng.choice(vocab) for _ in range(size)] for _ in range(100)]
+    texts = [" ".join([rng.choice(vocab) for _ in range(50)] + edited(rng, w, vocab) + [rng.choice(vocab) for _ in range(50)]).encode() for w in items]
+    found = decontamination.search(texts, decontamination.Items([(i, " ".join(w)) for i, w in enumerate(items)]), 0.75)
+    assert sum(any(m[0] == i for m in own) for i, own in enumerate(found)) >= 95
+
+
+def test_lengths_round_to_few_steps():
+    """A benchmark of many lengths takes few fingerprints a window, and each item is found in its place, at both ends of a text too."""
+    assert [decontamination.step(n) for n in (1, 7, 15, 16, 17, 31, 33, 63, 64, 1000)] == [1, 7, 15, 16, 16, 30, 32, 60, 64, 960]
+    rng = random.Random(9)
+    items = [(n, [f"u{rng.randrange(10**6)}" for _ in range(n)]) for n in range(1, 401)]
+    index = decontamination.Items([(n, " ".join(w)) for n, w in items])
+    assert len(index.groups) < 60 and len(index.items) == 400
+    own = [items[i] for i in (0, 3, 4, 5, 19, 20, 21, 62, 63, 64, 200, 398, 399)]
+    texts = [" ".join([*["before"] * b, *w, *["after"] * a]).encode() for _, w in own for b, a in ((0, 0), (3, 0), (0, 3), (700, 700))]
+    found = decontamination.search(texts, index, 0.75)
+    want = [[(n, b, n, 1.0, 0)] for n, _ in own for b in (0, 3, 0, 700)]
+    assert [sorted(x for x in got if x[0] == of[0][0]) for got, of in zip(found, want)] == want
+
+
+def test_chunks_follow_lengths(spark, monkeypatch):
+    monkeypatch.setattr(decontamination.chunks, "__defaults__", (40,))
+    bench = spark.createDataFrame([(i, " ".join(f"b{i}_{k}" for k in range([6, 30, 12][i % 3]))) for i in range(12)], "item_id long, text string")
+    lengths = [[x[2] + 4 for x in items.items] for items in decontamination.chunks(bench)]
+    assert sum(lengths, []) == sorted([6, 30, 12] * 4) and len(lengths) == 6

@@ -1,15 +1,20 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming lookup, exact check.
 
-For each length that an item has, every window of that many words of every text gets a 64-bit SimHash
-of its word shingles. A window's sums of signed bits are the difference of two running sums, taken
+Lengths of items are rounded down to eight steps per octave, so that their number hardly grows with
+that of the items. For each such length, every window of that many words of every text gets a 64-bit
+SimHash of its word shingles. It is held against a fingerprint of each item of that step, that of as
+many of its first shingles; where they are near, the item-sized window that begins there is a
+candidate. A window's sums of signed bits are the difference of two running sums, taken
 modulo 256 where the window is short enough for that, so a fingerprint costs a few bytes' work. The
 items' fingerprints lie in an index of four tables, one for each block of 16 bits: a block's bucket
 names the items that differ from it in at most ERRORS bits. Of two fingerprints within RADIUS bits,
 some block differs in at most ERRORS of them, so a look into each table by the window's block finds
-all items within the radius; nothing else sieves the windows. A candidate counts if the weighted
+all items within the radius; nothing else sieves the windows. Of a text shorter than an item, the
+fingerprint of all its shingles is held against those of whole items. A candidate counts if the weighted
 Jaccard similarity of its shingles, as a multiset, with the item's is high enough. Texts are taken
 one by one, without an exchange. Items go to the executors in chunks of at most CHUNK shingles; a
-larger benchmark takes a scan per chunk.
+larger benchmark takes a scan per chunk. Chunks follow the items' lengths, so that the fingerprints of
+a length are made in few of them.
 """
 
 from __future__ import annotations
@@ -117,20 +122,48 @@ def _shingled(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     return of[at], s
 
 
+def step(n: int) -> int:
+    """n rounded down to eight steps per octave."""
+    low = max(n.bit_length() - 4, 0)
+    return n >> low << low
+
+
+def _print(s: np.ndarray) -> np.ndarray:
+    """The fingerprint of a run of shingles."""
+    return simhash(signs(s).sum(0, dtype=np.int32)[None])
+
+
+class Group:
+    """The beginnings of items whose lengths round to the same step, of shingles of k words, in an index."""
+
+    def __init__(self, k: int, shingles: int, items: list[tuple[int, np.ndarray]]):
+        """items: (place in Items, its shingles in order)."""
+        self.k, self.shingles = k, shingles
+        self.item, self.n = np.array([place for place, _ in items], np.int64), np.array([len(s) for _, s in items], np.int64)
+        self.index = Index(np.concatenate([_print(s[:shingles]) for _, s in items]))
+
+
 class Items:
-    """Items by their number of words, and an index of the fingerprints of each number."""
+    """Items with their shingles, the groups of their beginnings, and an index of whole items for texts shorter than they."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         """rows: (item_id, text). An item of fewer than SHINGLE words is one shingle; one without words can't be found."""
-        self.by_size: dict[int, list[tuple[int, Counter]]] = {}
+        #: item_id, k, number of shingles, their counts, fingerprint of them all
+        self.items: list[tuple[int, int, int, Counter, np.uint64]] = []
+        groups: dict[tuple[int, int], list] = {}
         texts = [t.encode() for _, t in rows]
         for k in range(1, SHINGLE + 1):
             of, s = _shingled(texts, k) if texts else (np.empty(0, int),) * 2
             cut = np.searchsorted(of, np.arange(len(rows) + 1))
             for i, n in enumerate(np.diff(cut).tolist()):
                 if n == 1 or n and k == SHINGLE:
-                    self.by_size.setdefault(n + k - 1, []).append((rows[i][0], Counter(s[cut[i] : cut[i + 1]].tolist())))
-        self.index = {size: Index(np.concatenate([simhash(signs(np.array(list(c.elements()), np.uint64)).sum(0, dtype=np.int32)[None]) for _, c in items])) for size, items in self.by_size.items()}
+                    own = s[cut[i] : cut[i + 1]]
+                    groups.setdefault((k, step(n)), []).append((len(self.items), own))
+                    self.items.append((rows[i][0], k, n, Counter(own.tolist()), _print(own)[0]))
+        self.groups = [Group(k, n, own) for (k, n), own in sorted(groups.items())]
+        self.longer = np.array([i for i, x in enumerate(self.items) if x[1] == SHINGLE and x[2] > 1], np.int64)
+        self.n = np.array([x[2] for x in self.items], np.int64)
+        self.whole = Index(np.array([self.items[i][4] for i in self.longer], np.uint64)) if len(self.longer) else None
 
 
 def similarity(a: Counter, b: Counter) -> float:
@@ -154,33 +187,40 @@ class _Windows:
             self.sums[kind] = running(self.signs, kind)
         return self.sums[kind]
 
-    def near(self, n: int, index: Index, lo: int, hi: int) -> Iterator[tuple[int, int, int, int]]:
-        """(first shingle, shingles, place of the item, bits apart) of the windows of n shingles, first from lo to hi, that are near an item's fingerprint."""
-        hi = min(hi, len(self.s) - n + 1)
+    def near(self, group: Group, lo: int, hi: int) -> Iterator[tuple[int, int, int]]:
+        """(first shingle, shingles, place of the item) of the item-sized windows, first from lo to hi, whose beginning is near that of the item."""
+        hi = min(hi, len(self.s) - group.shingles + 1)
         if lo < hi:
-            at, item, apart = index.near(_between(self._running(n), lo, hi, n))
-            at += lo
-            whole = self.text[at] == self.text[at + n - 1]
-            yield from zip(at[whole].tolist(), [n] * len(at), item[whole].tolist(), apart[whole].tolist())
-
-    def near_short(self, n: int, index: Index, least: float) -> Iterator[tuple[int, int, int, int]]:
-        """The same of texts of fewer shingles, each one window if it has enough."""
+            at, of, _ = group.index.near(_between(self._running(group.shingles), lo, hi, group.shingles))
+            first, n = at + lo, group.n[of]
+            whole = self.text[first] == self.text[np.minimum(first + n, len(self.s)) - 1]
+            whole &= first + n <= len(self.s)
+            yield from zip(first[whole].tolist(), n[whole].tolist(), group.item[of[whole]].tolist())
+
+    def near_short(self, items: Items, least: float) -> Iterator[tuple[int, int, int]]:
+        """The same of texts that have fewer shingles than an item, each one window if it has enough."""
         own = np.diff(self.cut)
-        short = np.flatnonzero((own < n) & (own >= least * n) & (own > 0))
-        if len(short):
-            total = self._running(n)
-            at, item, apart = index.near(simhash(total[self.cut[short + 1]] - total[self.cut[short]]))
-            yield from zip(self.cut[short[at]].tolist(), own[short[at]].tolist(), item.tolist(), apart.tolist())
+        held = np.flatnonzero(own > 0)
+        if items.whole is not None and len(held):
+            total = self._running(int(own.max()))
+            at, of, _ = items.whole.near(simhash(total[self.cut[held + 1]] - total[self.cut[held]]))
+            item, text = items.longer[of], held[at]
+            fits = (own[text] < items.n[item]) & (own[text] >= least * items.n[item])
+            yield from zip(self.cut[text[fits]].tolist(), own[text[fits]].tolist(), item[fits].tolist())
+
+    def apart(self, first: int, n: int, whole: np.uint64) -> int:
+        """Bits between the fingerprints of a window and of a whole item."""
+        return int(np.bitwise_count(_print(self.s[first : first + n])[0] ^ whole))
 
 
 def _candidates(items: Items, windows: dict[int, _Windows], least: float) -> Iterator[tuple]:
-    """(size, k, windows, first shingle, shingles, place of the item, bits apart); all sizes of a stretch of text in turn, while its sums are in the cache."""
-    sizes = [(size, min(size, SHINGLE)) for size in items.by_size]
+    """(windows, first shingle, shingles, place of the item); all groups on a stretch of text in turn, while its sums are in the cache."""
     for lo in range(0, max((len(w.s) for w in windows.values()), default=0), _AT_ONCE):
-        for size, k in sizes:
-            yield from ((size, k, windows[k], *x) for x in windows[k].near(size - k + 1, items.index[size], lo, lo + _AT_ONCE))
-    for size, k in sizes:
-        yield from ((size, k, windows[k], *x) for x in windows[k].near_short(size - k + 1, items.index[size], least))
+        for group in items.groups:
+            w = windows[group.k]
+            yield from ((w, *x) for x in w.near(group, lo, lo + _AT_ONCE))
+    if SHINGLE in windows:
+        yield from ((windows[SHINGLE], *x) for x in windows[SHINGLE].near_short(items, least))
 
 
 def search(texts: list[bytes], items: Items, least: float) -> list[list[tuple]]:
@@ -188,14 +228,14 @@ def search(texts: list[bytes], items: Items, least: float) -> list[list[tuple]]:
     out: list[list[tuple]] = []
     for _, part in wordhash.batched(texts, 1 << 19):
         best: list[dict] = [{} for _ in part]
-        windows = {k: _Windows(part, k) for k in {min(size, SHINGLE) for size in items.by_size}}
-        for size, k, w, at, n, i, apart in _candidates(items, windows, least):
-            item, counts = items.by_size[size][i]
+        windows = {k: _Windows(part, k) for k in {group.k for group in items.groups}}
+        for w, at, n, i in _candidates(items, windows, least):
+            item, k, _, counts, whole = items.items[i]
             sim = similarity(Counter(w.s[at : at + n].tolist()), counts)
             text = int(w.text[at])
             place = at - int(w.cut[text])
             if sim >= least and (item not in best[text] or (-sim, place) < best[text][item][0]):
-                best[text][item] = ((-sim, place), (item, place, n + k - 1, sim, apart))
+                best[text][item] = ((-sim, place), (item, place, n + k - 1, sim, w.apart(at, n, whole)))
         out += [[b[item][1] for item in sorted(b)] for b in best]
     return out
 
@@ -203,7 +243,7 @@ def search(texts: list[bytes], items: Items, least: float) -> list[list[tuple]]:
 def chunks(benchmark: DataFrame, most: int = CHUNK) -> Iterator[Items]:
     """The items in chunks of at most `most` words (a longer item is a chunk); read through the driver chunk by chunk."""
     held, size = [], 0
-    for r in benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct().orderBy("item_id", "text").toLocalIterator():
+    for r in benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct().orderBy(F.size(F.split("text", r"\s+")), "item_id", "text").toLocalIterator():
         n = len(r.text.encode().split())
         if held and size + n > most:
             yield Items(held)
