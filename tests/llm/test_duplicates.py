@@ -61,11 +61,48 @@ def test_join_by_brute_force(spark, seed):
     rows += [((1 << 60) + 1, "a b c d e f"), (None, "alone in this"), (None, None)]
     docs, want = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], DOCS), brute_components(rows)
     assert {(None, 1, None), (None, 0, None), (None, 1, 1003), ((1 << 60) + 1, 2, (1 << 60) + 1)} <= set(want)
-    for limits in ({}, {"often": 2, "hot": 12}, {"often": 1, "hot": 1}):  # shingles may go past the fragments, all of them too
+    for limits in ({}, {"rate": 1, "hot": 12}, {"rate": 1, "hot": 1}, {"key_bits": 3}):  # shingles may go past the fragments, all of them too; keys may be those of several texts
         got = ngram_join.near_duplicates(docs, **limits)
         assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == want
 
 
+def test_join_in_two_exchanges(spark, monkeypatch):
+    """More fragments, and buckets, than one exchange deals out; copies that several tasks send count once."""
+    rows = corpus(3) + [(500 + k, corpus(3)[k][1]) for k in range(40)]
+    monkeypatch.setattr(ngram_join, "FRAGMENT", 3)
+    monkeypatch.setattr(ngram_join, "WAYS", 8)
+    got = ngram_join.near_duplicates(spark.createDataFrame([(*r, "", "", "") for r in rows], DOCS).repartition(5))
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components(rows)
+
+
+def test_recut_keeps_every_shingle():
+    rng = np.random.default_rng(2)
+    keys = rng.integers(0, 1 << 63, 50, dtype=np.uint64)
+    of = np.sort(rng.integers(0, 50, 20_000))
+    h = rng.integers(0, 1 << 64, 20_000, dtype=np.uint64)
+    want = set(zip(keys[of].tolist(), h.tolist()))
+    coarse = []
+    for f in range(256):
+        own = h >> np.uint64(56) == f
+        coarse += [(f, ngram_join._blob(of[own], keys, h[own]))] * 2  # sent by two tasks
+    finer = ngram_join._finer(8, 12, coarse)
+    seen, parts = [], []
+    for f, b in zip(finer["frag"], finer["blob"]):
+        k, n, x = ngram_join._unblob(b, ngram_join._top(f, 12))
+        assert set((x >> np.uint64(52)).tolist()) == {f}
+        seen += zip(np.repeat(k, n).tolist(), x.tolist())
+        of_f = np.searchsorted(np.sort(keys), np.repeat(k, n))
+        parts.append((f, ngram_join._blob(of_f, np.sort(keys), x, np.full(len(x), 7))))
+    assert len(seen) == len(want) and set(seen) == want
+    dealt = ngram_join._dealt(12, 16, parts)
+    back = []
+    for f, bucket, b in zip(dealt["frag"], dealt["bucket"], dealt["blob"]):
+        k, n, x, df = ngram_join._unblob(b, ngram_join._top(f, 12), True)
+        assert set((k % np.uint64(16)).tolist()) == {bucket} and set(df.tolist()) == {7}
+        back += zip(np.repeat(k, n).tolist(), x.tolist())
+    assert len(back) == len(want) and set(back) == want
+
+
 def test_join_on_the_tables(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]

@@ -4,8 +4,10 @@ The order of all n-grams is the order of their hashes, cut into fragments of eve
 cut along it: a fragment's task gets the part of every text that falls into its range, as packed
 bytes, counts in how many texts each n-gram occurs and drops those of one text, which no pair can
 share. N-grams that very many texts hold would fill their fragment; a first pass over all texts, which
-sends only n-grams that recur within a task's part, finds them. They need no counting, since all are
-last in order, and go past the fragments. A text that keeps less than the threshold of its n-grams has
+sends one occurrence in RATE, drawn by a hash of n-gram and id, finds them. They need no counting, since
+all are last in order, and go past the fragments. Where there are more fragments than what a task holds
+could fill with more than a few n-grams each, two exchanges lead to them, and likewise back to the texts.
+A text that keeps less than the threshold of its n-grams has
 no partner and goes. The rest are ordered rarest first; only the head of a text that a partner must
 touch (prefix filter) proposes candidates, and sizes and places in the order sieve them. Candidates
 are counted fragment by fragment, and the partial overlaps are summed per pair.
@@ -16,12 +18,13 @@ components that an n-gram still holds are joined with each other, never a compon
 pair of texts in one component is made and no link between components is lost.
 
 An n-gram is known by 64 bits of its hash, of which the fragment's number holds the first eight or
-more, a text by 64 bits of its words' hash.
+more. A text is known by 128 bits of its words' hash: 64 of them are its key, and where the first pass
+finds two texts of one key, the other 64.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 from hashlib import blake2b
 
@@ -36,10 +39,14 @@ SHINGLE = 5
 PERCENT = 75
 #: Shingles of a fragment, about, and of what a task holds before it sends them.
 FRAGMENT, FLUSH = 1_500_000, 400_000
-#: Shingles of what a task counts at once in the first pass, and how often one must be there to be sent.
-COUNTED, OFTEN = 800_000, 8
+#: Of so many occurrences of shingles the first pass sends one.
+RATE = 4096
 #: Texts with a shingle from which on it goes past the fragments; with so many parts of all shingles, or more, at the least.
 HOT, SHARE = FRAGMENT // 8, 1_000_000
+#: Ways that one exchange deals shingles out, as a power of 2 (8 or more), bytes that a task of a second one deals at once, and its most partitions.
+WAYS, DEALT, PARTS = 12, 32 << 20, 1 << 16
+#: Bits of a text's first key.
+KEY = 64
 #: Parts of the order in which overlaps are counted, as a power of 2.
 PIECES = 3
 EARLIER = 128
@@ -101,30 +108,32 @@ def _cuts(x: np.ndarray) -> list[tuple[int, int]]:
     return list(zip([0, *edge.tolist()], [*edge.tolist(), len(x)])) if len(x) else []
 
 
-def _often(most: int, often: int, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(h, n): shingles that recur in what a task counts at once, with their counts there; and under a null all shingles' number."""
-    common.trim()
-    held, size = [], 0
+def _identity(text: bytes, key_bits: int = KEY) -> tuple[int, int]:
+    """A text's key and the 64 bits that tell texts of one key apart."""
+    both = blake2b(b" ".join(text.lower().split()), digest_size=16).digest()
+    return int.from_bytes(both[:8], "little") >> (64 - key_bits), int.from_bytes(both[8:], "little")
 
-    def counted() -> pd.DataFrame:
-        h, n = np.unique(np.concatenate(held), return_counts=True)
-        h, n = h[n >= often].astype(np.int64), n[n >= often]
-        mask = np.zeros(len(h) + 1, bool)
-        mask[-1] = True
-        return pd.DataFrame({"h": pd.arrays.IntegerArray(np.append(h, 0), mask), "n": np.append(n, size)})
 
+def _first_pass(rate: int, key_bits: int, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each batch: h, n of the shingles drawn; key, other of its texts; and without either the number n of all its shingles."""
+    common.trim()
     for pdf in parts:
-        for _, part in wordhash.batched((t.encode() if t else b"" for t in pdf["text"]), 1 << 19):
-            held += (own := wordhash.sets(part, SHINGLE))
-            size += sum(map(len, own))
-            if size >= most:
-                yield counted()
-                held, size = [], 0
-    if held:
-        yield counted()
-
-
-def _cut(bits: int, buckets: int, hot_bc, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids = wordhash.mix(pdf["doc_id"].to_numpy(np.int64).view(np.uint64))
+        for first, part in wordhash.batched((t.encode() if t else b"" for t in pdf["text"]), 1 << 19):
+            own = wordhash.sets(part, SHINGLE)
+            h = np.concatenate(own)
+            drawn = wordhash.mix(h ^ np.repeat(ids[first : first + len(part)], [len(x) for x in own])) % np.uint64(rate) == 0
+            found, n = np.unique(h[drawn], return_counts=True)
+            keys = np.array(sorted({_identity(t, key_bits) for t, x in zip(part, own) if len(x)}), np.uint64).reshape(-1, 2).view(np.int64)
+            kind = np.repeat([0, 1, 2], [len(found), len(keys), 1])
+            padded = lambda x, k: np.pad(x, (np.searchsorted(kind, k), len(kind) - np.searchsorted(kind, k, "right")))
+            yield pd.DataFrame({
+                "h": pd.arrays.IntegerArray(padded(found.view(np.int64), 0), kind != 0), "n": padded(n, 0) + padded(np.array([len(h)]), 2),
+                "key": pd.arrays.IntegerArray(padded(keys[:, 0], 1), kind != 1), "other": padded(keys[:, 1], 1),
+            })
+
+
+def _cut(bits: int, buckets: int, key_bits: int, hot_bc, clashing: frozenset[int], parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Each text's shingles cut along the fragments.
 
     Texts' ids, keys and sizes, and the hot shingles, go past them: under numbers below 0, one for each
@@ -167,7 +176,8 @@ def _cut(bits: int, buckets: int, hot_bc, parts: Iterator[pd.DataFrame]) -> Iter
         ids, gone = pdf["doc_id"].tolist(), pdf["gone"].tolist()
         for first, part in wordhash.batched(texts, 1 << 19):
             for i, (text, s) in enumerate(zip(part, wordhash.sets(part, SHINGLE)), first):
-                key = int.from_bytes(blake2b(b" ".join(text.lower().split()), digest_size=8).digest(), "little")
+                key, other = _identity(text, key_bits)
+                key = other if key in clashing else key
                 docs.append((ids[i], gone[i], key, len(s)))
                 if key not in held:
                     held[key] = s
@@ -179,6 +189,56 @@ def _cut(bits: int, buckets: int, hot_bc, parts: Iterator[pd.DataFrame]) -> Iter
         yield send()
 
 
+def _regrouped(cut: Callable[[list[tuple[int, bytes]]], pd.DataFrame], parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Packed rows, which come in order, cut anew about DEALT bytes at a time. What is below 0 passes through."""
+    common.trim()
+    held, size = [], 0
+    for pdf in parts:
+        past = pdf["frag"] < 0
+        if past.any():
+            yield pdf[past]
+        for frag, blob in zip(pdf["frag"][~past], pdf["blob"][~past]):
+            held.append((int(frag), blob))
+            size += len(blob)
+            if size >= DEALT:
+                yield cut(held)
+                held, size = [], 0
+    if held:
+        yield cut(held)
+
+
+def _texts_of(got: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the texts in what _unblob gave, and each shingle's text among them."""
+    return np.unique(np.repeat(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])), return_inverse=True)
+
+
+def _finer(bits: int, to: int, held: list[tuple[int, bytes]]) -> pd.DataFrame:
+    """Fragments of `to` bits from those of `bits`. A text that several tasks sent is whole in each part and becomes one."""
+    got = [_unblob(b, _top(f, bits)) for f, b in held]
+    (keys, of), h = _texts_of(got), np.concatenate([g[2] for g in got])
+    frag = (h >> np.uint64(64 - to)).astype(np.int64)
+    order = np.lexsort((h, of, frag))
+    frag, of, h = frag[order], of[order], h[order]
+    keep = np.concatenate(([True], (np.diff(h) != 0) | (np.diff(of) != 0)))
+    frag, of, h = frag[keep], of[keep], h[keep]
+    return pd.DataFrame([(int(frag[lo]), -1, _blob(of[lo:hi], keys, h[lo:hi])) for lo, hi in _cuts(frag)], columns=["frag", "bucket", "blob"])
+
+
+def _dealt(bits: int, buckets: int, held: list[tuple[int, bytes]]) -> pd.DataFrame:
+    """Counted shingles of few buckets dealt out to all; a row has those of one bucket whose first eight bits are the same."""
+    got = [_unblob(b, _top(f, bits), True) for f, b in held]
+    (keys, of), h, df = _texts_of(got), np.concatenate([g[2] for g in got]), np.concatenate([g[3] for g in got])
+    bucket, top = (keys % np.uint64(buckets)).astype(np.int64)[of], (h >> np.uint64(56)).astype(np.int64)
+    order = np.lexsort((of, top, bucket))
+    of, h, df, bucket, top = of[order], h[order], df[order], bucket[order], top[order]
+    return pd.DataFrame([(int(top[lo]) << (bits - 8), int(bucket[lo]), _blob(of[lo:hi], keys, h[lo:hi], df[lo:hi])) for lo, hi in _cuts(bucket << 8 | top)], columns=["frag", "bucket", "blob"])
+
+
+def _spread(df: DataFrame, by: str, parts: int) -> DataFrame:
+    """Packed rows over `parts` tasks, those of one number over several, in order of the numbers."""
+    return df.repartition(parts, by, F.pmod(F.xxhash64("blob"), F.lit(max(1, parts >> WAYS)))).sortWithinPartitions(by)
+
+
 def _count(bits: int, buckets: int, group: pd.DataFrame) -> pd.DataFrame:
     """A fragment: drop shingles of one text, deal the rest out by text. What is below 0 passes through."""
     frag = int(group["frag"].iloc[0])
@@ -316,28 +376,38 @@ def _between(apart: DataFrame) -> DataFrame:
     return met.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
 
 
-def near_duplicates(docs: DataFrame, often: int = OFTEN, hot: int = HOT) -> DataFrame:
+def near_duplicates(docs: DataFrame, rate: int = RATE, hot: int = HOT, key_bits: int = KEY) -> DataFrame:
     """doc_id, n_shingles, component_id per row.
 
     A set has the distinct runs of 5 words (fewer words: all of them as one; none: empty, linked
     with nothing). Texts link at a Jaccard similarity of 0.75 or more; a text of any length is taken
     whole, null text has no words. Rows alike come out alike. A null doc_id stays null and is nobody's
     smallest id: a component without any other has a null component_id. An empty table gives no rows;
-    other columns, whatever their names, are not read. Where `often` and `hot` lie changes the work, not the result.
+    other columns, whatever their names, are not read. What `rate`, `hot` and `key_bits` are
+    changes the work, not the result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("gone"), "text")
-    counts = common.staged(rows.select("text").mapInPandas(partial(_often, COUNTED, often), "h long, n long"), "often")
-    total = counts.where("h is null").agg(F.sum("n")).first()[0] or 0
-    every = counts.where("h is not null").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(hot, total // SHARE))
-    found = np.sort(np.array([r.h for r in every.collect()], np.int64).view(np.uint64))  # SHARE numbers at most
+    seen = common.staged(rows.select("doc_id", "text").mapInPandas(partial(_first_pass, rate, key_bits), "h long, n long, key long, other long"), "seen")
+    total = seen.where("h is null").agg(F.sum("n")).first()[0] or 0
+    every = seen.where("h is not null").groupBy("h").agg((F.sum("n") * rate).alias("n")).where(F.col("n") >= max(hot, total // SHARE))
+    found = np.sort(np.array([r.h for r in every.collect()], np.int64).view(np.uint64))  # about SHARE numbers at most
+    # of n texts about n * n / 2 ** 65 pairs have one key: some dozens at 5e10 texts
+    twice = seen.where("key is not null").groupBy("key").agg(F.min("other").alias("x"), F.max("other").alias("y")).where("x < y")
+    clashing = frozenset(r.key % (1 << 64) for r in twice.select("key").collect())
     bits = max(8, int(np.ceil(np.log2(max(total / FRAGMENT, 1)))))
-    buckets = max(8, (1 << bits) // 2)
-    sent = rows.mapInPandas(partial(_cut, bits, buckets, spark.sparkContext.broadcast(found)), _SENT)
-    counted = common.staged(sent.repartition(max(common.width(spark), (1 << bits) // 2), "frag").groupBy("frag").applyInPandas(lambda g: _count(bits, buckets, g), _SENT), "fragments")
+    buckets, parts = max(8, (1 << bits) // 2), min((1 << bits) // 2, PARTS)
+    sent = rows.mapInPandas(partial(_cut, min(bits, WAYS), buckets, key_bits, spark.sparkContext.broadcast(found), clashing), _SENT)
+    if bits > WAYS:
+        sent = _spread(sent, "frag", parts).mapInPandas(partial(_regrouped, partial(_finer, WAYS, bits)), _SENT)
+    few = min(buckets, 1 << WAYS)
+    counted = common.staged(sent.repartition(max(common.width(spark), parts), "frag").groupBy("frag").applyInPandas(lambda g: _count(bits, few, g), _SENT), "fragments")
     classes = common.staged(counted.where("frag < 0 and bucket < 0").mapInPandas(_classes, "doc_id long, key long, n long"), "classes")
-    sets = common.staged(counted.where("bucket >= 0").groupBy("bucket").applyInPandas(lambda g: _gather(bits, g), _SETS), "sets")
-    common.drop(counts, counted)
+    dealt = counted.where("bucket >= 0")
+    if buckets > few:
+        dealt = _spread(dealt, "bucket", parts).mapInPandas(partial(_regrouped, partial(_dealt, bits, buckets)), _SENT)
+    sets = common.staged(dealt.groupBy("bucket").applyInPandas(lambda g: _gather(bits, g), _SETS), "sets")
+    common.drop(seen, counted)
     tokens = sets.where("piece = -1").select("key", "n", "skip", F.posexplode("part").alias("p", "t")).select("t", "key", "n", (F.col("skip") + F.col("p")).alias("pos"))
     apart, comps = _apart(tokens, None), None
     if not apart.isEmpty():
