@@ -178,6 +178,20 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, removed: str = "n_r
     return out.withColumns({"text": F.when(F.col(c).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")), removed: F.coalesce(n, F.lit(0))}).drop(d, t, c)
 
 
+#: White space as in str.split().
+_SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: The shortest runs from each line and to each line cover what longer ones do; ids are taken to be distinct.
+ORACLE_SQL = f"""WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
+t AS (SELECT doc_id, i, regexp_replace(line, '^{_SPACE}+|{_SPACE}+$', '', 'g') AS x FROM l),
+n AS (SELECT doc_id, i, x, row_number() OVER o AS j, len(regexp_split_to_array(x, '{_SPACE}+')) AS w, sum(len(regexp_split_to_array(x, '{_SPACE}+'))) OVER o AS upto FROM t WHERE x <> '' WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+p AS (SELECT s.doc_id, s.j AS s, e.j AS e FROM n s JOIN n e ON s.doc_id = e.doc_id AND e.j >= s.j AND e.upto - s.upto + s.w >= {MIN_WORDS}),
+r AS (SELECT doc_id, s, min(e) AS e FROM p GROUP BY doc_id, s UNION SELECT doc_id, max(s), e FROM p GROUP BY doc_id, e),
+k AS (SELECT r.doc_id, s, e, min(i) AS lo, max(i) AS hi, md5(string_agg(x, chr(10) ORDER BY j)) AS k FROM r JOIN n ON n.doc_id = r.doc_id AND j BETWEEN s AND e GROUP BY r.doc_id, s, e),
+c AS (SELECT DISTINCT l.doc_id, l.i FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS nth FROM k) q JOIN l ON l.doc_id = q.doc_id AND l.i BETWEEN lo AND hi WHERE nth > 1),
+o AS (SELECT l.doc_id, count(c.i) AS n, coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE c.i IS NULL), '') AS text FROM l LEFT JOIN c ON c.doc_id = l.doc_id AND c.i = l.i GROUP BY l.doc_id)
+SELECT d.doc_id, CAST(coalesce(o.n, 0) AS INT) AS n_removed, o.text FROM documents d LEFT JOIN o ON o.doc_id = d.doc_id"""
+
+
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
     """Every text of `documents` without later copies of line runs of 50 words or more."""
     return dedup_lines(common.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_removed", "text")

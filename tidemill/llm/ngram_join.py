@@ -427,6 +427,19 @@ def near_duplicates(docs: DataFrame, rate: int = RATE, hot: int = HOT, key_bits:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+#: All pairs of texts that share a shingle, and all that links reach: for small tables.
+ORACLE_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+t AS (SELECT DISTINCT md5(array_to_string(w, ' ')) AS k, w FROM d WHERE len(w) > 0),
+s AS (SELECT k, list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS s FROM t),
+e AS (SELECT k, len(s) AS n, unnest(s) AS x FROM s),
+l AS (SELECT a.k AS a, b.k AS b FROM e a JOIN e b ON a.x = b.x AND a.k <> b.k GROUP BY a.k, b.k HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))),
+r AS (SELECT k AS a, k AS b FROM t UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+i AS (SELECT md5(array_to_string(w, ' ')) AS k, min(doc_id) AS least FROM d WHERE len(w) > 0 GROUP BY 1),
+c AS (SELECT r.a AS k, min(i.least) AS component_id FROM r JOIN i ON i.k = r.b GROUP BY 1)
+SELECT doc_id, CAST(coalesce(len(s.s), 0) AS BIGINT) AS n_shingles, coalesce(c.component_id, doc_id) AS component_id
+FROM d LEFT JOIN s ON s.k = md5(array_to_string(w, ' ')) LEFT JOIN c ON c.k = md5(array_to_string(w, ' '))"""
+
+
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:
     """Near copies among the whole `documents`."""
     return near_duplicates(common.table(spark, sf_dir, "documents"))

@@ -21,6 +21,8 @@ QUERIES = {
     "quality_rule_ablations": quality_rules.quality_rule_ablations,
 }
 ORACLES = {
+    "op2_ngram_join": ngram_join.ORACLE_SQL,
+    "op5_line_dedup": line_dedup.ORACLE_SQL,
     "op6_pii": pii.ORACLE_SQL,
     "op11_quality_rules": quality_rules.ORACLE_SQL,
     "op12_collocations": collocations.ORACLE_SQL,
