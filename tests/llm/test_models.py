@@ -391,3 +391,16 @@ def test_sql(spark, duck, name):
     assert cols == sorted(want.columns)
     a, b = (x[cols].sort_values(cols, ignore_index=True) for x in (got, want))
     pd.testing.assert_frame_equal(a, b, check_dtype=False)
+
+
+def test_neighbours_of_queries_that_lie_elsewhere(spark, tmp_path):
+    """Most rows lie in tight clusters, the queries and a few others among no structure: visits follow the queries."""
+    rng = np.random.default_rng(7)
+    ids = np.arange(8000)
+    x = rng.normal(size=(80, 64))[rng.integers(0, 80, len(ids))] + rng.normal(size=(len(ids), 64)) * 0.05
+    lone = (ids % 100 == 0) | (ids % 20 == 1)
+    x[lone] = rng.normal(size=(lone.sum(), 64))
+    pd.DataFrame({"vec_id": ids, "embedding": list(x)}).to_parquet(tmp_path / "embeddings.parquet")
+    got = registry.QUERIES["op4_neighbours"](spark, str(tmp_path)).toPandas().groupby("query_id").vec_id.apply(set)
+    hits = [len(set(exact_nearest(ids, x, q, 10)) & got[q]) for q in ids[::100]]
+    assert sum(hits) >= 0.95 * 10 * len(hits) and np.mean(np.array(hits) >= 8) >= 0.9
