@@ -63,38 +63,52 @@ class Network:
         return cls(langs, {k: v.astype(np.float32) for k, v in w.items()})
 
     def positions(self, x: np.ndarray) -> np.ndarray:
-        """(T, N, L) probabilities for windows x of (T, N) bytes."""
-        w, (steps, n) = self.w, x.shape
+        """(WINDOW, L, N) probabilities for windows x of (SPAN, N) bytes, at the positions after the overlap.
+
+        Both directions go side by side, each from its overlap to the last position that counts. In place
+        of a state h there is g = (1 - h) / 2, and of new contents n there is s = (1 - n) / 2: s is a
+        logistic function as the gates are, and h' = n + z (h - n) says g' = s + z (g - s).
+        """
+        w, n = self.w, x.shape[1]
         k = w["cf"].shape[0]
-        logits = np.empty((steps, n, len(self.langs)), np.float32)
-        for d, order in (("f", range(steps)), ("b", range(steps - 1, -1, -1))):
-            # sigma(v) = tanh(v / 2) / 2 + 1 / 2: the halves go into the weights, so one tanh serves both gates
-            half = np.r_[np.full(2 * k, 0.5), np.ones(k)].astype(np.float32)
-            table, u = w["x" + d] * half, w["u" + d] * half
-            out = w["out"][:k] if d == "f" else w["out"][k:]
-            h, pre, rec = np.zeros((n, k), np.float32), np.empty((n, 3 * k), np.float32), np.empty((n, 3 * k), np.float32)
-            for t in order:
-                np.take(table, x[t], axis=0, out=pre)
-                np.matmul(h, u, out=rec)
-                gates = pre[:, : 2 * k] + rec[:, : 2 * k]
-                np.tanh(gates, out=gates)
-                gates *= 0.5
-                gates += 0.5
-                new = rec[:, 2 * k :] + w["c" + d]
-                new *= gates[:, k:]
-                new += pre[:, 2 * k :]
-                np.tanh(new, out=new)
-                h -= new
-                h *= gates[:, :k]
-                h += new
-                if d == "f":
-                    np.matmul(h, out, out=logits[t])
-                else:
-                    logits[t] += h @ out
-        logits += w["off"]
-        logits -= logits.max(2, keepdims=True)
+        scale = np.array([-1, -1, 2], np.float32)[:, None, None]
+        table, u = (np.stack([np.stack(np.split(w[a + d], 3, 1)) * scale for d in "fb"], 1) for a in "xu")  # (3, 2, 256 or H, H) by gate and direction
+        rest = u.sum(2, keepdims=True)
+        table[:2] += rest[:2]
+        inner = np.repeat(rest[2] + 2 * np.stack((w["cf"], w["cb"]))[:, None], n, 1)  # in full, since numpy repeats short rows slowly
+        table, first = table.reshape(-1, k), 256 * np.arange(6).reshape(3, 2, 1)
+        u *= -2
+        out = -2 * np.stack((w["out"][:k].T, w["out"][k:].T))
+        logits = np.empty((WINDOW, len(self.langs), n), np.float32)
+        logits[:] = (w["off"] + w["out"].sum(0))[:, None]
+        g, s, pre, rec = np.full((2, n, k), 0.5, np.float32), np.empty((2, n, k), np.float32), np.empty((3, 2, n, k), np.float32), np.empty((3, 2, n, k), np.float32)
+        own, at = np.empty((2, len(self.langs), n), np.float32), np.empty((3, 2, n), np.intp)
+        gates = rec[:2]
+        with np.errstate(over="ignore"):  # 1 / (1 + inf) is the 0 meant
+            for t in range(LAP + WINDOW):
+                np.add(x[[t, SPAN - 1 - t]], first, out=at)
+                np.take(table, at, axis=0, out=pre, mode="clip")  # all are there: "clip" only spares a copy
+                np.matmul(g, u, out=rec)
+                gates += pre[:2]
+                np.exp(gates, out=gates)
+                gates += 1
+                np.reciprocal(gates, out=gates)
+                np.add(rec[2], inner, out=s)
+                s *= gates[1]
+                s += pre[2]
+                np.exp(s, out=s)
+                s += 1
+                np.reciprocal(s, out=s)
+                g -= s
+                g *= gates[0]
+                g += s
+                if t >= LAP:
+                    np.matmul(out, g.transpose(0, 2, 1), out=own)
+                    logits[t - LAP] += own[0]
+                    logits[LAP + WINDOW - 1 - t] += own[1]
+        logits -= logits.max(1, keepdims=True)
         np.exp(logits, out=logits)
-        logits /= logits.sum(2, keepdims=True)
+        logits /= logits.sum(1, keepdims=True)
         return logits
 
     def step(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -157,10 +171,10 @@ class Network:
             left = np.minimum(size[of] - nth * WINDOW, WINDOW)
             start = first_byte[of] + nth * WINDOW - LAP
             sums = np.empty((len(of), len(self.langs)))
-            for at in range(0, len(of), _AT_ONCE):
-                p = self.positions(data[start[at : at + _AT_ONCE] + np.arange(SPAN)[:, None]])
-                p *= _counts(left[at : at + _AT_ONCE])[:, :, None]
-                sums[at : at + _AT_ONCE] = p.sum(0)
+            for own in np.array_split(np.arange(len(of)), -(-len(of) // _AT_ONCE)):
+                p = self.positions(data[start[own] + np.arange(SPAN)[:, None]])
+                p *= (np.arange(WINDOW)[:, None] < left[own])[:, None]
+                sums[own] = p.sum(0).T
             for j in range(len(self.langs)):
                 out[first : first + len(part), j] = np.bincount(of, sums[:, j], minlength=len(part)) / np.maximum(size, 1)
         return out
